@@ -164,10 +164,10 @@ class Shard:
 class WordTokenizer:
     """Ids of texts by the tokenizers library.
 
-    The tokenizer drops white space, lower-cases, and none of its steps looks across a blank, a line feed, or the
-    place before a full stop or comma that follows a letter or digit. So texts are cut there and each different cut is encoded once while
-    it is remembered. A Latin-1 text without the mark of special tokens is lower-cased first, which leaves
-    fewer different cuts and the same ids.
+    The tokenizer drops white space, lower-cases, and none of its steps looks across a blank, a line feed, or
+    the place before a full stop or comma that follows a letter or digit. So texts are cut there and each
+    different cut is encoded once while it is remembered. A Latin-1 text without the mark of special tokens is
+    lower-cased first, which leaves fewer different cuts and the same ids.
     """
 
     def __init__(self, path: str):
@@ -268,9 +268,9 @@ def write_shards(docs: DataFrame, path: str, folder: str, end_id: int, shard_tok
         for batch in batches:
             at = 0
             while at < len(batch):
-                part = batch.slice(at, n := _block(batch.column(1), at, 4 << 20, batch.column(1).nbytes / len(batch)))
-                at += n
-                for doc_id, code in zip(part.column(0).to_pylist(), coder.encode_all(part.column(1).to_pylist()), strict=True):
+                block = batch.slice(at, _block(batch.column(1), at, 4 << 20, batch.column(1).nbytes / len(batch)))
+                at += len(block)
+                for doc_id, code in zip(block.column(0).to_pylist(), coder.encode_all(block.column(1).to_pylist()), strict=True):
                     codes.append(code + end)
                     ids.append(doc_id)
                     held += len(code) // 4 + 1
