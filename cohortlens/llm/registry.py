@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from cohortlens.llm import byte_bpe, token_counts, wavelet
+from cohortlens.llm import byte_bpe, gam, line_crf, token_counts, wavelet
 
 QUERIES = {
+    "op1_line_crf": line_crf.op1_line_crf,
     "op3_wavelet": wavelet.op3_wavelet,
     "op5_byte_bpe": byte_bpe.op5_byte_bpe,
     "op6_token_counts": token_counts.op6_token_counts,
+    "op7_gam": gam.op7_gam,
 }
 
 #: Where SQL can express the operator; the others are tested against brute force.
