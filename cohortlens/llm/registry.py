@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cohortlens.llm import byte_bpe, gam, line_crf, token_counts, url_filter, wavelet
+from cohortlens.llm import byte_bpe, gam, line_crf, lsh_forest, token_counts, url_filter, wavelet
 
 QUERIES = {
     "op1_line_crf": line_crf.op1_line_crf,
@@ -11,7 +11,8 @@ QUERIES = {
     "op6_token_counts": token_counts.op6_token_counts,
     "op7_gam": gam.op7_gam,
     "op8_redirects": url_filter.op8_redirects,
+    "op10_lsh_forest": lsh_forest.op10_lsh_forest,
 }
 
 #: Where SQL can express the operator; the others are tested against brute force.
-ORACLES: dict[str, str] = {"op8_redirects": url_filter.SQL}
+ORACLES: dict[str, str] = {"op8_redirects": url_filter.SQL, "op10_lsh_forest": lsh_forest.SQL}
