@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -37,6 +38,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Give freed memory back to the system: workers live on beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
 def map_texts(df: DataFrame, fn: Callable[[list, list], dict], schema: str, block_bytes: int = 4 << 20) -> DataFrame:
     """Run fn(ids, texts) over blocks of rows of (doc_id, text) and return its columns.
 
@@ -56,6 +66,7 @@ def map_texts(df: DataFrame, fn: Callable[[list, list], dict], schema: str, bloc
                 out = fn(ids[at : at + n], part)
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
                 at += n
+        release()
 
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from cohortlens.llm import byte_bpe, gam, line_crf, lsh_forest, token_counts, url_filter, wavelet
+from cohortlens.llm import byte_bpe, gam, line_crf, lsh_forest, suffix_dedup, token_counts, url_filter, wavelet
 
 QUERIES = {
     "op1_line_crf": line_crf.op1_line_crf,
+    "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op3_wavelet": wavelet.op3_wavelet,
     "op5_byte_bpe": byte_bpe.op5_byte_bpe,
     "op6_token_counts": token_counts.op6_token_counts,
