@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cohortlens.llm import byte_bpe, gam, line_crf, lsh_forest, suffix_dedup, token_counts, url_filter, wavelet
+from cohortlens.llm import byte_bpe, gam, learned_index, line_crf, lsh_forest, suffix_dedup, token_counts, url_filter, wavelet
 
 QUERIES = {
     "op1_line_crf": line_crf.op1_line_crf,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_token_counts": token_counts.op6_token_counts,
     "op7_gam": gam.op7_gam,
     "op8_redirects": url_filter.op8_redirects,
+    "op9_learned_partitions": learned_index.op9_learned_partitions,
     "op10_lsh_forest": lsh_forest.op10_lsh_forest,
 }
 
