@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from cohortlens.llm import byte_bpe, gam, learned_index, line_crf, lsh_forest, suffix_dedup, token_counts, url_filter, wavelet
+from cohortlens.llm import byte_bpe, gam, learned_index, line_crf, lsh_forest, mixing, suffix_dedup, token_counts, url_filter, wavelet
 
 QUERIES = {
     "op1_line_crf": line_crf.op1_line_crf,
     "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op3_wavelet": wavelet.op3_wavelet,
+    "op4_mixing": mixing.op4_mixing,
     "op5_byte_bpe": byte_bpe.op5_byte_bpe,
     "op6_token_counts": token_counts.op6_token_counts,
     "op7_gam": gam.op7_gam,
@@ -17,4 +18,4 @@ QUERIES = {
 }
 
 #: Where SQL can express the operator; the others are tested against brute force.
-ORACLES: dict[str, str] = {"op8_redirects": url_filter.SQL, "op10_lsh_forest": lsh_forest.SQL}
+ORACLES: dict[str, str] = {"op8_redirects": url_filter.SQL, "op4_mixing": mixing.SQL, "op10_lsh_forest": lsh_forest.SQL}
