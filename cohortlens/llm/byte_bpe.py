@@ -181,13 +181,14 @@ def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     return map_texts(docs, run, "doc_id bigint, ids binary, decoded binary")
 
 
-def digests(coded: DataFrame) -> DataFrame:
-    """The contract's columns from what encode_decode() returns."""
+def digests(coded: DataFrame, *also: str) -> DataFrame:
+    """The contract's columns, and those named, from what encode_decode() returns."""
     return coded.select(
         "doc_id",
         (F.length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        *also,
     )
 
 

@@ -12,11 +12,14 @@ among those with crc32(doc_id as text) mod 5 other than 0.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import map_texts, read
+from cohortlens.llm.common import map_texts, read, release
 from cohortlens.llm.textstats import DIGITS, MARKS, STOPS, SYMBOLS, UPPER, base_counts, having, split
 
 MAX_ROWS = 20_000
@@ -195,6 +198,22 @@ def score(docs: DataFrame, model: GAM) -> DataFrame:
     return map_texts(docs, run, "doc_id bigint, score double")
 
 
+def keep_good(docs: DataFrame, model: GAM, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs, with all their columns, whose text scores at least threshold. Nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            step = max(1, int(len(batch) * (4 << 20) / max(1, batch.column(at).nbytes)))
+            for a in range(0, len(batch), step):
+                part = batch.slice(a, step)
+                x = np.array([features(t or "") for t in part.column(at).to_pylist()], float).reshape(-1, len(FEATURES))
+                yield part.filter(pa.array(model.score(x) >= threshold))
+        release()
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op7_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     scored = score(docs, fit_gam(docs, read(spark, sf_dir, "labels")))

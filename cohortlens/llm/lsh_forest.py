@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import map_texts, materialise, read
+from cohortlens.llm.common import map_texts, materialise, read, release
 from cohortlens.llm.components import connected_components
 
 NGRAM, THRESHOLD = 5, (8, 10)
@@ -32,7 +32,7 @@ TREES, LABEL, RECALL = 32, 10, 0.9999
 FEW = 24
 #: Most texts and shingles of a block of one side, on average; larger parts are verified block by block.
 BLOCK_TEXTS, BLOCK_SHINGLES = 1024, 500_000
-CACHE_WORDS = 500_000
+CACHE_WORDS = 150_000
 
 
 def prefix_length(threshold: float, trees: int, label: int, recall: float) -> int:
@@ -196,6 +196,7 @@ def _verify(blocks: DataFrame, threshold: tuple[int, int]) -> DataFrame:
                 rows.append((id_, side, held, blocks))
         if rows:
             yield flush(rows)
+        release()
 
     return blocks.select("part", "i", "j", "id", "side", "held", "blocks").mapInArrow(run, "id bigint, links bigint, root bigint, blocks bigint")
 
@@ -263,6 +264,16 @@ def jaccard_join(docs: DataFrame, size: int = NGRAM, threshold: tuple[int, int]
     return out.select("doc_id", "copy_of", "class_id", "n_links").unionByName(none)
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, whose doc_id is its class's; one row for each doc_id.
+
+    Rows with a null doc_id stay, as nothing is known about them.
+    """
+    heads = jaccard_join(docs).where("doc_id = class_id").select("doc_id").distinct()
+    kept = docs.join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id is null"))
+
+
 def op10_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(read(spark, sf_dir, "documents"))
 

@@ -134,6 +134,21 @@ def mix(docs: DataFrame, weights: dict = WEIGHTS, percent: int = PERCENT, epochs
     return every.unionByName(inside.select(*columns)).unionByName(edge.select(*columns))
 
 
+def taken(docs: DataFrame, **options) -> DataFrame:
+    """The documents that mix() takes, with the columns of docs; a document taken in part has its first words only.
+
+    doc_id has to name a row: of rows with the same one any stands for all, and those with a null one are left out.
+    A cut text has one blank between words; n_chars, where it is a column, follows the text.
+    """
+    one = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
+    picked = mix(one, **options).select("doc_id", F.col("n_tokens").alias("_tokens"), F.col("take_tokens").alias("_take"))
+    words = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), 1, F.col("_take").cast("int")), " ")
+    out = one.join(picked, "doc_id").withColumn("text", F.when(F.col("_take") < F.col("_tokens"), words).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents"))
 

@@ -28,8 +28,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from cohortlens.llm.common import materialise, read
+from cohortlens.llm.common import materialise, read, release
 
 WINDOW, GRAM, HOT = 50, 24, 1000
 #: Bytes of text that a task packs at once, that numpy looks at at once, and for which there is a bucket.
@@ -109,19 +110,21 @@ class _Block:
         return np.frombuffer(b"".join(self.texts), np.uint8), starts, np.array([_text_key(t) for t in self.texts], np.int64)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[_Block]:
-    """Blocks of about PACK bytes from batches of (doc_id, text, further columns)."""
+def _blocks(batches: Iterator[pa.RecordBatch], listed: bool = False) -> Iterator[_Block]:
+    """Blocks of about PACK bytes from batches of (doc_id, text and, if listed, a list)."""
     block = _Block()
     for batch in batches:
         ids, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())
-        more = batch.column(2) if batch.num_columns > 2 else None
+        more = batch.column(2) if listed else None
         for k, doc_id in enumerate(ids):
             block.add(doc_id, texts[k].as_py(), None if more is None else more[k].values.to_numpy(zero_copy_only=False))
             if block.size >= PACK:
                 yield block
                 block = _Block()
+                release()
     if block.ids:
         yield block
+    release()
 
 
 def _packed(bucket: np.ndarray, **columns: np.ndarray) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
@@ -206,6 +209,7 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
             rows.append(row)
     if rows:
         yield rows
+    release()
 
 
 def _repeated(most: int):
@@ -246,8 +250,8 @@ def _pairs(ids: np.ndarray, h: np.ndarray, hot: np.ndarray) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([pa.array(ids[a : a + 50_000]), pa.array(anchors[a : a + 50_000])], names=["doc_id", "anchor"])
 
 
-_RUNS = "p int, ids binary, keys binary, firsts binary, lengths binary, bytes binary"
-_RUNS_ARROW = pa.schema([("p", pa.int32())] + [(k, pa.binary()) for k in ("ids", "keys", "firsts", "lengths", "bytes")])
+_RUNS = "p int, ids binary, keys binary, firsts binary, lengths binary, tags binary, bytes binary"
+_RUNS_ARROW = pa.schema([("p", pa.int32())] + [(k, pa.binary()) for k in ("ids", "keys", "firsts", "lengths", "tags", "bytes")])
 
 
 def _gather(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -261,7 +265,7 @@ def _contexts(buckets: int, window: int, gram: int):
     """Pack the runs around repeated anchors by bucket. Runs known to be marked (length over 100) are passed on as marks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _blocks(batches):
+        for block in _blocks(batches, True):
             data, starts, keys = block.arrays()
             ids = np.array(block.ids, np.int64)
             anchors = np.unique(np.concatenate(block.extra).astype(np.int64)).view(np.uint64)
@@ -281,20 +285,10 @@ def _contexts(buckets: int, window: int, gram: int):
                 first, length = np.concatenate([first[~cut], singles]), np.concatenate([length[~cut], np.ones(len(singles), np.int64)])
                 text, h = np.concatenate([text[~cut], owner]), np.concatenate([h[~cut], own & _LOW48])
             # Of equal runs the smallest doc_id's stands for the block; larger ones are marked at once.
-            width = length + window - 1
-            tag = _fingerprints(data, first, width)
-            order = np.lexsort((ids[text], tag))
-            first, length, text, h, width, tag = first[order], length[order], text[order], h[order], width[order], tag[order]
-            new = np.ones(len(tag), bool)
-            new[1:] = tag[1:] != tag[:-1]
-            lead = np.maximum.accumulate(np.where(new, np.arange(len(tag)), 0))
-            later = (ids[text] > ids[text[lead]]) & (width == width[lead])
-            if later.any():
-                rows = np.flatnonzero(later)
-                same = np.concatenate([_equal(data, first[rows[k : k + 100_000]], first[lead[rows[k : k + 100_000]]], width[rows[k : k + 100_000]]) for k in range(0, len(rows), 100_000)])
-                later[rows[~same]] = False
+            order, later = _fold(data, first, length + window - 1, ids[text])
+            first, length, text, h = first[order], length[order], text[order], h[order]
             bucket = np.where(later, _mixed(ids[text].view(np.uint64)) % np.uint64(buckets), h % np.uint64(buckets)).astype(np.int64)
-            for p, c in _packed(bucket, first=first, length=length, text=text, later=later):
+            for p, c in _packed(bucket, first=first, length=length, text=text, later=later, h=h):
                 done = c["later"]
                 got = _gather(data, c["first"][~done], c["length"][~done] + window - 1)
                 yield pa.RecordBatch.from_arrays(
@@ -303,7 +297,7 @@ def _contexts(buckets: int, window: int, gram: int):
                         pa.array([x], pa.binary())
                         for x in (
                             ids[c["text"]].astype("<i8").tobytes(), keys[c["text"]].astype("<i8").tobytes(), (c["first"] - starts[c["text"]]).astype("<i8").tobytes(),
-                            (c["length"] + 100 * done).astype("u1").tobytes(), got.tobytes(),
+                            (c["length"] + 100 * done).astype("u1").tobytes(), (c["h"][~done] >> np.uint64(16)).astype("<u4").tobytes(), got.tobytes(),
                         )
                     ],
                     schema=_RUNS_ARROW,
@@ -312,6 +306,22 @@ def _contexts(buckets: int, window: int, gram: int):
     return run
 
 
+def _fold(data: np.ndarray, first: np.ndarray, width: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the runs in which equal ones are neighbours, and which of them a smaller id has too."""
+    tag = _fingerprints(data, first, width)
+    order = np.lexsort((ids, tag))
+    first, width, ids, tag = first[order], width[order], ids[order], tag[order]
+    new = np.ones(len(tag), bool)
+    new[1:] = tag[1:] != tag[:-1]
+    lead = np.maximum.accumulate(np.where(new, np.arange(len(tag)), 0)) if len(tag) else np.zeros(0, np.int64)
+    later = (ids > ids[lead]) & (width == width[lead])
+    rows = np.flatnonzero(later)
+    for k in range(0, len(rows), 20_000):
+        r = rows[k : k + 20_000]
+        later[r[~_equal(data, first[r], first[lead[r]], width[r])]] = False
+    return order, later
+
+
 def _fingerprints(data: np.ndarray, first: np.ndarray, width: np.ndarray) -> np.ndarray:
     """A hash of each run's bytes: of its first and last WINDOW bytes, which overlap or meet, and its width."""
     w = _words(data)
@@ -359,14 +369,16 @@ def window_ranks(data: np.ndarray, positions: np.ndarray, window: int = WINDOW)
             k += steps[-1]
         for step in reversed(steps):
             reach = sorted({*reach, *(r + step for r in reach)})
-        needed = np.unique(np.concatenate([alive + r for r in reach])) if len(alive) else alive
+        wanted = np.zeros(len(data), bool)
+        for r in reach:
+            wanted[alive + r] = True
+        needed = np.flatnonzero(wanted)
         if length == 8:
             rank = _rank(big[needed])
         else:
             rank = _rank(rank_at[needed], rank_at[needed + offset])
         if rank_at is None:
             rank_at = np.zeros(len(data), np.uint64)
-        rank_at = rank_at.copy() if length > 8 else rank_at
         rank_at[needed] = rank
         own = rank_at[alive]
         alive = alive[np.bincount(own.astype(np.int64))[own.astype(np.int64)] > 1] if len(alive) else alive
@@ -381,6 +393,7 @@ def _marks(window: int):
         for rows in _by_bucket(batches):
             cat = lambda k, kind: np.frombuffer(b"".join(r[k] for r in rows), kind)
             ids, keys, firsts, lengths, data = cat("ids", "<i8"), cat("keys", "<i8"), cat("firsts", "<i8"), cat("lengths", "u1").astype(np.int64), cat("bytes", "u1")
+            tags = cat("tags", "<u4")
             rows.clear()
             done = lengths > 100
             yield from _mark_rows(ids[done], keys[done], firsts[done], (1 << (lengths[done] - 100)) - 1)
@@ -389,22 +402,41 @@ def _marks(window: int):
                 continue
             width = lengths + window - 1
             at = np.cumsum(width) - width
-            owner = np.repeat(np.arange(len(ids)), lengths)
-            positions = _gather(np.arange(len(data)), at, lengths)
-            alive, rank = window_ranks(data, positions, window)
-            row = owner[np.searchsorted(positions, alive)]
-            doc = ids[row]
-            least = np.full(int(rank.max()) + 1 if len(rank) else 0, np.iinfo(np.int64).max)
-            np.minimum.at(least, rank.astype(np.int64), doc)
-            hit = least[rank.astype(np.int64)] < doc
-            mask = np.zeros(len(ids), np.int64)
-            np.bitwise_or.at(mask, row[hit], np.int64(1) << (alive[hit] - at[row[hit]]))
+            # Runs that are equal as a whole need no ranks, and where an anchor is left with one run nothing is equal to it.
+            order, later = _fold(data, at, width, ids)
+            ids, keys, firsts, lengths, at, tags = ids[order], keys[order], firsts[order], lengths[order], at[order], tags[order]
+            mask = np.where(later, (np.int64(1) << lengths) - 1, 0)
+            names, group = np.unique(tags, return_inverse=True)
+            rows_left = np.flatnonzero(~later & (np.bincount(group[~later], minlength=len(names))[group] > 1))
+            for part in _portions(tags, rows_left):
+                own = _gather(np.arange(len(data)), at[part], lengths[part])
+                owner = np.repeat(part, lengths[part])
+                line = np.argsort(own)
+                own, owner = own[line], owner[line]
+                alive, rank = window_ranks(data, own, window)
+                row = owner[np.searchsorted(own, alive)]
+                doc, rank = ids[row], rank.astype(np.int64)
+                least = np.full(int(rank.max()) + 1 if len(rank) else 0, np.iinfo(np.int64).max)
+                np.minimum.at(least, rank, doc)
+                hit = least[rank] < doc
+                np.bitwise_or.at(mask, row[hit], np.int64(1) << (alive[hit] - at[row[hit]]))
             some = mask != 0
             yield from _mark_rows(ids[some], keys[some], firsts[some], mask[some])
 
     return run
 
 
+def _portions(tags: np.ndarray, rows: np.ndarray, most: int = 20_000) -> Iterator[np.ndarray]:
+    """The rows in portions of about most, the rows of one tag together."""
+    rows = rows[np.argsort(tags[rows], kind="stable")]
+    cuts = np.flatnonzero(np.concatenate([[True], tags[rows][1:] != tags[rows][:-1]])) if len(rows) else np.zeros(0, np.int64)
+    start = 0
+    for cut in np.append(cuts[1:], len(rows)) if len(rows) else ():
+        if cut - start >= most or cut == len(rows):
+            yield np.sort(rows[start:cut])
+            start = cut
+
+
 def _mark_rows(*columns: np.ndarray) -> Iterator[pa.RecordBatch]:
     for a in range(0, len(columns[0]), 50_000):
         yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 50_000].astype(np.int64)) for c in columns], names=["doc_id", "key", "first", "mask"])
@@ -443,21 +475,27 @@ def _cut(window: int):
                         kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
                     for n, v in zip(names, (doc_id, len(text), removed, spans, kept), strict=True):
                         out[n].append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(out[n], pa.int64() if n != "kept" else pa.binary()) for n in names], names=names)
+                arrays = [pa.array(out[n], pa.int64() if n != "kept" else pa.binary()) for n in names]
+                carried = part.columns[4:]
+                yield pa.RecordBatch.from_arrays([*arrays, *carried], names=[*names, *["carried"] * len(carried)])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept (the bytes left) of each row.
 
+    Columns of docs named in carry are handed on in the struct carried.
+
     A null text is an empty one. A row with a null doc_id takes no part and keeps all its bytes. Rows of the same
     doc_id never count against one another, so repeated rows get equal results. Texts shorter than the window
     keep everything. Other columns are not read; an empty table gives an empty result.
     """
     if not 2 * 8 <= gram <= window or gram != 24 or window - gram > 48:
         raise ValueError("windows of 24 to 72 bytes with grams of 24 are supported")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    handed = [F.struct(*(F.col(f"`{c}`") for c in carry)).alias("carried")] if carry else []
+    also = ["carried"] if carry else []
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *handed)
     base = rows.where("doc_id is not null")
     texts = base.select("doc_id", F.unhex(F.sha2("text", 256)).alias("sha"), F.octet_length("text").cast("long").alias("size"))
     digests = materialise(texts, "digests")
@@ -473,15 +511,17 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot:
     repeated = packed.repartition(parts, "p").sortWithinPartitions("p").mapInArrow(_repeated(hot), "doc_id bigint, anchor bigint")
     lists = materialise(repeated.groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")), "anchors")
     wanted = lists.join(copies.where("all"), "doc_id", "left_anti")
-    runs = base.join(wanted, "doc_id").select("doc_id", "text", "anchors").mapInArrow(_contexts(buckets, window, gram), _RUNS)
+    runs = base.join(wanted, "doc_id").select("doc_id", "text", "anchors", *also).mapInArrow(_contexts(buckets, window, gram), _RUNS)
     marks = runs.repartition(parts, "p").sortWithinPartitions("p").mapInArrow(_marks(window), "doc_id bigint, key bigint, first bigint, mask bigint")
     by_doc = marks.groupBy("doc_id").agg(F.collect_list(F.struct("key", "first", "mask")).alias("marks"))
     joined = base.join(by_doc, "doc_id", "left").join(copies, "doc_id", "left")
-    schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
+    schema = T._parse_datatype_string("doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+    if carry:
+        schema = schema.add(rows.schema["carried"])
     copy = F.coalesce(F.array_contains("shas", F.unhex(F.sha2("text", 256))), F.lit(False))
-    done = joined.select("doc_id", "text", copy.alias("copy"), "marks").mapInArrow(_cut(window), schema)
+    done = joined.select("doc_id", "text", copy.alias("copy"), "marks", *also).mapInArrow(_cut(window), schema)
     zero = F.lit(0).cast("long")
-    none = rows.where("doc_id is null").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.encode("text", "UTF-8").alias("kept"))
+    none = rows.where("doc_id is null").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.encode("text", "UTF-8").alias("kept"), *also)
     return done.unionByName(none)
 
 
