@@ -23,11 +23,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cohortlens.llm.byte_bpe import CACHE_ENTRIES
 from cohortlens.llm.common import _block, read, shared_dir
 
 MAGIC, BLOCK = b"WVMX1\n", 1 << 18
 SHARD_TOKENS = 4 << 20
+#: Cuts remembered; a worker's memory for them is about 200 bytes each.
+CACHE_ENTRIES = 1_000_000
 _PACK, _UNPACK = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
@@ -181,20 +182,29 @@ class WordTokenizer:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.bits = max(1, (max(self.tokenizer.get_vocab().values())).bit_length())
+        self.kind = "H" if self.bits <= 16 else "I"
         self.joined = re.compile(r"[^\w\s][.,]|_[.,]").search
         self.cache: dict[str, bytes] = {}
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        cuts = [self._cuts(t) for t in texts]
+        """The ids of each text as unsigned integers of kind."""
+        cuts: list[str] = []
+        ends = [0]
+        for text in texts:
+            cuts += self._cuts(text)
+            ends.append(len(cuts))
         if len(self.cache) > CACHE_ENTRIES:
             self.cache.clear()
-        new = list(set().union(*cuts).difference(self.cache))
+        codes = list(map(self.cache.get, cuts))
+        unknown = [i for i, code in enumerate(codes) if code is None]
+        new = list({cuts[i] for i in unknown})
         for a in range(0, len(new), 10_000):
             part = new[a : a + 10_000]
             for cut, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.cache[cut] = array("I", e.ids).tobytes()
-        return [b"".join(map(self.cache.__getitem__, c)) for c in cuts]
+                self.cache[cut] = array(self.kind, e.ids).tobytes()
+        for i in unknown:
+            codes[i] = self.cache[cuts[i]]
+        return [b"".join(codes[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
 
     def _cuts(self, text: str) -> list[str]:
         text = text.replace("\n", " ")
@@ -246,14 +256,15 @@ def write_shards(docs: DataFrame, path: str, folder: str, end_id: int, shard_tok
         part, piece = task.partitionId(), 0
         files, root = _filesystem(folder)
         files.create_dir(root, recursive=True)
-        end = np.array([end_id], "<u4").tobytes()
+        coder = _loaded(path)
+        end = array(coder.kind, [end_id]).tobytes()
         ids, codes, held = [], [], 0
         rows = {"part": [], "piece": [], "file": [], "n_docs": [], "n_tokens": []}
 
         def flush():
             nonlocal ids, codes, held, piece
-            starts = np.concatenate([[0], np.cumsum([len(c) // 4 for c in codes])])
-            tokens = np.frombuffer(b"".join(codes), "<u4")
+            starts = np.concatenate([[0], np.cumsum([len(c) // len(end) for c in codes])])
+            tokens = np.frombuffer(b"".join(codes), coder.kind)
             bits = max(coder.bits, end_id.bit_length())
             name = f"{root}/shard-{part:08d}-{piece:06d}.wvm"
             with files.open_output_stream(f"{name}.{task.taskAttemptId()}.tmp") as out:
@@ -264,7 +275,6 @@ def write_shards(docs: DataFrame, path: str, folder: str, end_id: int, shard_tok
             piece += 1
             ids, codes, held = [], [], 0
 
-        coder = _loaded(path)
         for batch in batches:
             at = 0
             while at < len(batch):
@@ -273,7 +283,7 @@ def write_shards(docs: DataFrame, path: str, folder: str, end_id: int, shard_tok
                 for doc_id, code in zip(block.column(0).to_pylist(), coder.encode_all(block.column(1).to_pylist()), strict=True):
                     codes.append(code + end)
                     ids.append(doc_id)
-                    held += len(code) // 4 + 1
+                    held += len(code) // len(end) + 1
                     if held >= shard_tokens:
                         flush()
         if ids:
