@@ -31,7 +31,7 @@ TREES, LABEL, RECALL = 32, 10, 0.9999
 #: Groups of more texts than this are tied to their first text instead of giving pairs.
 FEW = 24
 #: Most texts and shingles of a block of one side, on average; larger parts are verified block by block.
-BLOCK_TEXTS, BLOCK_SHINGLES = 1024, 500_000
+BLOCK_TEXTS, BLOCK_SHINGLES = 512, 300_000
 CACHE_WORDS = 150_000
 
 
@@ -244,8 +244,9 @@ def jaccard_join(docs: DataFrame, size: int = NGRAM, threshold: tuple[int, int]
         ),
         "placed",
     )
+    # Texts are dealt by doc_id whatever the number of candidates, so that the plan is one at every size.
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    chosen = own.join(placed.select("doc_id", "key"), "doc_id").where(F.unhex(F.sha2("text", 256)) == F.col("key")).select("doc_id", "text")
+    chosen = own.join(placed.select("doc_id", "key").hint("merge"), "doc_id").where(F.unhex(F.sha2("text", 256)) == F.col("key")).select("doc_id", "text")
     held = map_texts(chosen, distinct_shingles, "doc_id bigint, held binary").dropDuplicates(["doc_id"])
     dealt = (
         held.join(placed.select("doc_id", "part", "blocks", "block"), "doc_id")
