@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def chi2_sf_even(x: Column, df: int) -> Column:
@@ -97,19 +98,19 @@ def _columnwise(fn, *columns: pd.Series) -> pd.Series:
     return pd.Series([fn(*map(float, row)) if all(v is not None and not pd.isna(v) for v in row) else None for row in zip(*columns, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi2_sf(x: pd.Series, df: pd.Series) -> pd.Series:
     """P(X >= x) of a chi-squared variable."""
     return _columnwise(chi2_tail, x, df)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_sf2(t: pd.Series, df: pd.Series) -> pd.Series:
     """Two-sided p of Student's t."""
     return _columnwise(t_two_sided, t, df)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_sf2(z: pd.Series) -> pd.Series:
     """Two-sided p of a standard normal variable."""
     return _columnwise(normal_two_sided, z)
@@ -128,7 +129,7 @@ def mannwhitney_exact(u: float, n: int, m: int) -> float:
     return float(min(1.0, 2 * counts[int(math.ceil(high)) :].sum() / counts.sum()))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def mannwhitney_p(u: pd.Series, n: pd.Series, m: pd.Series, tie: pd.Series) -> pd.Series:
     """Two-sided p of U: exact if the smaller sample has at most 8 values and there are no ties, else normal.
 

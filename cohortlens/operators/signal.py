@@ -123,7 +123,7 @@ def resolution_segment(rate: float, resolution: float = 0.5) -> int:
 
 def band_powers(spectra: DataFrame, keys: list[str], bands: dict | None = None, how: str = "sum") -> DataFrame:
     """keys, band, power: the sum (0 without a bin) or mean (no row without a bin) of a spectrum's bins in each band."""
-    points = spectra.select(*keys, F.explode(F.arrays_zip(F.col("frequencies").alias("frequency"), F.col("psd").alias("power"))).alias("p")).select(*keys, F.col("p.frequencies").alias("frequency"), F.col("p.psd").alias("power"))
+    points = spectra.select(*keys, F.explode(F.arrays_zip(F.col("frequencies").alias("frequency"), F.col("psd").alias("power"))).alias("p")).select(*keys, "p.frequency", "p.power")
     table = bands_table(spectra.sparkSession, bands) if bands else bands_table(spectra.sparkSession)
     inside = in_band(points, table).groupBy(*keys, "band").agg((F.sum if how == "sum" else F.avg)("power").alias("power"))
     if how != "sum":
