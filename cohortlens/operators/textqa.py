@@ -65,7 +65,7 @@ def keyword_table(df: DataFrame, key: str, keywords: dict[str, str], text: str =
 def pipe_tables(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """key, line, cells: rows of pipe tables in a text; separator rows are left out."""
     lines = df.select(key, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line", "_l")).withColumn("_l", F.trim("_l")).where("_l like '|%|' and length(_l) > 1")
-    cells = F.transform(F.split(F.expr("substring(_l, 2, length(_l) - 2)"), r"\|"), F.trim)
+    cells = F.transform(F.split(F.expr("substring(_l, 2, length(_l) - 2)"), r"\|"), lambda c: F.trim(c))
     return lines.select(key, "line", cells.alias("cells")).where(~F.forall("cells", lambda c: c.rlike(r"^:?-+:?$")))
 
 

@@ -396,12 +396,12 @@ def natural_order(spark, sf):
     return s.orderBy(scalar.natural_number(F.col("s_name")), "s_suppkey").limit(25)
 
 
-@query(f"select c_custkey, {r('ln(1 + greatest(c_acctbal, 0))')} as log_balance, {r('(c_acctbal - avg(c_acctbal) over ()) / stddev_pop(c_acctbal) over ()')} as balance_z, case when c_acctbal > 0 then {r('log10(c_acctbal)')} end as log10_balance, case c_nationkey % 3 when 0 then 0 when 1 then 1 end as code from customer")
+@query(f"select c_custkey, {r('ln(1 + greatest(c_acctbal, 0))')} as log_balance, {r('(c_acctbal - avg(c_acctbal) over ()) / stddev_pop(c_acctbal) over ()')} as balance_z, case when c_acctbal > 0 then {r('log10(c_acctbal)')} end as log10_balance, case c_nationkey % 3 when 0 then 'F' when 1 then 'M' end as code from customer")
 def nuisance_encoding(spark, sf):
     """log1p of a clipped number, a z score with population sd, a guarded logarithm, and a coded category with missing values."""
     c = table(spark, sf, "customer", "c_custkey", "c_acctbal", "c_nationkey")
     m = c.agg(F.avg("c_acctbal").alias("m"), F.stddev_pop("c_acctbal").alias("s"))
-    code = F.when(F.col("c_nationkey") % 3 == 0, 0).when(F.col("c_nationkey") % 3 == 1, 1)
+    code = F.when(F.col("c_nationkey") % 3 == 0, "F").when(F.col("c_nationkey") % 3 == 1, "M")
     out = c.crossJoin(F.broadcast(m)).select("c_custkey", F.log1p(F.greatest("c_acctbal", F.lit(0.0))).alias("log_balance"), ((F.col("c_acctbal") - F.col("m")) / F.col("s")).alias("balance_z"), scalar.safe_log10(F.col("c_acctbal")).alias("log10_balance"), code.alias("code"))
     return rounded(out)
 
