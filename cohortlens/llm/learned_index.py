@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from cohortlens.llm.common import materialise, read
 
 SAMPLE, HELD_OUT, NEIGHBOURS, HIDDEN, EPOCHS = 8192, 1024, 16, 128, 8
-#: Vectors a part should have, and the most parts that the sample can teach.
-PART, MOST_PARTS = 1024, 256
+#: Parts; as many at every size, so that what a query returns from the parts it visits grows with the queries only.
+PARTS = 16
 #: Below this number of vectors every part is visited, so results are exact.
 SMALL = 4096
 TARGET_RECALL = 0.95
@@ -257,7 +257,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, recall: float = TAR
     distinct = each.groupBy("vec").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids"))
     distinct = materialise(distinct, "distinct")
     count = distinct.count()
-    parts = int(min(MOST_PARTS, max(1, count // PART)))
+    parts = PARTS
     rows = distinct.select("vec").orderBy(F.xxhash64("vec"), "vec").limit(SAMPLE).toPandas()["vec"].tolist()
     sample = np.frombuffer(b"".join(rows), "<f8").reshape(len(rows), -1)
     router, probes = fit_index(sample, parts, k, recall)
@@ -265,7 +265,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, recall: float = TAR
     placed = materialise(
         distinct.select("ids", "vec").mapInArrow(_route(router, 1, False), "ids array<bigint>, vec binary, parts array<bigint>").select("ids", "vec", F.col("parts")[0].alias("part")), "placed"
     )
-    sizes = dict(placed.groupBy("part").count().collect())  # MOST_PARTS rows at most
+    sizes = dict(placed.groupBy("part").count().collect())  # PARTS rows at most
     if count < SMALL:
         probes = parts
     while probes < parts and sum(sorted(sizes.get(p, 0) for p in range(parts))[:probes]) <= k:
