@@ -162,18 +162,33 @@ class Shard:
         return out
 
 
+#: For Latin-1 bytes: lower case as the tokenizer's, and kinds: letter or digit (a), blank, stop or comma (.), other (#).
+_LOWER = bytes(ord(x) if len(x := chr(i).lower()) == 1 and ord(x) < 256 else i for i in range(256))
+_KINDS = bytes(46 if i in b".," else 97 if chr(i).isalnum() else 32 if chr(i) in " \t\n\v\f\r\x85\xa0" else 35 for i in range(256))
+
+
+def _byte_letters() -> list[str]:
+    """The printable letter that a byte-level model has for each byte: itself, or the next free one from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    out, free = [], 256
+    for i in range(256):
+        out.append(chr(i if i in printable else free))
+        free += i not in printable
+    return out
+
+
 class WordTokenizer:
     """Ids of texts by the tokenizers library.
 
     The tokenizer drops white space, lower-cases, and none of its steps looks across a blank, a line feed, or
     the place before a full stop or comma that follows a letter or digit. So texts are cut there and each
     different cut is encoded once while it is remembered. A Latin-1 text without the mark of special tokens is
-    lower-cased first, which leaves fewer different cuts and the same ids.
+    lower-cased first, which leaves fewer different cuts and the same ids; of such texts a cut that is all
+    letters is one word to the library's model, which then gets it directly.
     """
 
     def __init__(self, path: str):
         import os
-        import re
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -181,14 +196,15 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
         self.bits = max(1, (max(self.tokenizer.get_vocab().values())).bit_length())
         self.kind = "H" if self.bits <= 16 else "I"
-        self.joined = re.compile(r"[^\w\s][.,]|_[.,]").search
-        self.cache: dict[str, bytes] = {}
+        self.letters = _byte_letters()
+        self.cache: dict[str | bytes, bytes] = {}
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as unsigned integers of kind."""
-        cuts: list[str] = []
+        cuts: list[str | bytes] = []
         ends = [0]
         for text in texts:
             cuts += self._cuts(text)
@@ -197,26 +213,35 @@ class WordTokenizer:
             self.cache.clear()
         codes = list(map(self.cache.get, cuts))
         unknown = [i for i, code in enumerate(codes) if code is None]
-        new = list({cuts[i] for i in unknown})
-        for a in range(0, len(new), 10_000):
-            part = new[a : a + 10_000]
-            for cut, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.cache[cut] = array(self.kind, e.ids).tobytes()
         for i in unknown:
-            codes[i] = self.cache[cuts[i]]
+            cut = cuts[i]
+            if cut not in self.cache:
+                self.cache[cut] = array(self.kind, self._ids(cut)).tobytes()
+            codes[i] = self.cache[cut]
         return [b"".join(codes[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
 
-    def _cuts(self, text: str) -> list[str]:
-        text = text.replace("\n", " ")
-        if "<|" not in text:
-            try:
-                text.encode("latin-1")
-            except UnicodeEncodeError:
-                return text.split(" ")
-            text = text.lower()
-            if not self.joined(text):  # else a stop may be part of a longer run of marks
-                text = text.replace(".", " .").replace(",", " ,")
-        return text.split(" ")
+    def _ids(self, cut: str | bytes) -> list[int]:
+        if isinstance(cut, bytes):
+            cut = cut.decode("latin-1")
+            if cut.isalpha():
+                word = cut if cut.isascii() else "".join(self.letters[b] for b in cut.encode("utf-8"))
+                return [t.id for t in self.model.tokenize(word)]
+        return self.tokenizer.encode(cut, add_special_tokens=False).ids
+
+    @staticmethod
+    def _cuts(text: str) -> list[str] | list[bytes]:
+        try:
+            data = text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text.replace("\n", " ").split(" ")
+        if b"<|" in data:
+            return text.replace("\n", " ").split(" ")
+        data = data.translate(_LOWER)
+        kinds = data.translate(_KINDS)
+        data = data.replace(b"\n", b" ")
+        if b"#." not in kinds and b".." not in kinds:  # else a stop may be part of a longer run of marks
+            data = data.replace(b".", b" .").replace(b",", b" ,")
+        return data.split(b" ")
 
 
 _LOADED: dict[str, WordTokenizer] = {}
