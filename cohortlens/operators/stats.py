@@ -19,23 +19,52 @@ def present(long: DataFrame, value: str = "value") -> DataFrame:
     return long.withColumn(value, nan_to_null(F.col(value).cast("double"))).where(F.col(value).isNotNull())
 
 
-def average_ranks(long: DataFrame, by: list[str], value: str = "value", slices: int = 32) -> DataFrame:
-    """Adds rank (average rank of value within by), ties (rows with this value) and total (rows of by).
+def cumulated(counts: DataFrame, by: list[str], value: str = "value", of: tuple[str, ...] = ("ties",), slices: int = 32) -> DataFrame:
+    """Adds before_<c> (the sum over smaller values) and total_<c> (that over all values) within by, for columns of.
 
-    Values are counted before they are ordered, and each feature's range is cut at approximate quantiles, so
-    that its distinct values are ordered in slices side by side and no task holds a whole feature. The cuts
-    affect the work only: ranks are exact.
+    counts has one row for each by and value. Each feature's values are cut at approximate quantiles, so that
+    they are ordered in slices side by side and no task holds a whole feature. The cuts affect the work only:
+    sums are exact.
     """
-    counts = long.groupBy(*by, value).agg(F.count("*").alias("ties"))
-    cuts = long.groupBy(*by).agg(F.percentile_approx(value, [k / slices for k in range(1, slices)], 1000).alias("_cuts"), F.count("*").alias("total"))
-    sliced = counts.join(F.broadcast(cuts) if not by else cuts, by) if by else counts.crossJoin(F.broadcast(cuts))
-    sliced = sliced.withColumn("_slice", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
-    sums = sliced.groupBy(*by, "_slice").agg(F.sum("ties").alias("_n"))
+    cuts = counts.groupBy(*by).agg(F.percentile_approx(value, [k / slices for k in range(1, slices)], 1000).alias("_cuts"), *(F.sum(c).alias(f"total_{c}") for c in of))
+    sliced = counts.join(cuts, by).withColumn("_slice", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    sums = sliced.groupBy(*by, "_slice").agg(*(F.sum(c).alias(f"_n_{c}") for c in of))
     offset = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("_before", F.coalesce(F.sum("_n").over(offset), F.lit(0))).drop("_n")
+    sums = sums.select(*by, "_slice", *(F.coalesce(F.sum(f"_n_{c}").over(offset), F.lit(0)).alias(f"_b_{c}") for c in of))
     inside = Window.partitionBy(*by, "_slice").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = sliced.join(sums, [*by, "_slice"]).withColumn("rank", F.col("_before") + F.coalesce(F.sum("ties").over(inside), F.lit(0)) + (F.col("ties") + 1) / 2)
-    return long.join(ranked.select(*by, value, "rank", "ties", "total"), [*by, value])
+    placed = sliced.join(sums, [*by, "_slice"])
+    return placed.withColumns({f"before_{c}": F.col(f"_b_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in of}).drop("_slice", *(f"_b_{c}" for c in of))
+
+
+#: The average rank of a value, and the distance of two distribution functions at it, from cumulated counts.
+RANK = "before_ties + (ties + 1) / 2D"
+GAP = "abs((before_a + a) / nullif(total_a, 0) - (before_b + b) / nullif(total_b, 0))"
+
+
+def average_ranks(long: DataFrame, by: list[str], value: str = "value", slices: int = 32) -> DataFrame:
+    """Adds rank (average rank of value within by), ties (rows with this value) and total (rows of by)."""
+    ranked = cumulated(long.groupBy(*by, value).agg(F.count("*").alias("ties")), by, value, slices=slices)
+    return long.join(ranked.select(*by, value, F.expr(RANK).alias("rank"), "ties", F.col("total_ties").alias("total")), [*by, value])
+
+
+def quantile_of(c: str, probs: dict[str, float], value: str = "value") -> tuple[list[Column], list[Column]]:
+    """Aggregates over cumulated rows, and the columns to select from them, for exact quantiles with linear
+    interpolation of the rows that column c counts."""
+    aggs, columns = [F.first(f"total_{c}").alias(f"_t_{c}")], []
+    for name, p in probs.items():
+        h = (F.col(f"total_{c}") - 1) * F.lit(p)
+        for end, k in (("l", F.floor(h)), ("h", F.ceil(h))):
+            aggs.append(F.max(F.when((F.col(f"before_{c}") <= k) & (k < F.col(f"before_{c}") + F.col(c)), F.col(value))).alias(f"_{end}_{name}"))
+        share = (F.col(f"_t_{c}") - 1) * F.lit(p)
+        columns.append((F.col(f"_l_{name}") + (F.col(f"_h_{name}") - F.col(f"_l_{name}")) * (share - F.floor(share))).alias(name))
+    return aggs, columns
+
+
+def quantiles(long: DataFrame, by: list[str], probs: dict[str, float], value: str = "value", slices: int = 32) -> DataFrame:
+    """by and one column for each named probability: exact quantiles with linear interpolation."""
+    placed = cumulated(long.groupBy(*by, value).agg(F.count("*").alias("ties")), by, value, slices=slices)
+    aggs, columns = quantile_of("ties", probs, value)
+    return placed.groupBy(*by).agg(*aggs).select(*by, *columns)
 
 
 def benjamini_hochberg(table: DataFrame, p: str = "p_value", by: list[str] | None = None) -> DataFrame:
@@ -55,10 +84,12 @@ def kruskal_wallis(long: DataFrame, label: str = "label", by: str = "feature", v
     have a null statistic.
     """
     rows = present(long, value).where(F.col(label).isNotNull())
-    sizes = rows.groupBy(by, label).agg(F.count("*").alias("_n")).where("_n >= 2").select(by, label)
-    rows = rows.join(sizes, [by, label])
-    ranked = average_ranks(rows, [by], value)
-    groups = ranked.groupBy(by, label).agg(F.sum("rank").alias("r"), F.count("*").alias("n"), F.sum(F.col("ties").cast("double") * F.col("ties") - 1).alias("tie"))
+    counts = rows.groupBy(by, value, label).agg(F.count("*").alias("_k"))
+    sizes = counts.groupBy(by, label).agg(F.sum("_k").alias("_n")).where("_n >= 2").select(by, label)
+    values = counts.join(sizes, [by, label]).groupBy(by, value).agg(F.sum("_k").alias("ties"), F.collect_list(F.struct(F.col(label).alias("label"), "_k")).alias("_labels"))  # labels at most
+    ranked = cumulated(values, [by], value).select(by, "ties", F.expr(RANK).alias("rank"), F.explode("_labels").alias("_l"))
+    k = F.col("_l._k")
+    groups = ranked.groupBy(by, F.col("_l.label").alias("label")).agg(F.sum(F.col("rank") * k).alias("r"), F.sum(k).alias("n"), F.sum((F.col("ties").cast("double") * F.col("ties") - 1) * k).alias("tie"))
     total = groups.groupBy(by).agg(F.count("*").alias("groups"), F.sum("n").alias("n"), F.sum(F.col("r") * F.col("r") / F.col("n")).alias("rr"), F.sum("tie").alias("tie")).where("groups >= 2")
     n = F.col("n").cast("double")
     correction = 1 - F.col("tie") / (n * n * n - n)
@@ -76,12 +107,14 @@ def mann_whitney(long: DataFrame, pairs: DataFrame, label: str = "label", by: st
     rows = present(long, value).select(F.col(label).cast("string").alias("_label"), by, value)
     sides = pairs.select(F.concat_ws("_vs_", "label_left", "label_right").alias("comparison"), F.explode(F.array(F.struct(F.col("label_left").alias("l"), F.lit(True).alias("left")), F.struct(F.col("label_right").alias("l"), F.lit(False).alias("left")))).alias("s"))
     sides = sides.select("comparison", F.col("s.l").alias("_label"), "s.left")
-    ranked = average_ranks(rows.join(F.broadcast(sides), "_label"), ["comparison", by], value)
-    mine = F.col("left")
-    out = ranked.groupBy("comparison", by).agg(
-        F.sum(mine.cast("long")).alias("n_left"), F.sum((~mine).cast("long")).alias("n_right"), F.percentile(F.when(mine, F.col(value)), 0.5).alias("median_left"),
-        F.percentile(F.when(~mine, F.col(value)), 0.5).alias("median_right"), F.sum(F.when(mine, F.col("rank")).otherwise(0.0)).alias("r"), F.sum(F.col("ties").cast("double") * F.col("ties") - 1).alias("tie"),
-    ).where("n_left >= 2 and n_right >= 2")
+    sided = rows.join(F.broadcast(sides), "_label")  # a row for each pair and side
+    left = F.col("left").cast("long")
+    counts = sided.groupBy("comparison", by, value).agg(F.sum(left).alias("a"), F.sum(1 - left).alias("b"), F.count("*").alias("ties"))
+    ranked = cumulated(counts, ["comparison", by], value, ("ties", "a", "b"))
+    (on_a, med_a), (on_b, med_b) = quantile_of("a", {"median_left": 0.5}, value), quantile_of("b", {"median_right": 0.5}, value)
+    squares = F.sum((F.col("ties").cast("double") * F.col("ties") - 1) * F.col("ties")).alias("tie")
+    out = ranked.groupBy("comparison", by).agg(F.sum("a").alias("n_left"), F.sum("b").alias("n_right"), F.sum(F.expr(RANK) * F.col("a")).alias("r"), squares, *on_a, *on_b).where("n_left >= 2 and n_right >= 2")
+    out = out.select("comparison", by, "n_left", "n_right", *med_a, *med_b, "r", "tie")
     u = F.col("r") - F.col("n_left") * (F.col("n_left") + 1) / 2
     out = out.withColumn("u", u).withColumn("rank_biserial", 2 * F.col("u") / (F.col("n_left") * F.col("n_right")) - 1)
     out = out.withColumn("p_value", mannwhitney_p("u", "n_left", "n_right", "tie")).drop("r", "tie")
@@ -131,17 +164,19 @@ def ks_statistic(long: DataFrame, side: Column, by: list[str], value: str = "val
 
     Null where a sample is empty.
     """
-    rows = present(long, value).withColumn("_a", side)
-    counts = rows.groupBy(*by, value).agg(F.sum(F.col("_a").cast("long")).alias("a"), F.sum((~F.col("_a")).cast("long")).alias("b"))
-    group, upto = Window.partitionBy(*by), Window.partitionBy(*by).orderBy(value)
-    gap = F.abs(F.sum("a").over(upto) / F.nullif(F.sum("a").over(group), F.lit(0)) - F.sum("b").over(upto) / F.nullif(F.sum("b").over(group), F.lit(0)))
-    return counts.withColumn("_gap", gap).groupBy(*by).agg(F.sum("a").alias("n_a"), F.sum("b").alias("n_b"), F.max("_gap").alias("ks"))
+    placed = _two_sides(present(long, value).withColumn("_a", side), by, value)
+    return placed.groupBy(*by).agg(F.sum("a").alias("n_a"), F.sum("b").alias("n_b"), F.max(F.expr(GAP)).alias("ks"))
+
+
+def _two_sides(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Cumulated counts of both sides; _a is true for a."""
+    mine = F.col("_a").cast("long")
+    return cumulated(rows.groupBy(*by, value).agg(F.sum(mine).alias("a"), F.sum(1 - mine).alias("b")), by, value, ("a", "b"))
 
 
 def moments(value: Column, prefix: str) -> list[Column]:
-    """n, mean, sd (n - 1), median and interquartile range of a column."""
-    quartiles = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return [F.count(value).alias(f"n_{prefix}"), F.avg(value).alias(f"mean_{prefix}"), F.stddev_samp(value).alias(f"sd_{prefix}"), quartiles[1].alias(f"median_{prefix}"), (quartiles[2] - quartiles[0]).alias(f"iqr_{prefix}")]
+    """n, mean and sd (n - 1) of a column."""
+    return [F.count(value).alias(f"n_{prefix}"), F.avg(value).alias(f"mean_{prefix}"), F.stddev_samp(value).alias(f"sd_{prefix}")]
 
 
 def cohens_d(n_a: Column, mean_a: Column, sd_a: Column, n_b: Column, mean_b: Column, sd_b: Column) -> Column:
@@ -156,7 +191,13 @@ def domain_shift(long: DataFrame, side: Column, by: str = "feature", value: str
     rows = present(long, value).withColumn("_a", side)
     out = rows.groupBy(by).agg(*moments(F.when(F.col("_a"), F.col(value)), "a"), *moments(F.when(~F.col("_a"), F.col(value)), "b"))
     out = out.withColumn("cohens_d", cohens_d(*(F.col(c) for c in ("n_a", "mean_a", "sd_a", "n_b", "mean_b", "sd_b"))))
-    return out.join(ks_statistic(rows, F.col("_a"), [by], value).select(by, "ks"), by, "left")
+    aggs, columns = [], []
+    for c in ("a", "b"):
+        on, named = quantile_of(c, {f"_q1_{c}": 0.25, f"median_{c}": 0.5, f"_q3_{c}": 0.75}, value)
+        aggs, columns = aggs + on, columns + named
+    order = _two_sides(rows, [by], value).groupBy(by).agg(F.max(F.expr(GAP)).alias("ks"), *aggs).select(by, "ks", *columns)
+    order = order.select(by, "ks", "median_a", "median_b", (F.col("_q3_a") - F.col("_q1_a")).alias("iqr_a"), (F.col("_q3_b") - F.col("_q1_b")).alias("iqr_b"))
+    return out.join(order, by)
 
 
 def ols_hc3(wide: DataFrame, design: list[str], features: list[str], tested: list[str], contrasts: dict[str, dict[str, float]] | None = None) -> DataFrame:
@@ -220,4 +261,4 @@ def ols_hc3(wide: DataFrame, design: list[str], features: list[str], tested: lis
     return solved.join(meat, "feature").mapInPandas(solve, schema)
 
 
-__all__ = ["average_ranks", "benjamini_hochberg", "chi_square", "cohens_d", "domain_shift", "kruskal_wallis", "ks_statistic", "label_pairs", "mann_whitney", "moments", "ols_hc3", "present", "spearman"]
+__all__ = ["average_ranks", "benjamini_hochberg", "chi_square", "cohens_d", "cumulated", "domain_shift", "kruskal_wallis", "ks_statistic", "label_pairs", "mann_whitney", "moments", "ols_hc3", "present", "quantiles", "spearman"]
