@@ -33,6 +33,8 @@ from pyspark.sql import types as T
 from cohortlens.llm.common import materialise, read, release
 
 WINDOW, GRAM, HOT = 50, 24, 1000
+#: Windows that a mark tells about at most.
+MASK = 62
 #: Bytes of text that a task packs at once, that numpy looks at at once, and for which there is a bucket.
 PACK, PIECE, BUCKET = 8 << 20, 1 << 20, 3 << 20
 _A, _B, _C, _M = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
@@ -129,9 +131,11 @@ def _blocks(batches: Iterator[pa.RecordBatch], listed: bool = False) -> Iterator
 
 def _packed(bucket: np.ndarray, **columns: np.ndarray) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
     """The columns' rows by bucket."""
+    if not len(bucket):
+        return
     order = np.argsort(bucket, kind="stable")
     bucket = bucket[order]
-    cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
+    cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
     columns = {k: v[order] for k, v in columns.items()}
     for a, b in zip(cuts, np.append(cuts[1:], len(bucket)), strict=True):
         yield int(bucket[a]), {k: v[a:b] for k, v in columns.items()}
@@ -250,8 +254,8 @@ def _pairs(ids: np.ndarray, h: np.ndarray, hot: np.ndarray) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([pa.array(ids[a : a + 50_000]), pa.array(anchors[a : a + 50_000])], names=["doc_id", "anchor"])
 
 
-_RUNS = "p int, ids binary, keys binary, firsts binary, lengths binary, tags binary, bytes binary"
-_RUNS_ARROW = pa.schema([("p", pa.int32())] + [(k, pa.binary()) for k in ("ids", "keys", "firsts", "lengths", "tags", "bytes")])
+_RUNS = "p int, ids binary, keys binary, firsts binary, lengths binary, tags binary, bytes binary, masks binary"
+_RUNS_ARROW = pa.schema([("p", pa.int32())] + [(k, pa.binary()) for k in ("ids", "keys", "firsts", "lengths", "tags", "bytes", "masks")])
 
 
 def _gather(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -262,7 +266,7 @@ def _gather(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray
 
 
 def _contexts(buckets: int, window: int, gram: int):
-    """Pack the runs around repeated anchors by bucket. Runs known to be marked (length over 100) are passed on as marks."""
+    """Pack the runs around repeated anchors by bucket. Rows with masks are marks that are known here, passed on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches, True):
@@ -287,25 +291,35 @@ def _contexts(buckets: int, window: int, gram: int):
             # Of equal runs the smallest doc_id's stands for the block; larger ones are marked at once.
             order, later = _fold(data, first, length + window - 1, ids[text])
             first, length, text, h = first[order], length[order], text[order], h[order]
-            bucket = np.where(later, _mixed(ids[text].view(np.uint64)) % np.uint64(buckets), h % np.uint64(buckets)).astype(np.int64)
-            for p, c in _packed(bucket, first=first, length=length, text=text, later=later, h=h):
-                done = c["later"]
-                got = _gather(data, c["first"][~done], c["length"][~done] + window - 1)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([p], pa.int32())]
-                    + [
-                        pa.array([x], pa.binary())
-                        for x in (
-                            ids[c["text"]].astype("<i8").tobytes(), keys[c["text"]].astype("<i8").tobytes(), (c["first"] - starts[c["text"]]).astype("<i8").tobytes(),
-                            (c["length"] + 100 * done).astype("u1").tobytes(), (c["h"][~done] >> np.uint64(16)).astype("<u4").tobytes(), got.tobytes(),
-                        )
-                    ],
-                    schema=_RUNS_ARROW,
-                )
+            own, place, mask = _masks(np.repeat(text[later], length[later]), _gather(np.arange(len(data)), first[later], length[later]) - np.repeat(starts[text[later]], length[later]))
+            spread = (_mixed(ids[own].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+            for p, c in _packed(spread, own=own, place=place, mask=mask):
+                yield _row(_RUNS_ARROW, p, ids=ids[c["own"]], keys=keys[c["own"]], firsts=c["place"], masks=c["mask"])
+            first, length, text, h = first[~later], length[~later], text[~later], h[~later]
+            for p, c in _packed((h % np.uint64(buckets)).astype(np.int64), first=first, length=length, text=text, h=h):
+                t = c["text"]
+                yield _row(
+                    _RUNS_ARROW, p, ids=ids[t], keys=keys[t], firsts=c["first"] - starts[t], lengths=c["length"].astype("u1"), tags=(c["h"] >> np.uint64(16)).astype("<u4"), bytes=_gather(data, c["first"], c["length"] + window - 1)
+                )
 
     return run
 
 
+def _row(schema: pa.Schema, p: int, **columns: np.ndarray) -> pa.RecordBatch:
+    """One row of packed columns; those not given are empty."""
+    return pa.RecordBatch.from_arrays([pa.array([p], pa.int32())] + [pa.array([columns[n].tobytes() if n in columns else b""], pa.binary()) for n in schema.names[1:]], schema=schema)
+
+
+def _masks(text: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of texts as (text, first, mask): bit k of a mask is the window first + k; first is a multiple of MASK."""
+    code = text.astype(np.int64) << 40 | window // MASK
+    order = np.argsort(code, kind="stable")
+    code, bits = code[order], np.int64(1) << (window[order] % MASK)
+    starts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
+    mask = np.bitwise_or.reduceat(bits, starts) if len(code) else np.zeros(0, np.int64)
+    return code[starts] >> 40, (code[starts] & ((1 << 40) - 1)) * MASK, mask
+
+
 def _fold(data: np.ndarray, first: np.ndarray, width: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """An order of the runs in which equal ones are neighbours, and which of them a smaller id has too."""
     tag = _fingerprints(data, first, width)
@@ -391,13 +405,12 @@ def window_ranks(data: np.ndarray, positions: np.ndarray, window: int = WINDOW)
 def _marks(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _by_bucket(batches):
-            cat = lambda k, kind: np.frombuffer(b"".join(r[k] for r in rows), kind)
-            ids, keys, firsts, lengths, data = cat("ids", "<i8"), cat("keys", "<i8"), cat("firsts", "<i8"), cat("lengths", "u1").astype(np.int64), cat("bytes", "u1")
-            tags = cat("tags", "<u4")
-            rows.clear()
-            done = lengths > 100
-            yield from _mark_rows(ids[done], keys[done], firsts[done], (1 << (lengths[done] - 100)) - 1)
-            ids, keys, firsts, lengths = ids[~done], keys[~done], firsts[~done], lengths[~done]
+            done, rows = [r for r in rows if r["masks"]], [r for r in rows if not r["masks"]]
+            cat = lambda k, kind, of: np.frombuffer(b"".join(r[k] for r in of), kind)
+            yield from _mark_rows(*(cat(k, "<i8", done) for k in ("ids", "keys", "firsts", "masks")))
+            ids, keys, firsts = (cat(k, "<i8", rows) for k in ("ids", "keys", "firsts"))
+            lengths, tags, data = cat("lengths", "u1", rows).astype(np.int64), cat("tags", "<u4", rows), cat("bytes", "u1", rows)
+            del rows, done
             if not len(ids):
                 continue
             width = lengths + window - 1
@@ -465,7 +478,7 @@ def _cut(window: int):
                         own = key == _text_key(text)
                         first, mask = first[own], mask[own]
                         edge = np.zeros(len(text) + 1, np.int64)
-                        for bit in range(window):
+                        for bit in range(MASK):
                             hits = first[(mask >> bit) & 1 == 1] + bit
                             np.add.at(edge, hits, 1)
                             np.add.at(edge, hits + window, -1)
