@@ -23,10 +23,16 @@ RATIOS = (("theta", "alpha"), ("delta", "alpha"))
 
 
 def average_reference(df: DataFrame, keys: list[str], samples: str = "samples") -> DataFrame:
-    """Each sample minus the mean over the recording's channels at that instant; channels need equal lengths."""
-    points = df.select(*keys, F.posexplode(samples).alias("_t", "_x"))
-    means = points.groupBy(*keys, "_t").agg(F.avg("_x").alias("_m")).groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_t", "_m"))), lambda p: p["_m"]).alias("_mean"))
-    return df.join(means, keys).withColumn(samples, F.zip_with(F.col(samples), F.col("_mean"), lambda x, m: x - m)).drop("_mean")
+    """Each sample minus the mean over the recording's channels at that instant; channels need equal lengths.
+
+    A recording's channels are gathered as arrays, so no row is made for a sample.
+    """
+    others = [c for c in df.columns if c not in keys]
+    rows = df.groupBy(*keys).agg(F.collect_list(F.struct(*others)).alias("_rows"))  # a montage's channels
+    total = F.aggregate(F.slice("_rows", 2, F.size("_rows")), F.col("_rows")[0][samples], lambda sums, row: F.zip_with(sums, row[samples], lambda a, b: a + b))
+    means = rows.withColumn("_mean", F.transform(total, lambda x: x / F.size("_rows")))
+    out = means.select(*keys, "_mean", F.explode("_rows").alias("_row")).select(*keys, "_mean", "_row.*")
+    return out.withColumn(samples, F.zip_with(F.col(samples), F.col("_mean"), lambda x, m: x - m)).select(*df.columns)
 
 
 def crop(samples: Column, rate: float, minutes: float) -> Column:

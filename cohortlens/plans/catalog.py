@@ -233,6 +233,18 @@ def ols_hc3(spark, sf):
     return rounded(out.select("feature", "n", "wald", "df", "p_value", "estimate", "robust_se", "z"))
 
 
+@query(
+    f"""with rows as (select 'b' as feature, c_mktsegment as label, c_acctbal as value from customer union all select 'k', c_mktsegment, c_custkey % 50 from customer), {KRUSKAL}
+select feature as variable, 'kruskal' as test, {r('statistic')} as statistic, {r('greatest(0, (statistic - groups + 1) / (n - groups))')} as effect_size from h"""
+)
+def confound_tests(spark, sf):
+    """Kruskal-Wallis with epsilon squared of two nuisance variables over five groups; p is checked by the tests."""
+    from cohortlens.plans.study import confound_tests
+
+    c = table(spark, sf, "customer").select("c_mktsegment", F.col("c_acctbal").alias("b"), (F.col("c_custkey") % 50).alias("k"))
+    return rounded(confound_tests(c, "c_mktsegment", ["b", "k"]).drop("p_value"))
+
+
 # --- cohort tables --------------------------------------------------------------------------------------------
 
 

@@ -96,6 +96,13 @@ def read_archive(spark: SparkSession, path: str, condition: str | None = None, c
     return reader.load(path).withColumn("participant_id", F.concat_ws("_", "group", "subject"))
 
 
+def list_members(spark: SparkSession, path: str) -> DataFrame:
+    """name of every safe member of an archive that is no folder, sorted; only the archive's directory is read."""
+    with zipfile.ZipFile(io.BytesIO(_read(path))) as z:
+        names = sorted(n for n in z.namelist() if safe_member(n))
+    return spark.createDataFrame([(n,) for n in names], "name string")
+
+
 def index_members(names: DataFrame, condition: str, channels: tuple[str, ...] = CHANNELS, per_condition: bool = False) -> DataFrame:
     """group, subject, channels, missing, extra of subjects that have the condition, from member names (name).
 

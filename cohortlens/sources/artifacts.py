@@ -44,6 +44,14 @@ def write_csv(df: DataFrame, path: str, compression: str = "none", single: bool
     (df.coalesce(1) if single else df).write.mode("overwrite").option("header", "true").option("compression", compression).csv(path)
 
 
+def write_marked_csv(df: DataFrame, path: str, rows: int = 100_000) -> None:
+    """One CSV file with a byte-order mark for spreadsheet programs, of a small table; an error beyond rows."""
+    held = df.limit(rows + 1).toPandas()
+    if len(held) > rows:
+        raise ValueError(f"more than {rows} rows")
+    held.to_csv(path, index=False, encoding="utf-8-sig")
+
+
 def write_json(value, path: str, allow_nan: bool = False) -> None:
     """JSON of a small summary; NaN is an error unless allowed."""
     Path(path).write_text(json.dumps(value, indent=2, ensure_ascii=False, allow_nan=allow_nan) + "\n", encoding="utf-8")

@@ -118,7 +118,8 @@ def test_archive_and_participants(spark, tmp_path):
         z.writestr("EEG_data/AD/Eyes_closed/Paciente1/F1.txt", "1")
     got = {r["participant_id"]: r for r in archive.read_archive(spark, str(path), "Eyes_closed", expected=3).collect()}
     assert got["AD_Paciente1"]["samples"] == [1.0, 2.5, 3.0] and got["AD_Paciente2"]["error"] and "2 samples" in got["AD_Paciente3"]["error"] and len(got) == 3
-    names = spark.createDataFrame([(n,) for n in zipfile.ZipFile(path).namelist()], "name string")
+    names = archive.list_members(spark, str(path))
+    assert names.count() == 5
     index = {r["subject"]: r for r in archive.index_members(names, "Eyes_closed", ("Fp1", "F1")).collect()}
     assert index["Paciente1"]["missing"] == [] and index["Paciente2"]["missing"] == ["F1"]
     tsv = tmp_path / "p.tsv"
@@ -140,3 +141,13 @@ def test_stream_windows_equal_batch(spark, sf, tmp_path):
     got = run_available(spark, sf, "events.parquet", schema, str(tmp_path / "out"), str(tmp_path / "state"))
     want = windowed(spark.read.parquet(f"{sf}/events.parquet"), late=None)
     assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0 < got.where(F.col("n") > 0).count()
+
+
+def test_remote_listing_follows_pages_and_folders(spark):
+    from cohortlens.sources import remote
+
+    file = lambda n, size: {"attributes": {"kind": "file", "name": n, "size": size}, "links": {"download": f"d/{n}"}}
+    folder = {"attributes": {"kind": "folder", "name": "sub"}, "relationships": {"files": {"links": {"related": {"href": "u2"}}}}}
+    pages = {"u": {"data": [file("a.TXT", 3), folder], "links": {"next": "u1"}}, "u1": {"data": [file("b", 4)]}, "u2": {"data": [file("c.csv", None)], "links": {"next": "u"}}}
+    got = {r["path"]: (r["size"], r["ext"], r["download"]) for r in remote.remote_manifest(spark, "u", pages.__getitem__).collect()}
+    assert got == {"a.TXT": (3, ".txt", "d/a.TXT"), "b": (4, "", "d/b"), "sub/c.csv": (None, ".csv", "d/c.csv")}
