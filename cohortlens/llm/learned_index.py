@@ -23,12 +23,14 @@ from pyspark.sql import functions as F
 from cohortlens.llm.common import materialise, read
 
 SAMPLE, HELD_OUT, NEIGHBOURS, HIDDEN, EPOCHS = 8192, 1024, 16, 128, 8
-#: Parts; as many at every size, so that what a query returns from the parts it visits grows with the queries only.
-PARTS = 16
+#: Numbers of parts to try on the sample, fewest first; more are taken where they cut the share of parts that a query
+#: visits to less than GAIN of what it was. The choice depends on the vectors, not on how many there are.
+PARTS, GAIN = (16, 128), 0.6
 #: Below this number of vectors every part is visited, so results are exact.
 SMALL = 4096
 TARGET_RECALL = 0.95
-BLOCK = 4096
+#: Vectors that a task holds at once, and queries that it compares with them at once.
+BLOCK, CHUNK = 16_384, 128
 
 
 def partition_graph(x: np.ndarray, near: np.ndarray, parts: int, rounds: int = 12, slack: float = 1.1) -> np.ndarray:
@@ -154,6 +156,16 @@ def fit_index(x: np.ndarray, parts: int, k: int, recall: float = TARGET_RECALL)
     return router, parts
 
 
+def choose_index(x: np.ndarray, k: int, recall: float = TARGET_RECALL) -> tuple[Router | OnePart, int, int]:
+    """The router, the parts to visit and the number of parts, among PARTS, from a sample of vectors."""
+    router, probes, parts = OnePart(), 1, 1
+    for count in PARTS:
+        other, visits = fit_index(x, count, k, recall)
+        if not isinstance(other, OnePart) and (parts == 1 or visits / count < GAIN * probes / parts):
+            router, probes, parts = other, visits, count
+    return router, probes, parts
+
+
 def _bytes(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<f8").reshape(len(column), -1)
 
@@ -211,8 +223,8 @@ def _compare(k: int):
                     continue
                 if matrix is None:
                     matrix = np.frombuffer(b"".join(vectors), "<f8").reshape(len(vectors), -1)
-                for c in range(a, b, 256):
-                    yield _best(key.slice(c, min(256, b - c)).to_pylist(), _bytes(vec.slice(c, min(256, b - c))), matrix, ids, k)
+                for c in range(a, b, CHUNK):
+                    yield _best(key.slice(c, min(CHUNK, b - c)).to_pylist(), _bytes(vec.slice(c, min(CHUNK, b - c))), matrix, ids, k)
 
     return run
 
@@ -257,15 +269,13 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, recall: float = TAR
     distinct = each.groupBy("vec").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids"))
     distinct = materialise(distinct, "distinct")
     count = distinct.count()
-    parts = PARTS
     rows = distinct.select("vec").orderBy(F.xxhash64("vec"), "vec").limit(SAMPLE).toPandas()["vec"].tolist()
     sample = np.frombuffer(b"".join(rows), "<f8").reshape(len(rows), -1)
-    router, probes = fit_index(sample, parts, k, recall)
-    parts = 1 if isinstance(router, OnePart) else parts
+    router, probes, parts = choose_index(sample, k, recall)
     placed = materialise(
         distinct.select("ids", "vec").mapInArrow(_route(router, 1, False), "ids array<bigint>, vec binary, parts array<bigint>").select("ids", "vec", F.col("parts")[0].alias("part")), "placed"
     )
-    sizes = dict(placed.groupBy("part").count().collect())  # PARTS rows at most
+    sizes = dict(placed.groupBy("part").count().collect())  # a row for each part
     if count < SMALL:
         probes = parts
     while probes < parts and sum(sorted(sizes.get(p, 0) for p in range(parts))[:probes]) <= k:
