@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: A layout that archive members have to follow; the groups are group, condition, subject and channel.
+#: Fixed value: the layout of archive members; the groups are group, condition, subject and channel.
 MEMBER = r"^EEG_data/(AD|Healthy)/(Eyes_closed|Eyes_open)/(Paciente\d+)/([^/]+)\.txt$"
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 

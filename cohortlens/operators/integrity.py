@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from cohortlens.functions.scalar import is_finite
 
 CHECKS = "name string, status string, detail string"
-#: Marks the byte layout of a fingerprint, so that another layout never compares equal.
-FINGERPRINT_TAG = b"signal-fingerprint:le-f8:v2"
+#: Fixed value: marks the byte layout of a fingerprint, so that another layout never compares equal.
+FINGERPRINT_TAG = b"osf-common19-float64-v2"
 
 
 class GateError(RuntimeError):

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions.scalar import is_finite
 
-#: Frequency bands of the discovery contract, in Hz, half open; the harmonised contract has all but gamma.
+#: Frequency bands in Hz, half open; the harmonised vector has all but gamma.
 BANDS = {"delta": (1.0, 4.0), "theta": (4.0, 8.0), "alpha": (8.0, 13.0), "beta": (13.0, 30.0), "gamma": (30.0, 45.0)}
-#: Columns that are no features.
+#: Columns that are no features.
 METADATA = ("participant_id", "label", "Group", "Gender", "Age", "MMSE", "n_epochs")
 
 

@@ -17,8 +17,11 @@ from pyspark.sql import functions as F
 from cohortlens.functions.scalar import safe_log10, safe_log_ratio
 from cohortlens.operators.relational import bands_table, in_band, membership
 
-#: The 19 common channels in their fixed order.
+#: The 19 common channels in the order of fingerprints, their regions, and the band ratios.
 CHANNELS = ("Fp1", "Fp2", "F3", "F4", "C3", "C4", "P3", "P4", "O1", "O2", "F7", "F8", "T3", "T4", "T5", "T6", "Fz", "Cz", "Pz")
+REGIONS = {
+    "frontal": ("Fp1", "Fp2", "F3", "F4", "F7", "F8", "Fz"), "temporal": ("T3", "T4", "T5", "T6"), "central": ("C3", "C4", "Cz"), "parietal": ("P3", "P4", "Pz"), "occipital": ("O1", "O2"),
+}
 RATIOS = (("theta", "alpha"), ("delta", "alpha"))
 
 

@@ -19,7 +19,7 @@ def present(long: DataFrame, value: str = "value") -> DataFrame:
     return long.withColumn(value, nan_to_null(F.col(value).cast("double"))).where(F.col(value).isNotNull())
 
 
-def cumulated(counts: DataFrame, by: list[str], value: str = "value", of: tuple[str, ...] = ("ties",), slices: int = 32) -> DataFrame:
+def cumulated(counts: DataFrame, by: list[str], value: str = "value", of: tuple[str, ...] = ("ties",), slices: int = 16) -> DataFrame:
     """Adds before_<c> (the sum over smaller values) and total_<c> (that over all values) within by, for columns of.
 
     counts has one row for each by and value. Each feature's values are cut at approximate quantiles, so that
@@ -41,7 +41,7 @@ RANK = "before_ties + (ties + 1) / 2D"
 GAP = "abs((before_a + a) / nullif(total_a, 0) - (before_b + b) / nullif(total_b, 0))"
 
 
-def average_ranks(long: DataFrame, by: list[str], value: str = "value", slices: int = 32) -> DataFrame:
+def average_ranks(long: DataFrame, by: list[str], value: str = "value", slices: int = 16) -> DataFrame:
     """Adds rank (average rank of value within by), ties (rows with this value) and total (rows of by)."""
     ranked = cumulated(long.groupBy(*by, value).agg(F.count("*").alias("ties")), by, value, slices=slices)
     return long.join(ranked.select(*by, value, F.expr(RANK).alias("rank"), "ties", F.col("total_ties").alias("total")), [*by, value])
@@ -60,7 +60,7 @@ def quantile_of(c: str, probs: dict[str, float], value: str = "value") -> tuple[
     return aggs, columns
 
 
-def quantiles(long: DataFrame, by: list[str], probs: dict[str, float], value: str = "value", slices: int = 32) -> DataFrame:
+def quantiles(long: DataFrame, by: list[str], probs: dict[str, float], value: str = "value", slices: int = 16) -> DataFrame:
     """by and one column for each named probability: exact quantiles with linear interpolation."""
     placed = cumulated(long.groupBy(*by, value).agg(F.count("*").alias("ties")), by, value, slices=slices)
     aggs, columns = quantile_of("ties", probs, value)

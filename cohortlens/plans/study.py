@@ -20,7 +20,7 @@ import shutil
 from datetime import datetime, timezone
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortlens.operators import connectivity, integrity, metrics, ml, relational, signal, stats
@@ -101,7 +101,7 @@ def features_of(epochs: DataFrame, settings: dict, rate: float) -> DataFrame:
     """participant_id, feature, value; n_epochs is a feature."""
     bands, regions = {k: tuple(v) for k, v in settings.get("bands", relational.BANDS).items()}, settings.get("regions", {})
     ratios = [tuple(r) for r in settings.get("ratios", signal.RATIOS)]
-    regions = regions or {"all": [r["channel"] for r in epochs.select("channel").distinct().limit(1000).collect()]}
+    regions = regions or signal.REGIONS
     if settings.get("flavour", "discovery") == "archive":
         spectra = signal.welch_psd(concatenated(epochs), rate, settings.get("segment", signal.resolution_segment(rate)))
         out = signal.archive_features(signal.band_powers(spectra, [*KEYS, "channel"], bands), KEYS, regions, ratios)
@@ -112,7 +112,7 @@ def features_of(epochs: DataFrame, settings: dict, rate: float) -> DataFrame:
     return out.unionByName(counts)
 
 
-def harmonised_features(recordings: DataFrame, rate: float, regions: dict[str, list[str]], channels: tuple[str, ...] = signal.CHANNELS) -> tuple[DataFrame, DataFrame]:
+def harmonised_features(recordings: DataFrame, rate: float, regions: dict = signal.REGIONS, channels: tuple[str, ...] = signal.CHANNELS) -> tuple[DataFrame, DataFrame]:
     """(participant_id, feature, value) of the fixed harmonised vector, and failures: a recording that misses one of the
     channels or has a non-finite or flat one fails as a whole. Average reference, 0.5 Hz resolution, four bands."""
     usable, failures = split_failures(recordings.where(F.col("channel").isin(*channels)).withColumn("error", F.lit(None).cast("string")))
@@ -170,8 +170,6 @@ def run_study(spark: SparkSession, contract: dict, subjects_limit: int | None =
     epochs = preprocess(usable, settings).persist()
     silent = people.select(*KEYS).join(epochs, KEYS, "left_anti").join(failures, KEYS, "left_anti").withColumn("error", F.lit("no epochs"))
     long = features_of(epochs, wanted, rate).persist()
-    long.groupBy(*KEYS).agg(F.count("*")).write.mode("overwrite").parquet(f"{staging}/_features_by_participant")
-    shutil.rmtree(f"{staging}/_features_by_participant")
     names = [r["feature"] for r in long.select("feature").distinct().orderBy("feature").collect()]  # a contract's feature names
     wide = relational.to_wide(long, KEYS, names).join(people, KEYS)
     artifacts.write_csv(wide, f"{staging}/features", single=True)
@@ -252,10 +250,5 @@ def topography(features: DataFrame, label: str = "label") -> DataFrame:
 def display_edges(edges: DataFrame, label: str, k: int = 20, value: str = "wpli") -> DataFrame:
     """label, band, source, target, value: the k largest group means of edges with a label."""
     means = edges.groupBy(label, "band", "source", "target").agg(F.avg(value).alias("value"))
-    return integrity.first_of_group(means, [label, "band"], [F.desc("value"), "source", "target"]) if k == 1 else _top(means, [label, "band"], k)
-
-
-def _top(df: DataFrame, by: list[str], k: int) -> DataFrame:
-    from pyspark.sql import Window
-
-    return df.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("value"), "source", "target"))).where(F.col("_r") <= k).drop("_r")
+    order = Window.partitionBy(label, "band").orderBy(F.desc("value"), "source", "target")
+    return means.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).drop("_r")

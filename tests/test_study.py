@@ -70,8 +70,7 @@ def test_harmonised_vector_and_failures(spark):
     rng = np.random.default_rng(1)
     rows = [(p, c, rng.normal(size=1024).tolist()) for p in ("a", "b") for c in CHANNELS if (p, c) != ("b", "Cz")]
     df = spark.createDataFrame(rows, "participant_id string, channel string, samples array<double>")
-    regions = {"frontal": ["Fp1", "F3"], "central": ["C3"], "parietal": ["P3"], "occipital": ["O1"], "temporal": ["T3"]}
-    long, failures = study.harmonised_features(df, 128.0, regions)
+    long, failures = study.harmonised_features(df, 128.0)
     assert {r["participant_id"] for r in long.select("participant_id").distinct().collect()} == {"a"} and long.count() == 36
     assert [(r["participant_id"], r["error"]) for r in failures.collect()] == [("b", "1 channels missing")]
     total = {r["feature"]: r["value"] for r in long.collect()}
