@@ -27,7 +27,8 @@ def cumulated(counts: DataFrame, by: list[str], value: str = "value", of: tuple[
     sums are exact.
     """
     cuts = counts.groupBy(*by).agg(F.percentile_approx(value, [k / slices for k in range(1, slices)], 1000).alias("_cuts"), *(F.sum(c).alias(f"total_{c}") for c in of))
-    sliced = counts.join(cuts, by).withColumn("_slice", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    sliced = counts.join(cuts, by) if by else counts.crossJoin(F.broadcast(cuts))  # one row
+    sliced = sliced.withColumn("_slice", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
     sums = sliced.groupBy(*by, "_slice").agg(*(F.sum(c).alias(f"_n_{c}") for c in of))
     offset = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(*by, "_slice", *(F.coalesce(F.sum(f"_n_{c}").over(offset), F.lit(0)).alias(f"_b_{c}") for c in of))
@@ -148,7 +149,7 @@ def chi_square(table: DataFrame, a: str, b: str) -> DataFrame:
     cells = table.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count("*").alias("o"))
     rows, cols = cells.groupBy(a).agg(F.sum("o").alias("ra")), cells.groupBy(b).agg(F.sum("o").alias("cb"))
     shape = rows.agg(F.count("*").alias("r"), F.sum("ra").alias("n")).crossJoin(cols.agg(F.count("*").alias("c")))
-    full = rows.crossJoin(cols).join(cells, [a, b], "left").crossJoin(F.broadcast(shape))
+    full = rows.crossJoin(F.broadcast(cols)).join(cells, [a, b], "left").crossJoin(F.broadcast(shape))
     expected = F.col("ra") * F.col("cb") / F.col("n")
     yates = F.when((F.col("r") == 2) & (F.col("c") == 2), F.lit(0.5)).otherwise(0.0)
     gap = F.abs(F.coalesce("o", F.lit(0)) - expected)

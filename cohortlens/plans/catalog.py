@@ -196,8 +196,8 @@ c as (select sum(a) over (order by value) / sum(a) over () as fa, sum(b) over (o
 select max(na)::bigint as n_a, max(nb)::bigint as n_b, {r('max(abs(fa - fb))')} as ks from c"""
 )
 def ks_stat(spark, sf):
-    e = table(spark, sf, "events", "event_type", "value").where(F.col("event_type").isin("click", "view")).withColumn("all", F.lit(1))
-    return rounded(stats.ks_statistic(e, F.col("event_type") == "click", ["all"]).drop("all"))
+    e = table(spark, sf, "events", "event_type", "value").where(F.col("event_type").isin("click", "view"))
+    return rounded(stats.ks_statistic(e, F.col("event_type") == "click", []))
 
 
 @query(
@@ -456,8 +456,8 @@ _AUC = "(sum(rk) filter (pos) - count(*) filter (pos) * (count(*) filter (pos) +
 
 @query(f"with s as (select *, quality = 1 as pos, rank() over (order by score) + (count(*) over (partition by score) - 1) / 2.0 as rk from ({SCORED_SQL})) select count(*) filter (pos) as n_pos, count(*) filter (not pos) as n_neg, {r(_AUC)} as auc from s")
 def auc_rank(spark, sf):
-    s = scored(spark, sf).withColumn("all", F.lit(1))
-    return rounded(metrics.auc(s, ["all"], F.col("quality") == 1).drop("all"))
+    s = scored(spark, sf)
+    return rounded(metrics.auc(s, [], F.col("quality") == 1))
 
 
 @query(
@@ -466,8 +466,8 @@ u as (select y, k, v from s unpivot (v for k in (a, b, c))), m as (select *, y =
 e as (select k, {_AUC} as auc from m group by k) select {r('avg(auc)')} as auc_ovr from e having count(auc) = 3"""
 )
 def auc_macro_ovr(spark, sf):
-    li = table(spark, sf, "lineitem").select(F.concat("l_linestatus", "l_returnflag").alias("y"), "l_discount", "l_tax", "l_quantity", F.lit(1).alias("all"))
-    return rounded(metrics.auc_ovr(li, ["all"], "y", {"FA": "l_discount", "FR": "l_tax", "ON": "l_quantity"}).drop("all").where("auc_ovr is not null"))
+    li = table(spark, sf, "lineitem").select(F.concat("l_linestatus", "l_returnflag").alias("y"), "l_discount", "l_tax", "l_quantity")
+    return rounded(metrics.auc_ovr(li, [], "y", {"FA": "l_discount", "FR": "l_tax", "ON": "l_quantity"}).where("auc_ovr is not null"))
 
 
 @query(
@@ -477,8 +477,8 @@ select {r('threshold')} as threshold, tp::bigint as tp, fp::bigint as fp, {r('tp
 union all select 'infinity'::double, 0, 0, 0, 0"""
 )
 def roc_curve(spark, sf):
-    s = scored(spark, sf).withColumn("all", F.lit(1))
-    return rounded(metrics.roc_curve(s, ["all"], F.col("quality") == 1).drop("all"))
+    s = scored(spark, sf)
+    return rounded(metrics.roc_curve(s, [], F.col("quality") == 1))
 
 
 _SCAN = f"with s as ({SCORED_SQL}), k as (select k::int as k, avg((score * 100 + 1e-9 >= k)::int) filter (quality = 1) as tpr, avg((score * 100 + 1e-9 < k)::int) filter (quality = 0) as tnr from s, range(1, 100) g(k) group by k)"
@@ -491,8 +491,8 @@ def threshold_scan(spark, sf):
 
 @query(f"{_SCAN} select k, k / 100 as threshold, {r('(tpr + tnr) / 2')} as balanced_accuracy from k order by round((tpr + tnr) / 2, 12) desc, k limit 1")
 def threshold_lock(spark, sf):
-    scan = metrics.threshold_scan(scored(spark, sf).withColumn("all", F.lit(1)), ["all"], F.col("quality") == 1)
-    return rounded(metrics.lock_threshold(scan, ["all"]).drop("all"))
+    scan = metrics.threshold_scan(scored(spark, sf), [], F.col("quality") == 1)
+    return rounded(metrics.lock_threshold(scan, []))
 
 
 @query()
