@@ -15,8 +15,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A table of the data folder."""
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    """A table of the data folder, dealt over all cores where its files have fewer splits than there are cores.
+
+    A large table has more splits, and nothing is shuffled then.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:

@@ -67,24 +67,24 @@ class LineCRF:
             return cls.plain()
         sequences = [(x[:SEGMENT], y) for x, y in sequences if len(x)]
         n, steps = len(sequences), max(len(x) for x, _ in sequences)
-        x = np.zeros((n, steps, len(FEATURES)))
-        real = np.zeros((n, steps), bool)
-        for k, (rows, _) in enumerate(sequences):
-            x[k, : len(rows)], real[k, : len(rows)] = rows, True
+        # Lines stand one below the other; real says where they go in a grid of texts and steps.
+        x = np.concatenate([rows for rows, _ in sequences])
+        real = np.arange(steps) < np.array([len(rows) for rows, _ in sequences])[:, None]
         y = np.array([label for _, label in sequences])
         weight = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum()) / real.sum(1)
-        truth = np.zeros((n, steps, 2))
-        truth[np.arange(n), :, y] = 1.0
-        truth *= real[..., None]
+        each = np.repeat(weight, real.sum(1))[:, None]
+        truth = np.eye(2)[np.repeat(y, real.sum(1))]
+        scores = np.zeros((n, steps, 2))
         links = (real[:, 1:].sum(1) * weight).astype(float)
         true_moves = np.diag([links[y == 0].sum(), links[y == 1].sum()])
         params = np.zeros(2 * len(FEATURES) + 4)
         mean, square = np.zeros_like(params), np.zeros_like(params)
         for t in range(1, rounds + 1):
             emit, move = params[:-4].reshape(2, -1), params[-4:].reshape(2, 2)
-            marginal, pairs = _marginals(x @ emit.T, move, real)
-            grad_emit = np.einsum("ntl,ntf,n->lf", marginal - truth, x, weight)
-            grad_move = np.einsum("nab,n->ab", pairs, weight) - true_moves
+            scores[real] = x @ emit.T
+            marginal, pairs = _marginals(scores, move, real)
+            grad_emit = ((marginal[real] - truth) * each).T @ x
+            grad_move = np.tensordot(weight, pairs, 1) - true_moves
             grad = np.concatenate([grad_emit.ravel(), grad_move.ravel()]) + penalty * params
             mean, square = 0.9 * mean + 0.1 * grad, 0.99 * square + 0.01 * grad**2
             params = params - 0.1 * (mean / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.99**t)) + 1e-8)
@@ -111,21 +111,21 @@ class LineCRF:
 def _marginals(scores: np.ndarray, move: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The probability of each label at each step, and the expected label pairs of each sequence."""
     n, steps, _ = scores.shape
-    ahead = np.zeros((n, steps, 2))
-    ahead[:, 0] = scores[:, 0]
-    for t in range(1, steps):
-        new = np.logaddexp(ahead[:, t - 1, :1] + move[0], ahead[:, t - 1, 1:] + move[1]) + scores[:, t]
-        ahead[:, t] = np.where(real[:, t, None], new, ahead[:, t - 1])
-    total = np.logaddexp(ahead[:, -1, 0], ahead[:, -1, 1])
-    behind = np.zeros((n, steps, 2))
-    pairs = np.zeros((n, 2, 2))
+    m, here = np.exp(move), real.T[..., None]
+    e = np.ascontiguousarray(np.exp(scores - scores.max(2, keepdims=True)).transpose(1, 0, 2))  # steps first
+    ahead, behind = np.empty((steps, n, 2)), np.ones((steps, n, 2))
+    ahead[0] = e[0] / e[0].sum(1, keepdims=True)
+    for t in range(1, steps):  # scaled to sums of 1, which later divisions take out again
+        new = ahead[t - 1] @ m * e[t]
+        ahead[t] = np.where(here[t], new / (new[:, :1] + new[:, 1:]), ahead[t - 1])
     for t in range(steps - 1, 0, -1):
-        onward = scores[:, t] + behind[:, t]
-        joint = ahead[:, t - 1, :, None] + move + onward[:, None, :] - total[:, None, None]
-        pairs += np.exp(joint) * real[:, t, None, None]
-        new = np.logaddexp(move[:, 0] + onward[:, :1], move[:, 1] + onward[:, 1:])
-        behind[:, t - 1] = np.where(real[:, t, None], new, behind[:, t])
-    return np.exp(ahead + behind - total[:, None, None]) * real[..., None], pairs
+        new = e[t] * behind[t] @ m.T
+        behind[t - 1] = np.where(here[t], new / (new[:, :1] + new[:, 1:]), behind[t])
+    joint = ahead[:-1, :, :, None] * m * (e[1:] * behind[1:])[:, :, None, :]
+    joint *= (real.T[1:] / joint.sum((2, 3)))[..., None, None]
+    both = ahead * behind
+    both *= (real.T / both.sum(2))[..., None]
+    return both.transpose(1, 0, 2), joint.sum(0)
 
 
 def fit_line_crf(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> LineCRF:
