@@ -854,7 +854,7 @@ def locked_threshold_model(spark, sf):
 # --- streaming (extension) ------------------------------------------------------------------------------------
 
 
-@query(f"select time_bucket(interval 1 hour, ts) as window_start, event_type, count(*) as n, {r('avg(value)')} as mean, {r('max(value) - min(value)')} as ptp from events group by all")
+@query(f"select time_bucket(interval 1 hour, ts) as window_start, event_type, count(*) as n, {r('avg(value)', 9)} as mean, {r('max(value) - min(value)', 9)} as ptp from events group by all")
 def streaming_epochs(spark, sf):
     import uuid
 
@@ -863,4 +863,4 @@ def streaming_epochs(spark, sf):
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_streams"
     folder = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
     schema = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
-    return rounded(run_available(spark, sf, "events.parquet", schema, f"{folder}/out", f"{folder}/state"))
+    return rounded(run_available(spark, sf, "events.parquet", schema, f"{folder}/out", f"{folder}/state"), 9)
