@@ -824,30 +824,31 @@ def frozen_predict(spark, sf):
     return rounded(c.select("c_custkey", "prob", "threshold", "pred_label"))
 
 
-def cohort(spark, sf) -> DataFrame:
-    """A small cohort: the 60 embeddings of labels 0 to 2 with the smallest hashes; a sampling operator's fixed size."""
-    e = table(spark, sf, "embeddings").where("label < 3")
-    few = relational.stratified_head(e.withColumn("_h", F.xxhash64("vec_id")), 60, "label", ["_h", "vec_id"])
-    return few.select("vec_id", F.col("label").cast("string").alias("label"), *(F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(8)), (F.col("vec_id") % 17).cast("double").alias("age"))
+def cohort(spark, sf) -> tuple[DataFrame, list[str]]:
+    """The whole embeddings table as a cohort, and its features: every label and every component."""
+    e = table(spark, sf, "embeddings")
+    features = [f"f{i}" for i in range(e.agg(F.max(F.size("embedding"))).first()[0] or 0)]
+    return e.select("vec_id", F.col("label").cast("string").alias("label"), *(F.get("embedding", F.lit(i)).cast("double").alias(f) for i, f in enumerate(features)), (F.col("vec_id") % 17).cast("double").alias("age")), features
 
 
 @query()
 def nested_cv(spark, sf):
-    c = cohort(spark, sf)
-    pred = ml.nested_cv(c, "vec_id", "label", [f"f{i}" for i in range(8)], {"logistic": ml.GRIDS["logistic"], "svm_rbf": {"C": (1.0,), "gamma": ("scale",)}, "random_forest": {"depth": (3,)}}, 5)
-    return rounded(metrics.accuracy(pred, ["model"]))
+    c, features = cohort(spark, sf)
+    return rounded(metrics.accuracy(ml.nested_cv(c, "vec_id", "label", features), ["model"]))
 
 
 @query()
 def nested_cv_residualized(spark, sf):
-    pred = ml.nested_cv(cohort(spark, sf), "vec_id", "label", [f"f{i}" for i in range(8)], {"logistic": ml.GRIDS["logistic"]}, 5, nuisance=["age"])
-    return pred.select("fold", "participant_id", "true_label", "pred_label")
+    c, features = cohort(spark, sf)
+    pred = ml.nested_cv(c, "vec_id", "label", features, nuisance=["age"])
+    return pred.select("model", "fold", "participant_id", "true_label", "pred_label")
 
 
 @query()
 def locked_threshold_model(spark, sf):
-    two = cohort(spark, sf).where("label in ('0', '1')")
-    pred, frozen = ml.locked_model(two, "vec_id", "label", "1", [f"f{i}" for i in range(8)])
+    """Label 1 against all others."""
+    c, features = cohort(spark, sf)
+    pred, frozen = ml.locked_model(c, "vec_id", "label", "1", features)
     return rounded(pred.withColumn("locked_threshold", F.lit(frozen["threshold"])))
 
 
