@@ -179,7 +179,7 @@ def _verify(blocks: DataFrame, threshold: tuple[int, int]) -> DataFrame:
         ids = np.array([r[0] for r in rows], np.int64)
         side = np.array([r[1] for r in rows])
         found = links_of([np.frombuffer(r[2], "<u8") for r in rows], threshold)
-        if len({*side.tolist()}) > 1:  # two different blocks: links inside one are counted where it meets itself
+        if rows[0][4]:  # two different blocks, even if one is empty: links inside one are counted where it meets itself
             found &= side[:, None] != side[None, :]
         return pa.RecordBatch.from_arrays(
             [pa.array(ids), pa.array(found.sum(1).astype(np.int64)), pa.array(_parts(found, ids)), pa.array(np.full(len(ids), rows[0][3], np.int64))], names=["id", "links", "root", "blocks"]
@@ -193,7 +193,7 @@ def _verify(blocks: DataFrame, threshold: tuple[int, int]) -> DataFrame:
                     yield flush(rows)
                     rows = []
                 key = (part, i, j)
-                rows.append((id_, side, held, blocks))
+                rows.append((id_, side, held, blocks, i != j))
         if rows:
             yield flush(rows)
         release()

@@ -136,6 +136,14 @@ def test_join_equals_brute_force(spark, monkeypatch, few, block):
     assert sorted(map(tuple, lsh_forest.jaccard_join(df).collect()), key=str) == plain_join(rows)
 
 
+def test_links_count_once_beside_an_empty_block(spark, monkeypatch):
+    monkeypatch.setattr(lsh_forest, "BLOCK_SHINGLES", 60)
+    # Two or three near copies make two blocks; in some of the groups all of them fall in one.
+    rows = [(4 * g + k, " ".join([*(f"g{g}w{x}" for x in range(40)), f"end{k}"])) for g in range(16) for k in range(2 + g % 2)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(map(tuple, lsh_forest.jaccard_join(df).collect()), key=str) == plain_join(rows)
+
+
 def test_join_edges(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert lsh_forest.jaccard_join(df).count() == 0
