@@ -1,14 +1,16 @@
 """Mixing sources to target weights by hierarchical budgeting (operator 4).
 
 Sources hang below languages, languages below domains. Budgets go down this tree: each node's budget is shared
-among its children by weight, where no child gets more than the tokens below it allow (its documents' tokens
-times the epochs). What a child cannot take goes to its siblings by their weights, so a shortage is made up for
-next to where it arises and reaches a higher level only if all siblings are used up. A leaf's budget is taken
-as a prefix of its tokens: its documents stand in a seeded order, a new one for each epoch, and are taken until
-the budget is used; the last document gives a prefix of its own tokens.
+among its children by weight, where no child gets more than the leaves below it can take (a leaf with a weight can
+take its documents' tokens times the epochs, one without takes nothing). What a child cannot take goes to its
+siblings by their weights, so a shortage is made up for next to where it arises and reaches a higher level only if
+all siblings are used up. Tokens that the division leaves over go to the largest remainders. A leaf's budget is
+taken as a prefix of its tokens: its documents stand in a seeded order, a new one for each epoch, and are taken
+until the budget is used; the last document gives a prefix of its own tokens.
 
 A leaf may hold most rows, so it is never ordered as a whole: hashes deal its documents into slots, sums over
-slots tell the one that holds the budget's end, and only that slot's documents are ordered.
+slots tell the one that holds the budget's end, and only that slot's documents are ordered. Rows that are equal in
+doc_id, text, language and source are counted first and stand in the order as one.
 """
 
 from __future__ import annotations
@@ -56,97 +58,154 @@ def _share(nodes: DataFrame, parents: list[str]) -> DataFrame:
     """Adds take to nodes (name columns, weight, cap, and budget of their parent).
 
     In the order of cap over weight, a node is full if the share it would get of what is left is at least its
-    cap; the others share the rest. Fractions of a token fall away.
+    cap; the others share the rest: whole tokens first, then one more for each of the largest remainders (at a
+    tie the first by name). All numbers are integers.
     """
     rank = Window.partitionBy(*parents).orderBy((F.col("cap") / F.col("weight")).asc_nulls_last(), *LEVELS)
     before = rank.rowsBetween(Window.unboundedPreceding, -1)
     group = Window.partitionBy(*parents)
+    big = lambda c: c.cast("decimal(19,0)")
     out = (
         nodes.withColumn("weight", F.when((F.col("weight") > 0) & (F.col("cap") > 0), F.col("weight")))
         .withColumn("left_tokens", F.col("budget") - F.coalesce(F.sum("cap").over(before), F.lit(0)))
         .withColumn("left_weight", F.sum("weight").over(group) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
-        .withColumn("full", F.coalesce(F.col("weight").isNotNull() & (F.col("left_tokens").cast("double") * F.col("weight") >= F.col("cap").cast("double") * F.col("left_weight")), F.lit(False)))
-        .withColumn("rest", F.col("budget") - F.coalesce(F.sum(F.when(F.col("full"), F.col("cap"))).over(group), F.lit(0)))
+        .withColumn("full", F.coalesce(F.col("weight").isNotNull() & (big(F.col("left_tokens")) * big(F.col("weight")) >= big(F.col("cap")) * big(F.col("left_weight"))), F.lit(False)))
+        .withColumn("rest", F.greatest(F.lit(0), F.col("budget") - F.coalesce(F.sum(F.when(F.col("full"), F.col("cap"))).over(group), F.lit(0))))
         .withColumn("rest_weight", F.sum(F.when(~F.col("full"), F.col("weight"))).over(group))
+        .withColumn("open", ~F.col("full") & F.col("weight").isNotNull())
+        .withColumn("product", F.when(F.col("open"), big(F.col("rest")) * big(F.col("weight"))))
+        .withColumn("whole", F.expr("product div rest_weight"))
+        .withColumn("part", F.expr("product % rest_weight"))
+        .withColumn("spare", F.col("rest") - F.coalesce(F.sum("whole").over(group), F.lit(0)))
     )
-    share = F.floor(F.col("rest").cast("double") * F.col("weight") / F.col("rest_weight")).cast("long")
-    take = F.when(F.col("weight").isNull(), 0).when(F.col("full"), F.col("cap")).otherwise(F.least("cap", F.greatest(share, F.lit(0))))
-    return out.withColumn("take", take.cast("long")).drop("left_tokens", "left_weight", "full", "rest", "rest_weight")
+    line = Window.partitionBy(*parents).orderBy(F.col("part").desc_nulls_last(), *LEVELS)
+    more = F.when(F.row_number().over(line) <= F.col("spare"), 1).otherwise(0)
+    take = F.when(F.col("weight").isNull(), 0).when(F.col("full"), F.col("cap")).otherwise(F.least("cap", F.col("whole") + more))
+    return out.withColumn("take", take.cast("long")).drop("left_tokens", "left_weight", "full", "rest", "rest_weight", "open", "product", "whole", "part", "spare")
 
 
 def leaf_budgets(leaves: DataFrame, weights: dict, percent: int, epochs: int) -> DataFrame:
     """domain, lang, source, docs, supply, take for each leaf (domain, lang, source, docs, supply).
 
-    The whole budget is percent of all tokens, rounded down.
+    The whole budget is percent of all tokens, rounded down. A node's cap is what the leaves below it can take:
+    nothing where a weight on the way down is 0.
     """
     whole = leaves.agg(F.coalesce(F.sum("supply"), F.lit(0)).alias("s")).select(F.expr(f"s * {int(percent)} div 100").cast("long").alias("budget"))
-    caps = leaves.withColumn("cap", (F.col("supply") * epochs).cast("long"))
-    above = caps.groupBy("domain").agg(F.sum("cap").alias("cap")).crossJoin(F.broadcast(whole))  # one row
+    able = lambda level, cap: F.when(_weight(level, weights) > 0, cap).otherwise(0).cast("long").alias("cap")
+    caps = leaves.select("*", able("source", F.col("supply") * epochs))
+    by_lang = caps.groupBy("domain", "lang").agg(F.sum("cap").alias("cap")).select("domain", "lang", able("lang", F.col("cap")))
+    by_domain = by_lang.groupBy("domain").agg(F.sum("cap").alias("cap")).select("domain", able("domain", F.col("cap"))).crossJoin(F.broadcast(whole))  # one row
     none = [F.lit(None).cast("string").alias(n) for n in LEVELS]
-    domains = _share(above.select("domain", none[1], none[2], "cap", "budget", _weight("domain", weights).alias("weight")), ["budget"])
-    langs = caps.groupBy("domain", "lang").agg(F.sum("cap").alias("cap")).join(domains.select("domain", F.col("take").alias("budget")), "domain")
+    domains = _share(by_domain.select("domain", none[1], none[2], "cap", "budget", _weight("domain", weights).alias("weight")), ["budget"])
+    langs = by_lang.join(domains.select("domain", F.col("take").alias("budget")), "domain")
     langs = _share(langs.select("domain", "lang", none[2], "cap", "budget", _weight("lang", weights).alias("weight")), ["domain"])
     sources = caps.join(langs.select("domain", "lang", F.col("take").alias("budget")), ["domain", "lang"])
     return _share(sources.withColumn("weight", _weight("source", weights)), ["domain", "lang"]).select(*LEVELS, "docs", "supply", "take")
 
 
-def mix(docs: DataFrame, weights: dict = WEIGHTS, percent: int = PERCENT, epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
-    """domain, lang, source, epoch (from 0), doc_id, n_tokens, take_tokens of each document taken.
+#: What a row is ordered by and what has to be equal for rows to be one.
+ROW = (*LEVELS, "doc_id", "row_hash", "n_tokens")
 
-    A document is taken once an epoch at most; take_tokens is less than n_tokens only for the last document of a
-    leaf. A null language or source is named none. A null text or one without words has no tokens and is never
-    taken. Documents of a leaf and epoch are ordered by the MD5 of seed, epoch and doc_id (null as an empty
-    string), then by doc_id, then by tokens; equal rows are taken one after the other. Leaves whose names are not in the weights
-    have DEFAULT; a weight of 0 takes nothing. Other columns are not read; an empty table gives an empty result.
-    """
+
+def _keyed(docs: DataFrame, also: tuple = ()) -> DataFrame:
+    """The columns ROW of each row, and those named in also under their own names with an underscore before them."""
+    text = F.col("text").cast("string")
     base = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("lang").cast("string"), F.lit("none")).alias("lang"),
         F.coalesce(F.col("source").cast("string"), F.lit("none")).alias("source"),
-        tokens_of(F.col("text").cast("string")).alias("n_tokens"),
+        F.md5(F.coalesce(text, F.lit(""))).alias("row_hash"),
+        tokens_of(text).alias("n_tokens"),
+        *(F.col(f"`{c}`").alias(f"_{c}") for c in also),
     )
-    counted = materialise(base.withColumn("domain", domain_of(F.col("source"))).where("n_tokens > 0"), "counted")
+    return base.withColumn("domain", domain_of(F.col("source"))).select(*ROW, *(f"_{c}" for c in also))
+
+
+def _wanted(counted: DataFrame, weights: dict, percent: int, epochs: int) -> DataFrame:
+    """Per leaf: whole epochs that the budget covers, what it wants of the epoch after them, and its slots."""
     leaves = counted.groupBy(*LEVELS).agg(F.count("*").alias("docs"), F.sum("n_tokens").alias("supply"))
-    # Per leaf: whole epochs that the budget covers, what it wants of the epoch after them, and its slots.
-    wanted = leaf_budgets(materialise(leaves, "leaves"), weights, percent, epochs)
-    wanted = materialise(
-        wanted.where("take > 0").select(
-            *LEVELS, F.expr("take div supply").alias("whole"), F.expr("take % supply").alias("rest"), F.ceil(F.pow("docs", F.lit(SLOT_POWER))).cast("long").alias("slots")
-        ),
-        "wanted",
-    )
-    placed = counted.join(wanted, list(LEVELS))
-    every = placed.select(*LEVELS, "doc_id", "n_tokens", F.explode(F.expr("case when whole > 0 then sequence(0L, whole - 1) else cast(array() as array<bigint>) end")).alias("epoch"))
-    every = every.select(*LEVELS, F.col("epoch").cast("int").alias("epoch"), "doc_id", "n_tokens", F.col("n_tokens").alias("take_tokens"))
+    taken = leaf_budgets(materialise(leaves, "leaves"), weights, percent, epochs).where("take > 0")
+    slots = F.ceil(F.pow("docs", F.lit(SLOT_POWER))).cast("long").alias("slots")
+    return materialise(taken.select(*LEVELS, F.expr("take div supply").alias("whole"), F.expr("take % supply").alias("rest"), slots), "wanted")
+
 
-    key = F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("whole").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+def _last_epoch(counted: DataFrame, wanted: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
+    """What the epoch that a budget ends in takes: rows of ROW, copies and epoch that it takes wholly, and those at its
+    end, of which it takes the first fulls copies and part tokens of one more. Of these a leaf has one at most."""
+    placed = counted.join(wanted.where("rest > 0"), list(LEVELS)).groupBy(*ROW, "whole", "rest", "slots").agg(F.count("*").alias("copies"))
+    key = F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("whole").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "row_hash"))
     number = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")
-    last = placed.where("rest > 0").withColumn("key", key).withColumn("slot", F.floor(number * F.col("slots") / F.lit(4294967296)).cast("long"))
-    sums = last.groupBy(*LEVELS, "slot").agg(F.sum("n_tokens").alias("tokens"))
+    last = placed.withColumn("key", key).withColumn("slot", F.floor(number * F.col("slots") / F.lit(4294967296)).cast("long")).withColumn("held", F.col("copies") * F.col("n_tokens"))
+    last = materialise(last, "last")
+    sums = last.groupBy(*LEVELS, "slot").agg(F.sum("held").alias("tokens"))
     running = Window.partitionBy(*LEVELS).orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     slots = materialise(sums.withColumn("before", F.coalesce(F.sum("tokens").over(running), F.lit(0))), "slots")
-    dealt = last.join(slots, [*LEVELS, "slot"]).where("before < rest")
-    inside = dealt.where("before + tokens <= rest").withColumn("take_tokens", F.col("n_tokens"))
-    order = Window.partitionBy(*LEVELS, "slot").orderBy("key", F.col("doc_id").asc_nulls_first(), "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
-    edge = dealt.where("before + tokens > rest").withColumn("start", F.col("before") + F.coalesce(F.sum("n_tokens").over(order), F.lit(0))).where("start < rest")
-    edge = edge.withColumn("take_tokens", F.least("n_tokens", F.col("rest") - F.col("start")))
-    columns = [*LEVELS, F.col("whole").cast("int").alias("epoch"), "doc_id", "n_tokens", "take_tokens"]
-    return every.unionByName(inside.select(*columns)).unionByName(edge.select(*columns))
+    dealt = last.join(slots, [*LEVELS, "slot"]).where("before < rest").withColumn("epoch", F.col("whole").cast("int"))
+    order = Window.partitionBy(*LEVELS, "slot").orderBy("key", F.col("doc_id").asc_nulls_first(), "row_hash").rowsBetween(Window.unboundedPreceding, -1)
+    edge = dealt.where("before + tokens > rest").withColumn("start", F.col("before") + F.coalesce(F.sum("held").over(order), F.lit(0))).where("start < rest")
+    whole = dealt.where("before + tokens <= rest").select(*ROW, "epoch").unionByName(edge.where("start + held <= rest").select(*ROW, "epoch"))
+    cut = edge.where("start + held > rest").select(*ROW, "epoch", F.expr("(rest - start) div n_tokens").alias("fulls"), F.expr("(rest - start) % n_tokens").alias("part"))
+    return whole, materialise(cut, "edge")
+
 
+def _copies(cut: DataFrame) -> DataFrame:
+    """A row with take_tokens for each copy that is taken of a row at a budget's end; numbers are made in two steps, so
+    that none of the arrays is as long as the copies are many."""
+    step = 1 << 16
+    blocks = cut.where("fulls > 0").withColumn("_block", F.explode(F.expr(f"sequence(0L, fulls - 1, {step}L)")))
+    each = blocks.withColumn("_copy", F.explode(F.expr(f"sequence(_block, least(_block + {step}L, fulls) - 1)"))).drop("_block", "_copy")
+    return each.withColumn("take_tokens", F.col("n_tokens")).unionByName(cut.where("part > 0").withColumn("take_tokens", F.col("part"))).drop("fulls", "part")
 
-def taken(docs: DataFrame, **options) -> DataFrame:
-    """The documents that mix() takes, with the columns of docs; a document taken in part has its first words only.
 
-    doc_id has to name a row: of rows with the same one any stands for all, and those with a null one are left out.
-    A cut text has one blank between words; n_chars, where it is a column, follows the text.
+def mix(docs: DataFrame, weights: dict = WEIGHTS, percent: int = PERCENT, epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
+    """domain, lang, source, epoch (from 0), doc_id, n_tokens, take_tokens of each document taken.
+
+    Tokens are words. A document is taken once an epoch at most; take_tokens is less than n_tokens only for the last
+    document of a leaf. A null language or source is named none. A null text or one without words has no tokens
+    and is never taken; a very long text is one row like any other. Documents of a leaf and epoch are ordered by the
+    MD5 of seed, epoch, doc_id (null as an empty string) and the text's MD5, then by doc_id and the text's MD5;
+    equal rows are taken one after the other. Leaves whose names are not in the weights have DEFAULT; a weight of 0
+    takes nothing. Other columns are not read; an empty table gives an empty result.
+    """
+    counted = materialise(_keyed(docs).where("n_tokens > 0"), "counted")
+    wanted = _wanted(counted, weights, percent, epochs)
+    whole, cut = _last_epoch(counted, wanted, seed)
+    numbers = F.explode(F.expr("transform(sequence(0L, whole - 1), x -> int(x))")).alias("epoch")
+    every = counted.join(wanted.where("whole > 0"), list(LEVELS)).select(*ROW, numbers)
+    last = counted.alias("c").join(whole.alias("w"), F.expr(" and ".join(f"c.{c} <=> w.{c}" for c in ROW))).select(*(f"c.{c}" for c in ROW), "w.epoch")
+    taken = every.unionByName(last).withColumn("take_tokens", F.col("n_tokens")).unionByName(_copies(cut).select(*ROW, "epoch", "take_tokens"))
+    return taken.select(*LEVELS, "epoch", "doc_id", "n_tokens", "take_tokens")
+
+
+def first_words(text: Column, count: Column) -> Column:
+    """The text up to the end of its count-th word, white space as it stands."""
+    pieces = F.regexp_extract_all(text, F.lit(r"([\x20\x09-\x0D]*" + WORD + ")"), F.lit(1))
+    return F.array_join(F.slice(pieces, 1, count.cast("int")), "")
+
+
+def taken(docs: DataFrame, weights: dict = WEIGHTS, percent: int = PERCENT, epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
+    """The documents that mix() takes, with the columns of docs; a document taken in part ends after its last word taken.
+
+    A row stands once for each epoch that takes it, rows with a null or repeated doc_id too. Of rows that are equal in
+    doc_id, text, language and source, of which a budget's end takes some, any stands for the others. n_chars, where
+    it is a column, follows the text. Extra columns are handed on; an empty table gives an empty result.
     """
-    one = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    picked = mix(one, **options).select("doc_id", F.col("n_tokens").alias("_tokens"), F.col("take_tokens").alias("_take"))
-    words = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), 1, F.col("_take").cast("int")), " ")
-    out = one.join(picked, "doc_id").withColumn("text", F.when(F.col("_take") < F.col("_tokens"), words).otherwise(F.col("text")))
+    counted = materialise(_keyed(docs).where("n_tokens > 0"), "counted")
+    wanted = _wanted(counted, weights, percent, epochs)
+    whole, cut = _last_epoch(counted, wanted, seed)
+    rows = _keyed(docs, tuple(docs.columns)).where("n_tokens > 0")
+    held = [f"_{c}" for c in docs.columns]
+    every = rows.join(wanted.where("whole > 0"), list(LEVELS)).select(*held, F.explode(F.expr("sequence(0L, whole - 1)"))).select(*held)
+    same = F.expr(" and ".join(f"c.{c} <=> w.{c}" for c in ROW))
+    last = rows.alias("c").join(whole.alias("w"), same).select(*(f"c.`{c}`" for c in held))
+    one = rows.alias("c").join(cut.alias("w"), same).groupBy(*(F.col(f"w.{c}").alias(c) for c in (*ROW, "epoch", "fulls", "part"))).agg(F.first(F.struct(*(F.col(f"c.`{c}`") for c in held))).alias("row"))
+    parts = _copies(one).select(*(F.col("row").getField(c).alias(c) for c in held), "take_tokens", "n_tokens")
+    text = F.when(F.col("take_tokens") < F.col("n_tokens"), first_words(F.col("_text"), F.col("take_tokens"))).otherwise(F.col("_text"))
+    parts = parts.withColumn("_text", text)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        parts = parts.withColumn("_n_chars", F.when(F.col("take_tokens") < F.col("n_tokens"), F.char_length("_text")).otherwise(F.col("_n_chars")).cast(docs.schema["n_chars"].dataType))
+    out = every.unionByName(last).unionByName(parts.select(*held))
+    return out.select(*(F.col(f"`_{c}`").alias(c) for c in docs.columns))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,40 +213,52 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
+    """The same budgets by another road: a level's shares come from filling up its tightest child again and again.
+
+    Each round settles the children that would get at least what they can take of what is left; at most as many
+    rounds as the widest level has children are needed.
+    """
+
     def weight(level: str) -> str:
         listed = " ".join(f"when '{n}' then {w}" for n, w in WEIGHTS[level].items())
         return f"case {level} {listed} else {DEFAULT} end"
 
-    def share(name: str, source: str, parent: str, keys: str) -> str:
-        by = f"partition by {parent}" if parent else ""
-        before = f"({by} order by cap / weight nulls last, {keys} rows between unbounded preceding and 1 preceding)"
+    def share(name: str, source: str) -> str:
+        """source: parent, child, w, cap, budget. Gives parent, child, take."""
         return f"""
-{name}_0 as (select *, case when w > 0 and cap > 0 then w end as weight from {source}),
-{name}_1 as (select *, budget - coalesce(sum(cap) over {before}, 0) as lt, sum(weight) over ({by}) - coalesce(sum(weight) over {before}, 0) as lw from {name}_0),
-{name}_2 as (select *, coalesce(weight is not null and lt::double * weight >= cap::double * lw, false) as is_full from {name}_1),
-{name}_3 as (select *, budget - coalesce(sum(case when is_full then cap end) over ({by}), 0) as rest, sum(case when not is_full then weight end) over ({by}) as rw from {name}_2),
-{name} as (select * exclude (rest), case when weight is null then 0 when is_full then cap
-  else least(cap, greatest(floor(rest::double * weight / rw), 0)) end::bigint as take from {name}_3)"""
+{name}_fill(round, parent, child, w, cap, budget, done) as (
+  select 0, parent, child, w, cap, budget::hugeint, false from {source} where w > 0 and cap > 0
+  union all
+  select round + 1, parent, child, w, cap, budget, done or cap * open_w <= w * (budget - gone) from (
+    select *, coalesce(sum(w) filter (not done) over (partition by parent), 0)::hugeint as open_w, coalesce(sum(cap) filter (done) over (partition by parent), 0)::hugeint as gone,
+      bool_or(not done) over () as any_open from {name}_fill) where any_open and round < 100),
+{name}_end as (select *, greatest(budget - coalesce(sum(cap) filter (done) over (partition by parent), 0), 0)::hugeint as rest, sum(w) filter (not done) over (partition by parent)::hugeint as open_w
+  from {name}_fill where round = (select max(round) from {name}_fill)),
+{name}_whole as (select *, case when not done then rest * w // open_w end as base, case when not done then rest * w % open_w end as part from {name}_end),
+{name} as (select parent, child, (case when done then cap else base + case when row_number() over (partition by parent order by part desc nulls last, child) <= rest - sum(coalesce(base, 0)) over (partition by parent) then 1 else 0 end end)::bigint as take
+  from {name}_whole)"""
 
     word = WORD.replace("'", "''")
     return f"""
-with base as (
-  select doc_id, coalesce(lang, 'none') as lang, coalesce(source, 'none') as source, len(regexp_extract_all(coalesce(text, ''), '{word}'))::bigint as n_tokens from documents),
+with recursive base as (
+  select doc_id, coalesce(lang, 'none') as lang, coalesce(source, 'none') as source, md5(coalesce(text, '')) as h, len(regexp_extract_all(coalesce(text, ''), '{word}'))::bigint as n_tokens from documents),
 counted as (
   select *, case when regexp_matches(source, '[0-9]{{1,9}}\\z') then 'd' || (regexp_extract(source, '([0-9]{{1,9}})\\z', 1)::bigint % 3) else 'other' end as domain from base where n_tokens > 0),
-leaf as (select domain, lang, source, count(*) as docs, sum(n_tokens)::bigint as supply from counted group by all),
-whole as (select (sum(supply) * {PERCENT} // 100)::bigint as budget from leaf),
-d_in as (select domain, (sum(supply) * {EPOCHS})::bigint as cap, {weight('domain')} as w, any_value(budget) as budget from leaf, whole group by domain),
-{share('d', 'd_in', '', 'domain')},
-l_in as (select leaf.domain, leaf.lang, (sum(supply) * {EPOCHS})::bigint as cap, {weight('lang')} as w, any_value(d.take) as budget from leaf join d using (domain) group by leaf.domain, leaf.lang),
-{share('l', 'l_in', 'domain', 'lang')},
-s_in as (select leaf.*, supply * {EPOCHS} as cap, {weight('source')} as w, l.take as budget from leaf join l using (domain, lang)),
-{share('s', 's_in', 'domain, lang', 'source')},
-wanted as (select domain, lang, source, take, supply from s where take > 0),
+leaf as (select domain, lang, source, sum(n_tokens)::bigint as supply, {weight('domain')} as dw, {weight('lang')} as lw, {weight('source')} as sw from counted group by domain, lang, source),
+s_cap as (select *, case when sw > 0 then supply * {EPOCHS} else 0 end as cap from leaf),
+l_cap as (select domain, lang, any_value(dw) as dw, any_value(lw) as lw, case when any_value(lw) > 0 then sum(cap) else 0 end as cap from s_cap group by domain, lang),
+d_cap as (select domain, any_value(dw) as dw, case when any_value(dw) > 0 then sum(cap) else 0 end as cap from l_cap group by domain),
+d_in as (select '' as parent, domain as child, dw as w, cap, (select (sum(supply) * {PERCENT} // 100) from leaf) as budget from d_cap),
+{share('d', 'd_in')},
+l_in as (select domain as parent, lang as child, lw as w, cap, take as budget from l_cap join d on domain = child),
+{share('l', 'l_in')},
+s_in as (select domain || chr(31) || lang as parent, source as child, sw as w, cap, take as budget from s_cap join l on domain = parent and lang = child),
+{share('s', 's_in')},
+wanted as (select domain, lang, source, take, supply from leaf join s on parent = domain || chr(31) || lang and child = source where take > 0),
 epochs as (select unnest(range({EPOCHS})) as epoch),
 lined as (
   select domain, lang, source, epoch::int as epoch, doc_id, n_tokens, take - epoch * supply as rest,
-    coalesce(sum(n_tokens) over (partition by domain, lang, source, epoch order by md5('{SEED}-' || epoch || '-' || coalesce(doc_id::varchar, '')), doc_id nulls first, n_tokens rows between unbounded preceding and 1 preceding), 0) as start
+    coalesce(sum(n_tokens) over (partition by domain, lang, source, epoch order by md5('{SEED}-' || epoch || '-' || coalesce(doc_id::varchar, '') || '-' || h), doc_id nulls first, h rows between unbounded preceding and 1 preceding), 0) as start
   from counted join wanted using (domain, lang, source), epochs where take > epoch * supply)
 select domain, lang, source, epoch, doc_id, n_tokens, least(n_tokens, rest - start)::bigint as take_tokens from lined where start < rest
 """

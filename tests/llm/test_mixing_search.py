@@ -36,6 +36,49 @@ def test_shortage_goes_to_siblings_first(spark):
     assert got["src0"] == 10 and got["src1"] == 302 and got["src6"] == 151 and got["src3"] == 141
 
 
+def test_weights_of_zero_take_nothing_and_pass_their_share_on(spark):
+    rows = [(i, "w " * 10, "en", "src0") for i in range(50)] + [(50 + i, "w " * 10, "de", "src3") for i in range(50)]
+    got = mixing.mix(frame(spark, rows), {"source": {"src0": 0, "src3": 1}}, percent=60, epochs=2).groupBy("source").agg(F.sum("take_tokens").alias("t")).collect()
+    assert [(r["source"], r["t"]) for r in got] == [("src3", 600)]
+    none = mixing.mix(frame(spark, rows), {"lang": {"en": 0, "de": 0}}, percent=60)
+    assert none.count() == 0
+
+
+def plain_budget(children, budget):
+    """children: name -> (weight, cap); tokens are handed out one by one to whoever is furthest below its share."""
+    take = dict.fromkeys(children, 0)
+    for _ in range(budget):
+        open_ = [n for n, (w, cap) in children.items() if w > 0 and take[n] < cap]
+        if not open_:
+            break
+        best = min(open_, key=lambda n: ((take[n] + 1) / children[n][0], n))
+        take[best] += 1
+    return take
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_budgets_are_near_what_single_tokens_would_give(spark, seed):
+    rng = np.random.default_rng(seed)
+    rows, weights = [], {"domain": {"d0": 3, "d1": 5}, "lang": {"en": 2, "de": 7, "fr": 0}, "source": {f"src{i}": int(rng.integers(0, 6)) for i in range(6)}}
+    for _ in range(60):
+        rows.append((len(rows), "w " * int(rng.integers(1, 9)), ["en", "de", "fr"][rng.integers(3)], f"src{rng.integers(6)}"))
+    total = sum(len(r[1].split()) for r in rows)
+    got = mixing.mix(frame(spark, rows), weights, percent=70, epochs=1).toPandas()
+    supply = {}
+    for _, text, lang, source in rows:
+        key = (f"d{int(source[3:]) % 3}", lang, source)
+        supply[key] = supply.get(key, 0) + len(text.split())
+    w = lambda level, n: weights[level].get(n, mixing.DEFAULT)
+    cap = {k: v if all(w(lv, n) > 0 for lv, n in zip(mixing.LEVELS, k, strict=True)) else 0 for k, v in supply.items()}
+    assert got["take_tokens"].sum() == min(total * 70 // 100, sum(cap.values()))
+    below = lambda i, p: {k[i]: (w(mixing.LEVELS[i], k[i]), sum(v for q, v in cap.items() if q[: i + 1] == k[: i + 1])) for k in cap if k[:i] == p}
+    seen = got.groupby(list(mixing.LEVELS))["take_tokens"].sum().to_dict()
+    for i, p in [(0, ()), *((1, (d,)) for d in {k[0] for k in cap}), *((2, k) for k in {k[:2] for k in cap})]:
+        mine = {n: sum(v for k, v in seen.items() if k[:i] == p and k[i] == n) for n in below(i, p)}
+        want = plain_budget(below(i, p), sum(mine.values()))
+        assert all(abs(mine[n] - want[n]) <= 1 for n in want), (i, p, mine, want)
+
+
 def test_epochs_and_prefix(spark):
     rows = [(i, "w " * 7, "en", "src0") for i in range(40)]
     got = mixing.mix(frame(spark, rows), {}, percent=165, epochs=2).toPandas()
@@ -44,6 +87,21 @@ def test_epochs_and_prefix(spark):
     assert out.columns == frame(spark).columns and out.count() == len(got)
 
 
+def test_taken_keeps_null_and_repeated_ids_and_lines(spark):
+    rows = [(None, f"a\n b\tc{i}", "en", "src0") for i in range(6)] + [(5, "x y z", "en", "src0"), (5, "x y\nw", "en", "src0")] + [(7, " q\n\nr  s ", "en", "src0")] * 9 + [(8, "", "en", "src0"), (9, None, None, None)]
+    for percent in (40, 150):
+        got = [r["text"] for r in mixing.taken(frame(spark, rows), weights={}, percent=percent, epochs=2).collect()]
+        words = sum(len((r[1] or "").split()) for r in rows)
+        assert sum(len(t.split()) for t in got) == words * percent // 100
+        whole = [r[1] for r in rows]
+        assert sum(t not in whole for t in got) <= 1 and all(any(w and w.startswith(t) for w in whole) for t in got)
+        assert len(got) == mixing.mix(frame(spark, rows), {}, percent, 2).count()
+    assert mixing.taken(frame(spark, rows).limit(0)).count() == 0
+    text = "x\n" * 200_000
+    one = mixing.taken(frame(spark, [(1, text, "en", "src0")]), weights={}, percent=50, epochs=1).first()
+    assert one["text"] == text[:199_999]
+
+
 def recall_of(got, x, every=20, k=20):
     hits = []
     for q in range(0, len(x), every):
