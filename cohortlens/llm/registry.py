@@ -15,7 +15,8 @@ QUERIES = {
     "op8_redirects": url_filter.op8_redirects,
     "op9_learned_partitions": learned_index.op9_learned_partitions,
     "op10_lsh_forest": lsh_forest.op10_lsh_forest,
+    "redirects_planted": url_filter.redirects_planted,
 }
 
 #: Where SQL can express the operator; the others are tested against brute force.
-ORACLES: dict[str, str] = {"op8_redirects": url_filter.SQL, "op4_mixing": mixing.SQL, "op10_lsh_forest": lsh_forest.SQL}
+ORACLES: dict[str, str] = {"op8_redirects": url_filter.SQL, "redirects_planted": url_filter.PLANTED_SQL, "op4_mixing": mixing.SQL, "op10_lsh_forest": lsh_forest.SQL}

@@ -2,15 +2,24 @@
 
 A rule names a host and a path; it fits the host and its subdomains where the URL's path starts with the
 rule's, and the longest fitting rule decides. Pages without a rule take the decision of their aliases. Aliases
-are the URLs that lead to one another: a page's canonical link and meta refresh are edges between canonical
+are the URLs that lead to one another: each canonical link and meta refresh of a page is an edge between canonical
 URLs, and URLs that differ only in scheme, a leading www. or m., fragment, tracking parameters, the order of
 parameters, a closing slash or .html are one canonical URL to begin with. Connected components over these edges
 collect the decisions; a component with a blocked and no allowed member is blocked, any explicit allow in it
 takes precedence.
+
+Links are read as a browser reads them: character references are decoded first, comments and scripts hold no links,
+and a relative target is resolved against the page's base, or else its URL.
 """
 
 from __future__ import annotations
 
+import html as html_references
+import re
+from collections.abc import Iterator
+from urllib.parse import urljoin
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,8 +34,54 @@ RULES = (
 MAX_RULES = 1000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TRACKING = "^(utm_[a-z]+|ref|fbclid|gclid)="
-LINK, HREF = r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>""", r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)"""
-META, TARGET = r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>""", r"""(?is)\burl\s*=\s*["']?([^"'\s>;]+)"""
+#: Only pages that name a link at all are looked through.
+NAMED = r"(?i)canonical|refresh"
+#: What holds no tags, or a tag that matters with its attributes.
+TAGS = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|textarea|title)\b.*?(?:</\1\s*>|\Z)|<(link|meta|base)\b((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.I | re.S)
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
+REFRESH = re.compile(r"""\s*[0-9.]*\s*[;,\s]\s*(?:url\s*=\s*)?(?:"([^"]*)|'([^']*)|(.*))""", re.I | re.S)
+
+
+def links_of(url: str, page: str) -> list[str]:
+    """The absolute URLs of all canonical links and refreshes of a page, in their order."""
+    base, found = url, []
+    for tag in TAGS.finditer(page):
+        kind = (tag[2] or "").lower()
+        if not kind:
+            continue
+        held: dict[str, str] = {}
+        for name, *values in ATTRIBUTE.findall(tag[3]):
+            held.setdefault(name.lower(), html_references.unescape(next(filter(None, values), "")).strip())
+        if kind == "base":
+            base = _joined(url, held["href"]) or url if held.get("href") and base == url else base
+        elif kind == "link" and "canonical" in held.get("rel", "").lower().split():
+            found.append(held.get("href", ""))
+        elif kind == "meta" and held.get("http-equiv", "").lower() == "refresh" and (target := REFRESH.match(held.get("content", ""))):
+            found.append(next(filter(None, target.groups()), "").strip())
+    return [x for link in found if link and (x := _joined(base, link))]
+
+
+def _joined(base: str, link: str) -> str:
+    try:
+        return urljoin(base, re.sub(r"[\t\r\n]", "", link))
+    except ValueError:  # not a URL
+        return ""
+
+
+def page_links(pages: DataFrame) -> DataFrame:
+    """url and target of each link of pages (url, html)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            urls, targets = [], []
+            for k in range(len(batch)):
+                url = batch.column(0)[k].as_py()
+                found = links_of(url, batch.column(1)[k].as_py())
+                urls += [url] * len(found)
+                targets += found
+            yield pa.RecordBatch.from_arrays([pa.array(urls, pa.string()), pa.array(targets, pa.string())], names=["url", "target"])
+
+    return pages.where(F.col("url").isNotNull() & F.col("html").rlike(NAMED)).select("url", "html").mapInArrow(run, "url string, target string")
 
 
 def _rest(url: Column) -> Column:
@@ -52,16 +107,6 @@ def canonical(url: Column) -> Column:
     return F.when(host != "", F.concat(host, path, F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise("")))
 
 
-def resolved(link: Column, host: Column) -> Column:
-    """A link's URL; null if it is empty or relative to the page's path."""
-    link = F.replace(link, F.lit("&amp;"), F.lit("&"))
-    return (
-        F.when(link.startswith("//"), F.concat(F.lit("http:"), link))
-        .when(link.startswith("/"), F.concat(F.lit("http://"), host, link))
-        .when(link.contains("://"), link)
-    )
-
-
 def best_rule(host: Column, path: Column, rules) -> Column:
     """The longest fitting rule as a struct (size, allow, rule); null if none fits. At equal length allow wins."""
     if len(rules) > MAX_RULES:
@@ -79,21 +124,14 @@ def best_rule(host: Column, path: Column, rules) -> Column:
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule and verdict (allow or block) of each row of pages (page_id, url, html).
 
-    A null url or one without :// has an empty host and path, no rule and no alias, and is allowed; a null html
-    has no links. Repeated rows give repeated rows; other columns are not read; an empty table gives an empty
-    result. The page itself is read for links only where it names one.
+    A null url or one without :// has an empty host and path, no rule and no alias, and is allowed; a null or empty
+    html has no links; a very long one is looked through as a whole. Repeated rows give repeated rows; at equal
+    length of two rules allow wins; other columns are not read; an empty table gives an empty result.
     """
     page = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     # The rows that matter from here on hold no html: links are taken out while it is read.
-    links = F.array(F.regexp_extract(F.regexp_extract("html", LINK, 0), HREF, 1), F.regexp_extract(F.regexp_extract("html", META, 0), TARGET, 1))
-    named = page.where(F.col("html").rlike(r"""(?i)rel\s*=\s*["']?canonical|http-equiv\s*=\s*["']?refresh"""))
-    found = named.select("url", F.explode(links).alias("link")).where("link <> ''")
     links_out = materialise(
-        found.select(canonical(F.col("url")).alias("a"), resolved(F.col("link"), host_of(F.col("url"))).alias("target"))
-        .select("a", "target", canonical(F.col("target")).alias("b"))
-        .where("a is not null and b is not null")
-        .distinct(),
-        "links",
+        page_links(page).select(canonical(F.col("url")).alias("a"), "target", canonical(F.col("target")).alias("b")).where("a is not null and b is not null").distinct(), "links"
     )
     parts = page.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), canonical(F.col("url")).alias("node"))
     ruled = parts.withColumn("best", best_rule(F.col("host"), F.col("path"), rules))
@@ -109,7 +147,7 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
         component.join(spread, "component", "left_semi").select("node").unionByName(spread.select(F.col("component").alias("node"))).distinct(), "blocked"
     )
     own = ruled.where("best is not null or node is null").select("page_id", "host", "path", "best.rule", F.when(F.col("best.allow"), "allow").when(~F.col("best.allow"), "block").otherwise("allow").alias("verdict"))
-    rest = ruled.where("best is null and node is not null").join(blocked.withColumn("hit", F.lit(True)), "node", "left")
+    rest = ruled.where("best is null and node is not null").join(blocked.withColumn("hit", F.lit(True)).hint("merge"), "node", "left")  # as many as there are pages: never broadcast
     return own.unionByName(rest.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.when(F.col("hit"), "block").otherwise("allow").alias("verdict")))
 
 
@@ -117,11 +155,36 @@ def op8_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(read(spark, sf_dir, "pages"))
 
 
-def _sql() -> str:
+def planted(pages: DataFrame) -> DataFrame:
+    """page_id, url and html of pages, where html is made of links: what a query with aliases is compared on.
+
+    By page_id modulo 7: a canonical link to the next page's URL; one with character references; one relative to
+    the host; two canonical links, the first empty; a refresh; one relative to the path; none.
+    """
+    n = F.pmod("page_id", F.lit(7))
+    number = (F.col("page_id") + 1).cast("string")
+    url = F.concat(F.lit("http://h"), (F.floor(F.col("page_id") / 21)).cast("string"), F.lit(".io/a/"), F.col("page_id").cast("string"))
+    target = F.concat(F.lit("http://h"), (F.floor((F.col("page_id") + 1) / 21)).cast("string"), F.lit(".io/a/"), number)
+    html = (
+        F.when(n == 0, F.concat(F.lit('<link rel="canonical" href="'), target, F.lit('">')))
+        .when(n == 1, F.concat(F.lit("<link rel=canonical href='"), target, F.lit("?ref=1&amp;utm_source=2'>")))
+        .when(n == 2, F.concat(F.lit('<link href="/a/'), number, F.lit('" rel="canonical">')))
+        .when(n == 3, F.concat(F.lit('<link rel="canonical" href=""><link rel="canonical" href="'), F.when(F.col("url").contains("://"), F.col("url")).otherwise(""), F.lit('">')))
+        .when(n == 4, F.concat(F.lit('<meta http-equiv="refresh" content="0; url='), target, F.lit('#x">')))
+        .when(n == 5, F.concat(F.lit('<link rel="canonical" href="../a/'), number, F.lit('">')))
+    )
+    return pages.select("page_id", url.alias("url"), F.coalesce(html, F.lit("<p>no link")).alias("html"))
+
+
+def redirects_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operator on pages with planted links, so that components have something to do."""
+    return judge(planted(read(spark, sf_dir, "pages")))
+
+
+def _sql(pages: str) -> str:
     rest = lambda u: f"case when strpos({u}, '://') > 0 then substr({u}, strpos({u}, '://') + 3) end"
     host = lambda u: f"coalesce(translate(regexp_extract({rest(u)}, '^[^/?#]*', 0), '{UPPER}', '{LOWER}'), '')"
     path = lambda u: f"coalesce(regexp_extract({rest(u)}, '^[^/?#]*([^?#]*)', 1), '')"
-    q = lambda s: s.replace("'", "''")
 
     def node(u: str) -> str:
         bare = rf"regexp_replace({host(u)}, '^(www|m)\.', '')"
@@ -131,16 +194,25 @@ def _sql() -> str:
 
     values = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)
     best = lambda t: f"(select arg_max(struct_pack(v := v, r := h || p), length(h || p)) from rules where ({t}.host = h or ends_with({t}.host, '.' || h)) and starts_with({t}.path, p))"
-    return f"""
+    # Tags are the pieces between < and >; quotes around a value are taken off, the commonest references decoded, and
+    # the steps .. and . of a relative path folded from the left.
+    dots = "list_reduce(list_prepend([]::varchar[], list_transform(string_split({p}, '/'), lambda x: [x])), lambda acc, x: case when x[1] = '..' then acc[:len(acc) - 1] when x[1] = '.' then acc else list_concat(acc, x) end)"
+    return rf"""
 with recursive rules(v, h, p) as (values {values}),
-page as (select page_id, url, {host('url')} as host, {path('url')} as path, {node('url')} as node from pages),
-found as (
-  select url, link from (
-    select url, regexp_extract(regexp_extract(html, '{q(LINK)}', 0), '{q(HREF)}', 1) as link from pages
-    union all select url, regexp_extract(regexp_extract(html, '{q(META)}', 0), '{q(TARGET)}', 1) from pages) where link <> ''),
-resolved as (
-  select {node('url')} as a, case when l like '//%' then 'http:' || l when l like '/%' then 'http://' || {host('url')} || l when contains(l, '://') then l end as target
-  from (select url, replace(link, '&amp;', '&') as l from found)),
+src as ({pages}),
+page as (select page_id, url, {host('url')} as host, {path('url')} as path, {node('url')} as node from src),
+tag as (select url, split_part(piece, '>', 1) as tag from (select url, unnest(string_split(html, '<')) as piece from src where html is not null and url is not null)),
+raw as (
+  select url, coalesce(nullif(regexp_extract(tag, '(?i)\shref="([^"]*)"', 1), ''), nullif(regexp_extract(tag, '(?i)\shref=''([^'']*)''', 1), ''), regexp_extract(tag, '(?i)\shref=([^\s"'']+)', 1)) as link
+  from tag where tag ilike 'link %' and regexp_matches(tag, '(?i)rel=["'']?canonical')
+  union all select url, regexp_extract(regexp_extract(tag, '(?i)content=["'']([^"'']*)', 1), '(?i)url=(.*)', 1) from tag where tag ilike 'meta %' and tag ilike '%refresh%'),
+link_text as (select url, replace(replace(replace(link, '&quot;', '"'), '&#38;', '&'), '&amp;', '&') as l from raw where link <> ''),
+joined as (
+  select url, case when contains(l, '://') then l when starts_with(l, '//') then split_part(url, '://', 1) || ':' || l
+    when starts_with(l, '/') then regexp_extract(url, '^[^:]*://[^/?#]*', 0) || l
+    when starts_with(l, '?') then regexp_extract(url, '^[^?#]*', 0) || l
+    else regexp_extract(url, '^[^:]*://[^/?#]*', 0) || array_to_string({dots.format(p="regexp_extract(regexp_extract(url, '^[^?#]*', 0), '^[^:]*://[^/]*(.*/)', 1) || l")}, '/') end as target from link_text),
+resolved as (select {node('url')} as a, target from joined),
 link as (select distinct a, target, {node('target')} as b from resolved),
 edge as (select a, b from link where a is not null and b is not null union select b, a from link where a is not null and b is not null),
 reach(a, b) as (select a, b from edge union select r.a, e.b from reach r join edge e on r.b = e.a),
@@ -153,4 +225,12 @@ select page_id, host, path, best.r as rule, coalesce(best.v, verdicts.v, 'allow'
 """
 
 
-SQL = _sql()
+SQL = _sql("select page_id, url, html from pages")
+PLANTED_SQL = _sql("""
+select page_id, 'http://h' || page_id // 21 || '.io/a/' || page_id as url, case page_id % 7
+  when 0 then '<link rel="canonical" href="' || t || '">' when 1 then '<link rel=canonical href=''' || t || '?ref=1&amp;utm_source=2''>'
+  when 2 then '<link href="/a/' || page_id + 1 || '" rel="canonical">'
+  when 3 then '<link rel="canonical" href=""><link rel="canonical" href="' || case when contains(url, '://') then url else '' end || '">'
+  when 4 then '<meta http-equiv="refresh" content="0; url=' || t || '#x">'
+  when 5 then '<link rel="canonical" href="../a/' || page_id + 1 || '">' else '<p>no link' end as html
+from (select *, 'http://h' || (page_id + 1) // 21 || '.io/a/' || (page_id + 1) as t from pages)""")

@@ -182,7 +182,7 @@ def test_graph_parts_are_balanced():
 
 
 def test_registered_queries():
-    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES if n.startswith("op")) == list(range(1, 11))
 
 
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))

@@ -140,3 +140,52 @@ def test_urls_equal_sql_and_plan(spark):
     assert [verdict[k] for k in (1, 2, 3, 4, 5)] == ["block", "allow", "block", "allow", "block"]
     assert [verdict[k] for k in (8, 9, 10)] == ["block"] * 3 and [verdict[k] for k in (11, 12, 13, 14)] == ["allow"] * 4
     assert verdict[18] == verdict[19] == "allow" and url_filter.judge(df.limit(0)).count() == 0
+
+
+LINKS = [
+    ("http://a.io/d/p.html?z", '<link rel="canonical" href="q.html">', ["http://a.io/d/q.html"]), ("http://a.io/d/p", '<LINK REL=canonical HREF=../q?a=1&amp;b=2>', ["http://a.io/q?a=1&b=2"]),
+    ("http://a.io/d/p", "<link rel='canonical' href='?p=2'>", ["http://a.io/d/p?p=2"]), ("https://a.io/", '<link rel="canonical" href="//b.io/x">', ["https://b.io/x"]),
+    ("http://a.io/", '<link rel="canonical" href=""><link rel="nofollow canonical" href="/one"><link rel="canonical" href="/two">', ["http://a.io/one", "http://a.io/two"]),
+    ("http://a.io/", '<meta http-equiv="refresh" content="0; url=http://b.io/x;s=1?a=1&amp;b=2">', ["http://b.io/x;s=1?a=1&b=2"]), ("http://a.io/", "<meta content='5;URL=\"/q\"' http-equiv=refresh>", ["http://a.io/q"]),
+    ("http://a.io/", "<meta http-equiv=refresh content=5>", []), ("http://a.io/", '<!-- <link rel="canonical" href="/no"> --><script>"<link rel=canonical href=/no>"</script>', []),
+    ("http://a.io/x/y", '<base href="/z/"><link rel="canonical" href="w&#47;v&#x2e;html">', ["http://a.io/z/w/v.html"]), ("http://[bad", '<link rel="canonical" href="q">', []), ("http://a.io/", '<link rel="canonical" href="/a>b" title="x">', ["http://a.io/a>b"]),
+    ("http://a.io/", '<a href="/q">canonical</a><link rel="icon" href="/i">', []),
+]
+
+
+@pytest.mark.parametrize("url,html,want", LINKS)
+def test_links_of_a_page(url, html, want):
+    assert url_filter.links_of(url, html) == want
+
+
+def test_no_link_is_lost(spark):
+    """Verdicts of pages whose only way to a blocked or allowed URL is a link of that kind."""
+    block, allow = "http://sub.x.org/es/q?a=1&b=2", "http://example.com/en/7"
+    rows, want = [], {}
+
+    def page(i, url, html, verdict):
+        rows.append((i, url, html))
+        want[i] = verdict
+
+    page(1, "http://one.io/a", '<meta http-equiv="refresh" content="0;url=http://two.io/x?a=1&amp;b=2">', "block")
+    page(2, "http://two.io/x?a=1&b=2", f'<link rel=canonical href="{block.replace("&", "&#38;")}">', "block")
+    page(3, "http://two.io/x?a=1", None, "allow")
+    page(4, "http://three.io/d/p", '<link rel="canonical" href="../e/q.html">', "block")
+    page(5, "http://three.io/e/q", f'<link rel="canonical" href=""><link rel="canonical" href="{block}">', "block")
+    page(6, "http://four.io/d/p", '<link rel="canonical" href="?p=2">', "allow")
+    page(7, "http://four.io/d/p?p=2", f'<link rel="canonical" href="{block}"><meta http-equiv=refresh content="0;{allow}">', "allow")
+    for k in range(20):
+        page(100 + k, f"http://chain{k}.io/", f'<link rel="canonical" href="http://chain{k + 1}.io/">' if k < 19 else f'<link rel="canonical" href="{block}">', "allow")
+    # All that name the blocked URL are one component, which page 7 joins to an allowed one.
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == {k: "allow" for k in want}
+    without = [r for r in rows if r[0] not in (6, 7)]
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(spark.createDataFrame(without, "page_id bigint, url string, html string")).collect()}
+    assert got == {r[0]: "allow" if r[0] == 3 else "block" for r in without}
+
+
+def test_planted_links_equal_sql(spark, sf):
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '{sf}/pages.parquet'")
+    got = sorted(str(tuple(r)) for r in url_filter.redirects_planted(spark, sf).select("page_id", "host", "path", "rule", "verdict").collect())
+    assert got == sorted(str(r) for r in con.sql(url_filter.PLANTED_SQL).fetchall()) and len({r.rsplit(",", 1)[1] for r in got}) == 2
