@@ -5,13 +5,21 @@ give scores for both labels, and weights between neighbouring labels let one lin
 Viterbi decoding finds the best label sequence of the text. A document is kept if its base rules hold and
 content lines hold at least CONTENT_SHARE of its words.
 
-The field is fitted on lines of labelled documents: each line takes its document's label, so what good and bad
-documents share ends near neutral. Fitting uses at most MAX_DOCS documents, the first by a hash of doc_id among
-those outside the hold-out, and of each the first SEGMENT lines; decoding sees every line of every document.
+Only documents have labels, so the labels of lines are hidden. What a document's label says is a constraint: content
+holds at least GOOD_SHARE of a good document's words and at most BAD_SHARE of a bad one's. First a line model is
+fitted to tell lines of good documents from those of bad ones; lines that both have, such as prose within a bad
+document, come out as content, as good documents have more of them. These are the first guess of the lines' labels.
+Then rounds alternate: the field's own probabilities, moved within each document just as far as its constraint asks,
+give the expected labels and label pairs, and the field's weights are fitted to them. So the field sees sequences with
+both labels, and learns how one follows the other.
+
+Fitting uses at most MAX_DOCS labelled documents, the first by a hash of doc_id among those outside the hold-out, and
+all their lines; long documents are sequences of SEGMENT lines that share one constraint.
 """
 
 from __future__ import annotations
 
+import hashlib
 from math import log
 
 import numpy as np
@@ -21,9 +29,9 @@ from pyspark.sql import functions as F
 from cohortlens.llm.common import map_texts, read
 from cohortlens.llm.textstats import DIGITS, MARKS, STOPS, SYMBOLS, UPPER, base_counts, having, split
 
-#: The fit's bounds; they say how much is learned from, not what is decoded.
-MAX_DOCS, SEGMENT = 3000, 64
-CONTENT_SHARE = 0.5
+#: The fit's bound on labelled documents; it says how much is learned from, not what is decoded. SEGMENT cuts no line off.
+MAX_DOCS, SEGMENT = 3000, 16
+CONTENT_SHARE, GOOD_SHARE, BAD_SHARE = 0.5, 0.9, 0.1
 FEATURES = ("bias", "words", "symbols", "marks", "upper", "digits", "stops", "word_length", "duplicate", "distinct", "single_word")
 
 
@@ -57,37 +65,33 @@ class LineCRF:
         return cls(emit, np.zeros((2, 2)))
 
     @classmethod
-    def fit(cls, sequences: list[tuple[np.ndarray, int]], rounds: int = 100, penalty: float = 3e-3) -> LineCRF:
-        """Maximum conditional likelihood by gradient steps; sequences are pairs of features and label.
+    def fit(cls, documents: list[tuple[np.ndarray, np.ndarray, int]], rounds: int = 3, steps: int = 40, penalty: float = 1e-3) -> LineCRF:
+        """documents are their lines' features, their lines' numbers of words, and their label (1: good).
 
-        Documents of both labels count alike. Gradients come from the forward-backward recursions, run over
-        all sequences at once.
+        Documents of both labels count alike. Without documents of both labels the field is plain().
         """
-        if len({label for _, label in sequences}) < 2:
+        documents = [d for d in documents if len(d[0])]
+        if len({label for _, _, label in documents}) < 2:
             return cls.plain()
-        sequences = [(x[:SEGMENT], y) for x, y in sequences if len(x)]
-        n, steps = len(sequences), max(len(x) for x, _ in sequences)
-        # Lines stand one below the other; real says where they go in a grid of texts and steps.
-        x = np.concatenate([rows for rows, _ in sequences])
-        real = np.arange(steps) < np.array([len(rows) for rows, _ in sequences])[:, None]
-        y = np.array([label for _, label in sequences])
-        weight = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum()) / real.sum(1)
-        each = np.repeat(weight, real.sum(1))[:, None]
-        truth = np.eye(2)[np.repeat(y, real.sum(1))]
-        scores = np.zeros((n, steps, 2))
-        links = (real[:, 1:].sum(1) * weight).astype(float)
-        true_moves = np.diag([links[y == 0].sum(), links[y == 1].sum()])
+        y = np.array([label for _, _, label in documents])
+        x = np.concatenate([rows for rows, _, _ in documents])
+        words = np.concatenate([sizes for _, sizes, _ in documents]).astype(float)
+        doc = np.repeat(np.arange(len(documents)), [len(rows) for rows, _, _ in documents])
+        share = words / np.bincount(doc, words)[doc]  # a line's share of its document's words
+        weight = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
+        lines = _first_guess(x, y[doc], share * weight[doc])
+        grid = _Grid([len(rows) for rows, _, _ in documents])
+        each = weight[grid.doc] / np.bincount(doc)[grid.doc]  # a document's lines share its weight
+        limit = np.where(y == 1, GOOD_SHARE, BAD_SHARE)
         params = np.zeros(2 * len(FEATURES) + 4)
-        mean, square = np.zeros_like(params), np.zeros_like(params)
-        for t in range(1, rounds + 1):
-            emit, move = params[:-4].reshape(2, -1), params[-4:].reshape(2, 2)
-            scores[real] = x @ emit.T
-            marginal, pairs = _marginals(scores, move, real)
-            grad_emit = ((marginal[real] - truth) * each).T @ x
-            grad_move = np.tensordot(weight, pairs, 1) - true_moves
-            grad = np.concatenate([grad_emit.ravel(), grad_move.ravel()]) + penalty * params
-            mean, square = 0.9 * mean + 0.1 * grad, 0.99 * square + 0.01 * grad**2
-            params = params - 0.1 * (mean / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.99**t)) + 1e-8)
+        for turn in range(rounds):
+            if turn:
+                scores = x @ params[:-4].reshape(2, -1).T
+                move = params[-4:].reshape(2, 2)
+            else:  # nothing is known but the guess
+                scores, move = np.stack([1 - lines, lines], 1) * 4.0, np.zeros((2, 2))
+            want_lines, want_pairs = _constrained(scores, move, grid, doc, share, y, limit)
+            params = _fit_to(params, x, grid, each, want_lines, want_pairs, steps, penalty)
         return cls(params[:-4].reshape(2, -1), params[-4:].reshape(2, 2))
 
     def decode(self, features: np.ndarray) -> list[int]:
@@ -108,6 +112,76 @@ class LineCRF:
         return out[::-1]
 
 
+class _Grid:
+    """Lines of documents, one below the other, as sequences of SEGMENT lines at most: places in a grid."""
+
+    def __init__(self, lengths: list[int]):
+        counts = [-(-n // SEGMENT) for n in lengths]
+        self.doc = np.repeat(np.arange(len(lengths)), counts)  # of each sequence
+        sizes = np.array([min(SEGMENT, n - k * SEGMENT) for n, c in zip(lengths, counts, strict=True) for k in range(c)])
+        self.real = np.arange(int(sizes.max())) < sizes[:, None]
+
+    def lay(self, rows: np.ndarray) -> np.ndarray:
+        out = np.zeros((*self.real.shape, *rows.shape[1:]))
+        out[self.real] = rows
+        return out
+
+
+def _first_guess(x: np.ndarray, label: np.ndarray, weight: np.ndarray, steps: int = 200) -> np.ndarray:
+    """1 for lines that a logistic model of single lines, fitted to their documents' labels, takes for content."""
+    mean, scale = np.average(x, 0, weight), np.sqrt(np.average((x - np.average(x, 0, weight)) ** 2, 0, weight)) + 1e-9
+    z = (x - mean) / scale
+    z[:, 0] = 1.0
+    w, first, second = np.zeros(z.shape[1]), np.zeros(z.shape[1]), np.zeros(z.shape[1])
+    for t in range(1, steps + 1):
+        grad = z.T @ ((1 / (1 + np.exp(-z @ w)) - label) * weight) + 1e-4 * w
+        first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad**2
+        w -= 0.1 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-8)
+    return (z @ w >= 0).astype(float)
+
+
+def _constrained(scores, move, grid: _Grid, doc, share, y, limit) -> tuple[np.ndarray, np.ndarray]:
+    """Expected labels of lines and label pairs of sequences, where each document's constraint holds.
+
+    A document whose expected share of content words breaks its limit has its lines' content scores moved by one
+    number, the least that meets the limit, found by halving.
+    """
+
+    def expect(shift: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        moved = scores.copy()
+        moved[:, 1] += shift[doc]
+        lines, pairs = _marginals(grid.lay(moved), move, grid.real)
+        lines = lines[grid.real]
+        return lines, pairs, np.bincount(doc, lines[:, 1] * share, len(y))
+
+    sign = np.where(y == 1, 1.0, -1.0)
+    lines, pairs, content = expect(np.zeros(len(y)))
+    broken = sign * content < sign * limit
+    if not broken.any():
+        return lines, pairs
+    low, high = np.zeros(len(y)), np.where(broken, 40.0, 0.0)
+    for _ in range(14):
+        mid = (low + high) / 2
+        met = sign * expect(sign * mid)[2] >= sign * limit
+        low, high = np.where(met, low, mid), np.where(met, mid, high)
+    return expect(sign * high)[:2]
+
+
+def _fit_to(params, x, grid: _Grid, each, want_lines, want_pairs, steps: int, penalty: float) -> np.ndarray:
+    """Weights under which the expected labels and pairs are the wanted ones, by gradient steps from params."""
+    by_line = np.repeat(each, grid.real.sum(1))[:, None]
+    true_moves = np.tensordot(each, want_pairs, 1)
+    mean, square = np.zeros_like(params), np.zeros_like(params)
+    for t in range(1, steps + 1):
+        lines, pairs = _marginals(grid.lay(x @ params[:-4].reshape(2, -1).T), params[-4:].reshape(2, 2), grid.real)
+        grad_emit = ((lines[grid.real] - want_lines) * by_line).T @ x
+        grad_move = np.tensordot(each, pairs, 1) - true_moves
+        grad = np.concatenate([grad_emit.ravel(), grad_move.ravel()]) + penalty * params
+        mean, square = 0.9 * mean + 0.1 * grad, 0.99 * square + 0.01 * grad**2
+        params = params - 0.1 * (mean / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.99**t)) + 1e-8)
+    return params
+
+
 def _marginals(scores: np.ndarray, move: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The probability of each label at each step, and the expected label pairs of each sequence."""
     n, steps, _ = scores.shape
@@ -131,7 +205,7 @@ def _marginals(scores: np.ndarray, move: np.ndarray, real: np.ndarray) -> tuple[
 def fit_line_crf(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> LineCRF:
     """Fit on documents of labels (doc_id, quality) with crc32(doc_id as text) mod 5 other than 0.
 
-    Takes at most max_docs documents; an id with two different labels or none is left out.
+    Takes at most max_docs documents, all their lines; an id with two different labels or none is left out.
     """
     chosen = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
@@ -151,12 +225,22 @@ def fit_line_crf(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -
     ids = F.broadcast(spark.createDataFrame([(i,) for i in quality], "doc_id bigint"))  # max_docs rows at most
 
     def run(ids, texts):
-        found = [line_features(split(t)[2][:SEGMENT])[0].astype("<f4").tobytes() for t in texts]
-        return {"doc_id": ids, "features": found}
+        out: dict[str, list] = {"doc_id": ids, "name": [], "features": [], "sizes": []}
+        for text in texts:
+            features, sizes = line_features(split(text)[2])
+            out["name"].append(hashlib.sha256(text.encode("utf-8")).digest())
+            out["features"].append(features.astype("<f4").tobytes())
+            out["sizes"].append(sizes.astype("<i8").tobytes())
+        return out
 
     few = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
-    rows = map_texts(few, run, "doc_id bigint, features binary").dropDuplicates(["doc_id"]).orderBy("doc_id").toPandas()
-    data = [(np.frombuffer(f, "<f4").astype(float).reshape(-1, len(FEATURES)), quality[i]) for i, f in zip(rows["doc_id"].tolist(), rows["features"], strict=True)]
+    seen = map_texts(few, run, "doc_id bigint, name binary, features binary, sizes binary")
+    # Of several texts of an id the one of the least digest counts, so that the field is always the same.
+    rows = seen.groupBy("doc_id").agg(F.min(F.struct("name", "features", "sizes")).alias("r")).select("doc_id", "r.features", "r.sizes").orderBy("doc_id").toPandas()
+    data = [
+        (np.frombuffer(f, "<f4").astype(float).reshape(-1, len(FEATURES)), np.frombuffer(n, "<i8"), quality[i])
+        for i, f, n in zip(rows["doc_id"].tolist(), rows["features"], rows["sizes"], strict=True)
+    ]
     return LineCRF.fit(data)
 
 
@@ -166,7 +250,8 @@ def judge(docs: DataFrame, crf: LineCRF, content_share: float = CONTENT_SHARE) -
     Columns: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
     content_words (words in content lines), n_lines (lines with a word), line_labels (one character for each
     of these lines: c or b). A null or empty text has no words and so fails the base rules. A null doc_id stays
-    null, repeated rows give repeated rows, other columns are not read, an empty table gives an empty one.
+    null, repeated rows give repeated rows, other columns are not read, an empty table gives an empty one. A very long
+    text is decoded as a whole; its lines' features take about 100 bytes each. At a tie Viterbi takes content.
     """
 
     def run(ids, texts):

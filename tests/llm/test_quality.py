@@ -83,15 +83,46 @@ def held(doc_id):
     return zlib.crc32(str(doc_id).encode()) % 5 == 0
 
 
-def test_crf_held_out(labelled):
-    crf = line_crf.LineCRF.fit([(line_crf.line_features(split(t)[2])[0], q) for i, q, t in labelled if not held(i)])
-    hits = []
+@pytest.fixture(scope="module")
+def field(labelled):
+    return line_crf.LineCRF.fit([(*line_crf.line_features(split(t)[2]), q) for i, q, t in labelled if not held(i)])
+
+
+def marks(field, text):
+    return "".join("bc"[x] for x in field.decode(line_crf.line_features(split(text)[2])[0]))
+
+
+def test_crf_held_out(labelled, field):
+    hits, mixed = [], 0
     for i, q, t in labelled:
+        x, sizes = line_crf.line_features(split(t)[2])
+        labels = np.array(field.decode(x), bool)
+        mixed += 0 < labels.sum() < len(labels)
         if held(i):
-            x, sizes = line_crf.line_features(split(t)[2])
-            share = sizes[np.array(crf.decode(x), bool)].sum() / max(1, sizes.sum())
-            hits.append((share >= 0.5) == (q == 1))
-    assert np.mean(hits) > 0.95
+            hits.append((sizes[labels].sum() / max(1, sizes.sum()) >= 0.5) == (q == 1))
+    assert np.mean(hits) > 0.95 and mixed >= 10, (np.mean(hits), mixed)
+
+
+def test_boilerplate_within_content_is_marked_alone(labelled, field):
+    good = [x for i, q, t in labelled if q == 1 and held(i) for x in t.split("\n") if len(x.split()) > 15][:8]
+    bad = [x for i, q, t in labelled if q == 0 and held(i) for x in t.split("\n") if "!!" in x][:4]
+    assert len(good) == 8 and len(bad) == 4
+    assert marks(field, "\n".join(good)) == "c" * 8 and marks(field, "\n".join(bad)) == "b" * 4
+    assert marks(field, "\n".join(good[:4] + bad + good[4:])) == "ccccbbbbcccc"
+    assert marks(field, "\n".join(bad[:2] + good[:4] + bad[2:])) == "bbccccbb"
+
+
+def test_fit_reads_every_line_and_one_text_of_an_id(spark, labelled):
+    """The only bad lines stand far beyond the first of a long document."""
+    good = [t for _, q, t in labelled if q == 1][:40]
+    bad = [x for _, q, t in labelled if q == 0 for x in t.split("\n") if "!!" in x][:20]
+    text = lambda i: good[i] if i < 20 else "\n".join([*(x for x in good[i].split("\n")[:1] * 70), *bad * 40])
+    rows = [(i, text(i)) for i in range(40)]
+    labels = spark.createDataFrame([(i, int(i < 20)) for i in range(40)], "doc_id bigint, quality int")
+    crf = line_crf.fit_line_crf(spark.createDataFrame([*rows, rows[3], (5, "x !!"), (21, None)], "doc_id bigint, text string"), labels)
+    again = line_crf.fit_line_crf(spark.createDataFrame([(21, None), (5, "x !!"), *rows[::-1]], "doc_id bigint, text string").repartition(3), labels)
+    assert (crf.emit == again.emit).all() and (crf.move == again.move).all()
+    assert marks(crf, "\n".join(good[0].split("\n")[:1] + bad[:3])).endswith("bbb")
 
 
 def test_gam_held_out(labelled):
