@@ -12,6 +12,7 @@ among those with crc32(doc_id as text) mod 5 other than 0.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -176,10 +177,12 @@ def fit_gam(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> GAM
     ids = F.broadcast(docs.sparkSession.createDataFrame(chosen[["doc_id"]], "doc_id bigint"))  # max_rows rows at most
 
     def run(ids, texts):
-        return {"doc_id": ids, "x": [list(map(float, features(t))) for t in texts]}
+        return {"doc_id": ids, "name": [hashlib.sha256(t.encode("utf-8")).digest() for t in texts], "x": [list(map(float, features(t))) for t in texts]}
 
     few = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
-    rows = map_texts(few, run, "doc_id bigint, x array<double>").dropDuplicates(["doc_id"]).orderBy("doc_id").toPandas()
+    seen = map_texts(few, run, "doc_id bigint, name binary, x array<double>")
+    # Of several texts of an id the one of the least digest counts, so that the model is always the same.
+    rows = seen.groupBy("doc_id").agg(F.min(F.struct("name", "x")).alias("r")).select("doc_id", "r.x").orderBy("doc_id").toPandas()
     x = np.array(rows["x"].tolist(), float).reshape(-1, len(FEATURES))
     return GAM.fit(x, np.array([quality[i] for i in rows["doc_id"].tolist()], float))
 
@@ -188,7 +191,8 @@ def score(docs: DataFrame, model: GAM) -> DataFrame:
     """doc_id and score (0 to 1, higher: better quality likelier) of each row's whole text.
 
     A null or empty text is scored as one without words; a null doc_id stays null; repeated rows give repeated
-    rows; other columns are not read; an empty table gives an empty one. Nothing is shuffled.
+    rows with equal scores; a very long text is read as a whole, a few at a time; other columns are not read; an empty
+    table gives an empty one. Nothing is shuffled.
     """
 
     def run(ids, texts):
@@ -199,7 +203,11 @@ def score(docs: DataFrame, model: GAM) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: GAM, threshold: float = 0.3) -> DataFrame:
-    """The rows of docs, with all their columns, whose text scores at least threshold. Nothing is shuffled."""
+    """The rows of docs, with all their columns, whose text scores at least threshold. Nothing is shuffled.
+
+    A null or empty text is scored as one without words; a null or repeated doc_id does not matter; columns of any name
+    are handed on; a row whose score is just threshold stays; an empty table gives an empty one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

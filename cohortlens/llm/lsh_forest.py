@@ -1,16 +1,23 @@
 """N-gram Jaccard join by a MinHash LSH forest with exact verification (operator 10).
 
 A text's shingles are its runs of five words (ASCII white space between them; the whole text if it has fewer).
-Every tree of the forest gives a text a label, a sequence of minima of its shingles under hash functions of
-that tree. Texts that share a prefix of a label are candidates. The prefix starts at the full label and is
-shortened until pairs at the threshold meet in some tree with the target recall; texts with a longer common
-prefix share the shortened one, so one grouping by (tree, prefix) finds all of them.
-
-Equal texts are one text from the start. Groups with few texts give pairs, whose minima are compared one by
-one; those far from the threshold go. Groups with many texts only tie each text to the group's first, so that
-no group is expanded into pairs. The parts that hang together then get each text's shingles once and are
-verified by exact intersection counts, in blocks of bounded size where a part is large. Blocks count links and
-return the parts that the links connect; pairs are never written.
+Every tree of the forest gives a text a label, a sequence of minima of its shingles under hash functions of that
+tree, most significant first, so that sorting labels as bytes gives the tree's trie: a node is a tree, a depth and the
+prefix that the labels below it share. Two texts of similarity s share a prefix of depth d in a tree with
+probability s^d.
+
+A text starts from its full labels and shortens the prefixes that it matches one tree after the other, in an order of
+its own, level by level, until a text at the threshold shares one of its nodes with the target recall. A text that
+has company at depth SHORTEST in too few trees to have a near copy (see least_company) stops before it starts, so most
+texts ask for no node at all. All texts of a node that one of them asks for are candidates of one another; of nested
+nodes the upper one counts. Which trees are shortened may not depend on how many texts their nodes hold: where a text is
+alone its near copy is not, so going by sizes would pass by the very nodes that hold it.
+
+Equal texts are one text from the start. Nodes with few texts give pairs; nodes with many are compared block by block
+and give the parts that alike texts form, so that no node is expanded into pairs. Alike are texts whose minima agree
+nearly as often as the threshold asks (see loss_by_sketch). The parts that hang together then get each text's shingles
+once and are verified by exact intersection counts, in blocks of bounded size where a part is large. Blocks count links
+and return the parts that the links connect; pairs are never written.
 """
 
 from __future__ import annotations
@@ -27,20 +34,56 @@ from cohortlens.llm.common import map_texts, materialise, read, release
 from cohortlens.llm.components import connected_components
 
 NGRAM, THRESHOLD = 5, (8, 10)
-TREES, LABEL, RECALL = 32, 10, 0.9999
-#: Groups of more texts than this are tied to their first text instead of giving pairs.
-FEW = 24
-#: Most texts and shingles of a block of one side, on average; larger parts are verified block by block.
-BLOCK_TEXTS, BLOCK_SHINGLES = 512, 300_000
+TREES, LABEL, SHORTEST, RECALL = 32, 8, 4, 0.9999
+#: Nodes of more texts than this are compared in blocks of NODE_BLOCK texts instead of giving pairs.
+FEW, NODE_BLOCK = 24, 256
+#: Standard errors below the threshold at which minima still make a candidate.
+ERRORS = 5
+#: Texts and shingles of a block, on average. Parts have small blocks, so that their work is dealt over many tasks, up to
+#: MOST_SMALL of them; larger ones have large blocks, so that a text is not sent too often.
+SMALL_BLOCK, MOST_SMALL, BLOCK_TEXTS, BLOCK_SHINGLES = 128, 64, 512, 300_000
 CACHE_WORDS = 150_000
 
 
-def prefix_length(threshold: float, trees: int, label: int, recall: float) -> int:
-    """The longest prefix at which a pair at the threshold meets in some tree with at least the recall."""
-    for length in range(label, 0, -1):
-        if 1 - (1 - threshold**length) ** trees >= recall:
-            return length
-    return 1
+def least_company(threshold: float, trees: int, recall: float, shortest: int = SHORTEST) -> tuple[int, float]:
+    """In how many trees a text must have company at depth shortest to go on, and the chance that one with a near copy stops.
+
+    That is at most a quarter of what the recall allows.
+    """
+    from math import comb
+
+    p, sum_, need = threshold**shortest, 0.0, 0
+    while True:
+        more = sum_ + comb(trees, need) * p**need * (1 - p) ** (trees - need)
+        if more > (1 - recall) / 4 or need == trees:
+            return need, sum_
+        sum_, need = more, need + 1
+
+
+def shortened(threshold: float, trees: int, label: int, miss: float, shortest: int = SHORTEST) -> tuple[int, int]:
+    """Prefixes are shortened from full labels, tree by tree and level by level, until the chance that a pair at the
+    threshold shares none is at most miss: the depth of the last level, and how many trees get down to it.
+
+    Where even depth shortest in all trees does not do, that is what is searched.
+    """
+    from math import log, log1p
+
+    gain = lambda d: -log1p(-(threshold**d))
+    held = trees * gain(label)
+    for depth in range(label - 1, shortest - 1, -1):
+        for tree in range(1, trees + 1):
+            held += gain(depth) - gain(depth + 1)
+            if held >= -log(miss):
+                return depth, tree
+    return shortest, trees
+
+
+def loss_by_sketch(threshold: float, minima: int = TREES * LABEL, errors: float = ERRORS) -> float:
+    """The chance that a pair at the threshold is no candidate although it meets in a node."""
+    from math import comb
+
+    least = threshold - errors * (threshold * (1 - threshold) / minima) ** 0.5
+    return sum(comb(minima, k) * threshold**k * (1 - threshold) ** (minima - k) for k in range(minima) if k / minima < least)
 
 
 class _Words(dict):
@@ -93,43 +136,104 @@ def _functions(count: int) -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, 1 << 32, count, np.uint32) | np.uint32(1), rng.integers(0, 1 << 32, count, np.uint32)
 
 
-def sign(docs: DataFrame, size: int, trees: int, length: int) -> DataFrame:
-    """doc_id, key (of the text), n (shingles, repeats included), labels (a hash of each tree's prefix), sketch (a byte of each minimum)."""
-    factors, offsets = _functions(trees * length)
-    salt = _mixed(np.arange(1, trees + 1, dtype=np.uint64))
-    odd = _mixed(np.arange(101, 101 + length, dtype=np.uint64)) | np.uint64(1)
+def sign(docs: DataFrame, size: int, trees: int, label: int) -> DataFrame:
+    """doc_id, key (of the text), n (shingles, repeats included), labels (two bytes of each minimum, tree after tree)."""
+    factors, offsets = _functions(trees * label)
 
     def run(ids, texts):
-        out = {"doc_id": ids, "key": [], "n": [], "labels": [], "sketch": []}
+        out = {"doc_id": ids, "key": [], "n": [], "labels": []}
         for text in texts:
             hashes = shingles(text, size)
             out["key"].append(hashlib.sha256(text.encode("utf-8")).digest())
             out["n"].append(len(hashes))
-            if len(hashes):
-                least = minima(hashes, factors, offsets)
-                labels = _mixed((least.reshape(trees, length).astype(np.uint64) * odd).sum(1, dtype=np.uint64) ^ salt)
-                out["labels"].append(labels.view(np.int64))
-                out["sketch"].append((least * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8).tobytes())
-            else:
-                out["labels"].append([])
-                out["sketch"].append(b"")
+            out["labels"].append((minima(hashes, factors, offsets) * np.uint32(0x9E3779B1) >> np.uint32(16)).astype(">u2").tobytes() if len(hashes) else None)
         return out
 
-    return map_texts(docs, run, "doc_id bigint, key binary, n bigint, labels array<bigint>, sketch binary")
+    return map_texts(docs, run, "doc_id bigint, key binary, n bigint, labels binary")
+
+
+def _minima(labels: pa.Array) -> np.ndarray:
+    """A byte of each minimum, a row for each label string."""
+    return np.frombuffer(b"".join(labels.to_pylist()), np.uint8).reshape(len(labels), -1)[:, 1::2]
 
 
 def _alike(pairs: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) whose sketches agree in at least this share of their bytes."""
+    """Pairs (a, b) whose minima agree in at least this share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 4096):
+                part = batch.slice(at, 4096)
+                keep = pa.array((_minima(part.column(2)) == _minima(part.column(3))).mean(1) >= least)
+                yield pa.RecordBatch.from_arrays([part.column(k).filter(keep) for k in (0, 1)], names=["a", "b"])
+
+    return pairs.select("a", "b", "labels_a", "labels_b").mapInArrow(run, "a bigint, b bigint")
+
+
+def _alike_blocks(rows: DataFrame, least: float) -> DataFrame:
+    """Edges (a, b) that connect the alike texts of each block pair (node, i, j) of crowded nodes; rows come sorted."""
+
+    def flush(ids: list, labels: list) -> pa.RecordBatch:
+        sketch, own = _minima(pa.array(labels)), np.array(ids, np.int64)
+        same = np.zeros((len(own), len(own)), np.uint16)
+        for column in np.ascontiguousarray(sketch.T):
+            same += column[:, None] == column[None, :]
+        root = _parts(same >= least * sketch.shape[1], own)
+        return pa.RecordBatch.from_arrays([pa.array(own[root != own]), pa.array(root[root != own])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, labels = None, [], []
         for batch in batches:
-            if not len(batch):
-                continue
-            left, right = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(len(batch), -1) for k in (2, 3))
-            keep = (left == right).mean(1) >= least
-            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep)) for k in (0, 1)], names=["a", "b"])
+            for node, i, j, id_, held in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (node, i, j) != key and ids:
+                    yield flush(ids, labels)
+                    ids, labels = [], []
+                key = (node, i, j)
+                ids.append(id_)
+                labels.append(held)
+        if ids:
+            yield flush(ids, labels)
+        release()
 
-    return pairs.select("a", "b", "sketch_a", "sketch_b").mapInArrow(run, "a bigint, b bigint")
+    return rows.select("node", "i", "j", "id", "labels").mapInArrow(run, "a bigint, b bigint")
+
+
+def candidates(texts: DataFrame, threshold: float, trees: int, label: int, recall: float) -> DataFrame:
+    """id and node of each text (id, labels) in the nodes that are asked for; each tree has one node of a text at most."""
+    need, lost = least_company(threshold, trees, recall)
+    depth, count = shortened(threshold, trees, label, 1 - recall - lost)
+    one = F.expr(f"substring(labels, 1 + tree * {2 * label}, {2 * label})").alias("label")
+    rows = texts.where("labels is not null").select("id", "labels", F.explode(F.expr(f"sequence(0Y, {trees - 1}Y)")).alias("tree")).select("id", "tree", one)
+    node = lambda d: F.xxhash64("tree", F.lit(d), F.expr(f"substring(label, 1, {2 * d})"))
+    rows = rows.select("id", "tree", node(SHORTEST).alias("top"), node(depth).alias("upper"), node(depth + 1).alias("lower"))
+    crowds = rows.groupBy("top").agg(F.count("*").alias("m")).where("m > 1").select("top")
+    # The part of the tries below nodes with company.
+    met = materialise(rows.join(crowds, "top").select("id", "tree", "upper", "lower"), "trie")
+    asking = met.groupBy("id").agg(F.count("*").alias("trees")).where(F.col("trees") >= need).select("id")
+    turn = F.pmod(F.pmod(F.xxhash64("id"), F.lit(trees)) + F.col("tree"), F.lit(trees))
+    asked = met.join(asking, "id", "left_semi").select(F.when(turn < count, F.col("upper")).alias("up"), F.when(turn >= count, F.col("lower")).alias("low"))
+    up, low = (asked.where(F.col(c).isNotNull()).groupBy(c).agg(F.lit(True).alias(f"{c}_asked")) for c in ("up", "low"))
+    inside = met.join(up, met["upper"] == up["up"], "left").join(low, met["lower"] == low["low"], "left")
+    return materialise(inside.select("id", F.when(F.col("up_asked"), F.col("upper")).when(F.col("low_asked"), F.col("lower")).alias("node")).where("node is not null"), "candidates")
+
+
+def alike(texts: DataFrame, threshold: float, trees: int, label: int, recall: float) -> DataFrame:
+    """Edges (a, b) that connect all candidates whose minima are alike."""
+    least = threshold - ERRORS * (threshold * (1 - threshold) / (trees * label)) ** 0.5
+    members = candidates(texts, threshold, trees, label, recall)
+    groups = members.groupBy("node").agg(F.count("*").alias("m"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("ids")).where("m > 1")
+    # Nodes of different trees with the same texts are one.
+    groups = materialise(groups.groupBy("m", "ids").agg(F.min("node").alias("node")).select("node", "m"), "nodes")
+    placed = materialise(members.join(groups, "node"), "members")
+    listed = placed.where(F.col("m") <= FEW).groupBy("node").agg(F.array_sort(F.collect_list("id")).alias("ids"))  # FEW at most
+    pairs = listed.select(F.explode(F.expr("flatten(transform(ids, (x, k) -> transform(slice(ids, k + 2, size(ids)), y -> struct(x as a, y as b))))")).alias("p")).select("p.a", "p.b").distinct()
+    held = texts.select("id", "labels")
+    pairs = pairs.join(held.select(F.col("id").alias("a"), F.col("labels").alias("labels_a")), "a").join(held.select(F.col("id").alias("b"), F.col("labels").alias("labels_b")), "b")
+    blocks = F.ceil(F.col("m") / NODE_BLOCK).cast("long")
+    crowded = placed.where(F.col("m") > FEW).select("node", "id", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).alias("block")).join(held, "id")
+    dealt = crowded.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)"))).select("node", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "labels")
+    count = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return _alike(pairs, least).unionByName(_alike_blocks(dealt.repartition(count, "node", "i", "j").sortWithinPartitions("node", "i", "j"), least))
 
 
 def links_of(sets: list[np.ndarray], threshold: tuple[int, int]) -> np.ndarray:
@@ -201,43 +305,21 @@ def _verify(blocks: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     return blocks.select("part", "i", "j", "id", "side", "held", "blocks").mapInArrow(run, "id bigint, links bigint, root bigint, blocks bigint")
 
 
-def jaccard_join(docs: DataFrame, size: int = NGRAM, threshold: tuple[int, int] = THRESHOLD, trees: int = TREES, label: int = LABEL, recall: float = RECALL) -> DataFrame:
-    """doc_id, copy_of, class_id and n_links of each row of docs.
-
-    copy_of is the smallest doc_id with the same text, n_links the number of different texts with a Jaccard
-    similarity of at least the threshold (a fraction) to this one, class_id the smallest doc_id of all texts
-    that such links connect. A null text is an empty one. Texts without a word have no links but are copies of
-    an equal text. A row with a null doc_id takes no part: copy_of and class_id are null, n_links 0. Repeated
-    rows are copies; where one doc_id has different texts, the one of the smallest hash stands for the id.
-    Other columns are not read; an empty table gives an empty result.
-    """
+def _joined(docs: DataFrame, size: int, threshold: tuple[int, int], trees: int, label: int, recall: float) -> DataFrame:
+    """doc_id, key, copy_of, class_id, n_links of each row with a doc_id, and whether its text stands for copy_of (own)."""
     spark = docs.sparkSession
     share = threshold[0] / threshold[1]
-    length = prefix_length(share, trees, label, recall)
-    signed = materialise(sign(docs, size, trees, length), "signed")
-    copies = signed.where("doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("labels").alias("labels"), F.first("sketch").alias("sketch"))
-    texts = materialise(
-        copies.groupBy("id").agg(F.min("key").alias("key"), F.min_by("n", "key").alias("n"), F.min_by("labels", "key").alias("labels"), F.min_by("sketch", "key").alias("sketch")), "texts"
-    )
-    single = texts.select("id", F.explode("labels").alias("label"))
-    groups = materialise(single.groupBy("label").agg(F.count("*").alias("m"), F.min("id").alias("first")).where("m > 1"), "groups")
-    members = materialise(single.join(groups, "label").select("label", "id", "m", "first"), "members")
-
-    listed = members.where(F.col("m") <= FEW).groupBy("label").agg(F.array_sort(F.collect_list("id")).alias("ids"))  # FEW at most
-    pairs = listed.select(F.explode(F.expr("flatten(transform(ids, (x, k) -> transform(slice(ids, k + 2, size(ids)), y -> struct(x as a, y as b))))")).alias("p")).select("p.a", "p.b").distinct()
-    sketches = texts.select("id", "sketch")
-    pairs = pairs.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sketch_a")), "a").join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sketch_b")), "b")
-    # Five standard errors below the threshold, so that a pair at it goes with a chance of about 1 in 3 million.
-    near = _alike(pairs, share - 5 * (share * (1 - share) / (trees * length)) ** 0.5)
-    ties = members.where((F.col("m") > FEW) & (F.col("id") != F.col("first"))).select(F.col("id").alias("a"), F.col("first").alias("b"))
-    part = materialise(connected_components(near.unionByName(ties), "candidates"), "parts")
+    signed = materialise(sign(docs.where("doc_id is not null"), size, trees, label), "signed")
+    copies = signed.groupBy("key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("labels").alias("labels"))
+    texts = materialise(copies.groupBy("id").agg(F.min(F.struct("key", "n", "labels")).alias("t")).select("id", "t.key", "t.n", "t.labels"), "texts")
+    part = materialise(connected_components(alike(texts, share, trees, label, recall), "edges"), "parts")
 
     def distinct_shingles(ids, texts):
         return {"doc_id": ids, "held": [np.unique(shingles(t, size)).astype("<u8").tobytes() for t in texts]}
 
     wanted = part.join(texts.select(F.col("id").alias("node"), "key", "n"), "node")
     sums = wanted.groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
-    blocks = F.greatest(F.ceil(F.col("m") / BLOCK_TEXTS), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("long")
+    blocks = F.greatest(F.least(F.ceil(F.col("m") / SMALL_BLOCK), F.lit(MOST_SMALL)), F.ceil(F.col("m") / BLOCK_TEXTS), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("long")
     placed = materialise(
         wanted.join(sums.select("component", blocks.alias("blocks")), "component").select(
             F.col("node").alias("doc_id"), "key", F.col("component").alias("part"), "blocks", F.pmod(F.xxhash64("node"), "blocks").alias("block")
@@ -259,19 +341,39 @@ def jaccard_join(docs: DataFrame, size: int = NGRAM, threshold: tuple[int, int]
     links = counted.groupBy("id").agg(F.sum("links").alias("links"), F.min("root").alias("root"), F.max("blocks").alias("blocks"))
     across = connected_components(counted.where("blocks > 1").select(F.col("id").alias("a"), F.col("root").alias("b")), "classes")
     found = links.join(across.select(F.col("node").alias("id"), "component"), "id", "left").select("id", "links", F.coalesce("component", "root").alias("root"))
-    classes = copies.select("key", "id").join(found, "id", "left").select("key", F.col("id").alias("copy_of"), F.coalesce("root", "id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("n_links"))
-    out = signed.where("doc_id is not null").select("doc_id", "key").join(materialise(classes, "classes"), "key")
-    none = signed.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("copy_of"), F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    own = texts.select("key", F.lit(True).alias("own"))
+    classes = copies.select("key", "id").join(own, "key", "left").join(found, "id", "left").select(
+        "key", F.col("id").alias("copy_of"), F.coalesce("root", "id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("n_links"), F.coalesce("own", F.lit(False)).alias("own")
+    )
+    return signed.select("doc_id", "key").join(materialise(classes, "classes"), "key")
+
+
+def jaccard_join(docs: DataFrame, size: int = NGRAM, threshold: tuple[int, int] = THRESHOLD, trees: int = TREES, label: int = LABEL, recall: float = RECALL) -> DataFrame:
+    """doc_id, copy_of, class_id and n_links of each row of docs.
+
+    copy_of is the smallest doc_id with the same text, n_links the number of different texts with a Jaccard
+    similarity of at least the threshold (a fraction) to this one, class_id the smallest doc_id of all texts
+    that such links connect. A null text is an empty one. Texts without a word have no links but are copies of
+    an equal text. A row with a null doc_id takes no part: copy_of and class_id are null, n_links 0. Repeated
+    rows are copies; where one doc_id has different texts, the one of the smallest hash stands for the id. A very long
+    text is one text like any other; its distinct shingles have to fit into a task.
+    Other columns are not read; an empty table gives an empty result.
+    """
+    out = _joined(docs, size, threshold, trees, label, recall)
+    none = docs.where("doc_id is null").select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("copy_of"), F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return out.select("doc_id", "copy_of", "class_id", "n_links").unionByName(none)
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, whose doc_id is its class's; one row for each doc_id.
+    """The rows of docs, with all their columns, whose doc_id is its class's; one row for each doc_id and text.
 
-    Rows with a null doc_id stay, as nothing is known about them.
+    Rows with a null doc_id stay, as nothing is known about them. Where one doc_id has different texts, those that do
+    not stand for it were compared with none and stay, one row each. Equal rows are one; an empty table stays empty.
     """
-    heads = jaccard_join(docs).where("doc_id = class_id").select("doc_id").distinct()
-    kept = docs.join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    joined = _joined(docs, NGRAM, THRESHOLD, TREES, LABEL, RECALL)
+    heads = joined.where("(own and doc_id = class_id) or (not own and doc_id = copy_of)").select(F.col("doc_id").alias("_head"), F.col("key").alias("_key")).distinct()
+    keyed = docs.where("doc_id is not null").withColumn("_sha", F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)))
+    kept = keyed.join(heads, (F.col("doc_id").cast("long") == F.col("_head")) & (F.col("_sha") == F.col("_key")), "left_semi").dropDuplicates(["doc_id", "_sha"]).drop("_sha")
     return kept.unionByName(docs.where("doc_id is null"))
 
 

@@ -131,6 +131,8 @@ def near_copies(seed, many=90):
 def test_join_equals_brute_force(spark, monkeypatch, few, block):
     monkeypatch.setattr(lsh_forest, "FEW", few)
     monkeypatch.setattr(lsh_forest, "BLOCK_TEXTS", block)
+    monkeypatch.setattr(lsh_forest, "SMALL_BLOCK", block)
+    monkeypatch.setattr(lsh_forest, "NODE_BLOCK", block)
     rows = near_copies(7)
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id bigint, text string, label string")
     assert sorted(map(tuple, lsh_forest.jaccard_join(df).collect()), key=str) == plain_join(rows)
@@ -147,9 +149,32 @@ def test_links_count_once_beside_an_empty_block(spark, monkeypatch):
 def test_join_edges(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert lsh_forest.jaccard_join(df).count() == 0
-    assert lsh_forest.prefix_length(0.8, 32, 10, 0.9999) == 6 and lsh_forest.prefix_length(0.1, 1, 4, 0.99) == 1
     docs = spark.createDataFrame([(1, "a b c d e f", "en"), (2, "a b c d e f", "en"), (2, "a b c d e f", "en"), (None, "a b c d e f", None)], "doc_id bigint, text string, lang string")
     assert sorted(str(r["doc_id"]) for r in lsh_forest.one_of_each(docs).collect()) == ["1", "None"]
+    docs = spark.createDataFrame([(1, "a b c d e f"), (3, "a b c d e f"), (3, "u v w x y z"), (3, "q r s t u v"), (3, "q r s t u v")], "doc_id bigint, text string")
+    assert sorted(tuple(r) for r in lsh_forest.one_of_each(docs).collect()) == [(1, "a b c d e f"), (3, "q r s t u v"), (3, "u v w x y z")]
+
+
+def test_prefixes_are_shortened_until_the_target():
+    need, lost = lsh_forest.least_company(0.8, 32, 0.9999)
+    rng = np.random.default_rng(0)
+    assert need == 3 and 0 < lost <= 2.5e-5 and lsh_forest.least_company(0.8, 4, 0.9999) == (0, 0.0)
+    depth, trees = lsh_forest.shortened(0.8, 32, 8, 1e-4 - lost)
+    miss = lambda d, n: (1 - 0.8**d) ** n * (1 - 0.8 ** (d + 1)) ** (32 - n)
+    assert depth == 6 and miss(depth, trees) <= 1e-4 - lost < miss(depth, trees - 1)
+    assert lsh_forest.shortened(0.8, 32, 8, 0.9) == (7, 1) and lsh_forest.shortened(0.1, 4, 8, 1e-9) == (4, 4)
+    same = rng.random((400_000, 32, 8)) < 0.8  # labels of pairs at the threshold
+    prefix = np.cumprod(same, axis=2).sum(2)
+    found = (prefix[:, :trees] >= depth).any(1) | (prefix[:, trees:] > depth).any(1)
+    assert ((prefix >= 4).sum(1) >= need)[found].mean() > 0.9999 and found.mean() > 0.9998
+    assert lsh_forest.loss_by_sketch(0.8) < 1e-5
+
+
+def test_recall_of_the_forest_on_the_tables(spark):
+    """All pairs at the threshold of the middle table meet in a node: links are those of an inverted list."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    assert sorted(map(tuple, lsh_forest.jaccard_join(docs).collect()), key=str) == plain_join(rows)
 
 
 def test_links_of_counts_every_width():
