@@ -41,7 +41,7 @@ FEW, NODE_BLOCK = 24, 256
 ERRORS = 5
 #: Texts and shingles of a block, on average. Parts have small blocks, so that their work is dealt over many tasks, up to
 #: MOST_SMALL of them; larger ones have large blocks, so that a text is not sent too often.
-SMALL_BLOCK, MOST_SMALL, BLOCK_TEXTS, BLOCK_SHINGLES = 128, 64, 512, 300_000
+SMALL_BLOCK, MOST_SMALL, BLOCK_TEXTS, BLOCK_SHINGLES = 64, 64, 512, 300_000
 CACHE_WORDS = 150_000
 
 
