@@ -6,8 +6,10 @@ follow. Reading one token, counting a token in a range and finding its k-th occu
 select on each plane, whatever the shard's size.
 
 File layout: magic, header length (u32), zstd-compressed JSON header, then the planes' blocks. A plane is cut
-into blocks of BLOCK bits, compressed one by one; the header holds each block's place and the ones before it,
-so a query unpacks one block a plane. The documents' ids and starts are further blocks of the same file.
+into blocks of BLOCK bits, compressed one by one; the header holds each block's place and the ones before it, and a
+block begins with the ones before each of its cells of CELL bits (u32). So a query reads and unpacks one block a plane,
+a rank counts the bits of one cell and a select searches the counts and then one cell. The documents' ids and starts
+are further blocks of the same file.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.llm.common import _block, read, shared_dir
 
-MAGIC, BLOCK = b"WVMX1\n", 1 << 18
+MAGIC, BLOCK, CELL = b"WVMX2\n", 1 << 18, 512
 SHARD_TOKENS = 4 << 20
 #: Cuts remembered; a worker's memory for them is about 200 bytes each.
 CACHE_ENTRIES = 1_000_000
@@ -47,11 +49,13 @@ def build(ids: np.ndarray, bits: int, doc_ids: list, starts: np.ndarray) -> byte
     for level in range(bits - 1, -1, -1):
         ones = (x >> level) & 1 != 0
         packed = np.packbits(ones)
-        counts = np.add.reduceat(ones, np.arange(0, len(ones), BLOCK), dtype=np.int64) if len(ones) else np.zeros(0, np.int64)
+        cells = np.add.reduceat(np.bitwise_count(packed), np.arange(0, len(packed), CELL // 8), dtype=np.uint32) if len(ones) else np.zeros(0, np.uint32)
+        before = [np.concatenate([[0], np.cumsum(cells[k : k + BLOCK // CELL])]).astype("<u4") for k in range(0, len(cells), BLOCK // CELL)]
+        counts = np.array([b[-1] for b in before], np.int64)
         planes.append({
             "zeros": int(len(ones) - counts.sum()),
             "rank": np.concatenate([[0], np.cumsum(counts)]).tolist(),
-            "blocks": [put(packed[k : k + BLOCK // 8].tobytes()) for k in range(0, len(packed), BLOCK // 8)],
+            "blocks": [put(b[:-1].tobytes() + packed[k : k + BLOCK // 8].tobytes()) for b, k in zip(before, range(0, len(packed), BLOCK // 8), strict=True)],
         })
         x = np.concatenate([x[~ones], x[ones]])
     known = np.array([d is not None for d in doc_ids], bool)
@@ -62,21 +66,27 @@ def build(ids: np.ndarray, bits: int, doc_ids: list, starts: np.ndarray) -> byte
 
 
 class Shard:
-    """Reads one file. data is the file's content."""
+    """Reads one file: bytes, or an open file that can seek. Of a file only the header and the blocks asked for are read."""
 
-    def __init__(self, data: bytes):
-        if data[: len(MAGIC)] != MAGIC:
+    def __init__(self, source):
+        self.source = source
+        start = self._read(0, len(MAGIC) + 4)
+        if start[: len(MAGIC)] != MAGIC:
             raise ValueError("not a wavelet matrix file")
-        at = len(MAGIC) + 4
-        size = struct.unpack("<I", data[len(MAGIC) : at])[0]
-        self.data, self.body = data, at + size
-        self.head = json.loads(_UNPACK.decompress(data[at : at + size]))
+        size = struct.unpack("<I", start[len(MAGIC) :])[0]
+        self.body = len(MAGIC) + 4 + size
+        self.head = json.loads(_UNPACK.decompress(self._read(len(MAGIC) + 4, size)))
         self.n, self.bits, self.planes = self.head["n"], self.head["bits"], self.head["planes"]
-        self.kept: dict[tuple[int, int], np.ndarray] = {}
+        self.kept: dict[tuple[int, int], tuple[np.ndarray, bytes]] = {}
+
+    def _read(self, at: int, size: int) -> bytes:
+        if isinstance(self.source, bytes):
+            return self.source[at : at + size]
+        self.source.seek(at)
+        return self.source.read(size)
 
     def _get(self, place: list[int]) -> bytes:
-        at = self.body + place[0]
-        return _UNPACK.decompress(self.data[at : at + place[1]])
+        return _UNPACK.decompress(self._read(self.body + place[0], place[1]))
 
     def documents(self) -> tuple[list, np.ndarray]:
         """The document ids, null included, and where each starts, with the end."""
@@ -85,29 +95,47 @@ class Shard:
         ids = np.frombuffer(self._get(self.head["ids"]), "<i8").tolist()
         return [None if gone else d for d, gone in zip(ids, null, strict=True)], np.frombuffer(self._get(self.head["starts"]), "<i8")
 
-    def _bits(self, plane: int, block: int) -> np.ndarray:
+    def _counts(self, block: int) -> int:
+        """Bytes of a block's counts of cells."""
+        return 4 * -(-min(BLOCK, self.n - block * BLOCK) // CELL)
+
+    def _block(self, plane: int, block: int) -> tuple[np.ndarray, bytes]:
+        """The ones before each cell of a block, and its bits."""
         if (plane, block) not in self.kept:
             if len(self.kept) > 256:
                 self.kept.clear()
-            raw = np.frombuffer(self._get(self.planes[plane]["blocks"][block]), np.uint8)
-            self.kept[plane, block] = np.unpackbits(raw, count=min(BLOCK, self.n - block * BLOCK))
+            raw, cut = self._get(self.planes[plane]["blocks"][block]), self._counts(block)
+            self.kept[plane, block] = np.frombuffer(raw[:cut], "<u4"), raw[cut:]
         return self.kept[plane, block]
 
     def _rank1(self, plane: int, i: int) -> int:
         """Ones of a plane before position i."""
         block, rest = divmod(i, BLOCK)
-        before = self.planes[plane]["rank"][block]
-        return before + (int(self._bits(plane, block)[:rest].sum()) if rest else 0)
+        out = self.planes[plane]["rank"][block]
+        if rest:
+            cells, data = self._block(plane, block)
+            cell, bits = divmod(rest, CELL)
+            if bits == 0 and cell == len(cells):  # the end of a plane
+                cell, bits = cell - 1, CELL
+            start, whole = cell * CELL // 8, -(-bits // 8)
+            out += int(cells[cell]) + (int.from_bytes(data[start : start + whole], "big") >> (8 * whole - bits)).bit_count()
+        return out
+
+    def _bit(self, plane: int, i: int) -> int:
+        block, rest = divmod(i, BLOCK)
+        return self._block(plane, block)[1][rest >> 3] >> (7 - (rest & 7)) & 1
 
     def _select(self, plane: int, bit: int, k: int) -> int:
         """The position of a plane's k-th (from 0) bit of that value."""
-        ranks = self.planes[plane]["rank"]
-        before = lambda b: ranks[b] if bit else min(b * BLOCK, self.n) - ranks[b]
-        low, high = 0, len(ranks) - 2
-        while low < high:
-            mid = (low + high + 1) // 2
-            low, high = (mid, high) if before(mid) <= k else (low, mid - 1)
-        return low * BLOCK + int(np.flatnonzero(self._bits(plane, low) == bit)[k - before(low)])
+        ranks = np.asarray(self.planes[plane]["rank"])
+        before = ranks if bit else np.minimum(np.arange(len(ranks)) * BLOCK, self.n) - ranks
+        block = int(np.searchsorted(before[:-1], k, side="right")) - 1
+        k -= int(before[block])
+        cells, data = self._block(plane, block)
+        inside = cells.astype(np.int64) if bit else np.arange(len(cells)) * CELL - cells.astype(np.int64)
+        cell = int(np.searchsorted(inside, k, side="right")) - 1
+        bits = np.unpackbits(np.frombuffer(data[cell * CELL // 8 : (cell + 1) * CELL // 8], np.uint8))
+        return block * BLOCK + cell * CELL + int(np.flatnonzero(bits == bit)[k - int(inside[cell])])
 
     def access(self, i: int) -> int:
         """The token at position i."""
@@ -115,7 +143,7 @@ class Shard:
             raise IndexError(i)
         out = 0
         for p in range(self.bits):
-            bit = int(self._bits(p, i // BLOCK)[i % BLOCK])
+            bit = self._bit(p, i)
             ones = self._rank1(p, i)
             i = self.planes[p]["zeros"] + ones if bit else i - ones
             out = out << 1 | bit
@@ -153,7 +181,7 @@ class Shard:
         kind = np.uint16 if self.bits <= 16 else np.uint32
         out = np.zeros(self.n, kind)
         for p in range(self.bits - 1, -1, -1):
-            raw = np.frombuffer(b"".join(map(self._get, self.planes[p]["blocks"])), np.uint8)
+            raw = np.frombuffer(b"".join(self._get(place)[self._counts(k) :] for k, place in enumerate(self.planes[p]["blocks"])), np.uint8)
             ones = np.unpackbits(raw, count=self.n).view(bool)
             up, zeros = np.empty_like(out), self.planes[p]["zeros"]
             up[~ones] = out[:zeros]
@@ -329,10 +357,10 @@ def read_shards(shards: DataFrame, folder: str) -> DataFrame:
         files, _ = _filesystem(folder)
         for batch in batches:
             for row in batch.to_pylist():
-                with files.open_input_stream(row["file"]) as f:
-                    shard = Shard(f.read())
-                ids, starts = shard.documents()
-                tokens = shard.tokens()
+                with files.open_input_file(row["file"]) as f:
+                    shard = Shard(f)
+                    ids, starts = shard.documents()
+                    tokens = shard.tokens()
                 for a in range(0, len(ids), 1000):
                     cuts = starts[a : a + 1001].tolist()
                     data = [tokens[i:j].astype("<u4").tobytes() for i, j in zip(cuts, cuts[1:], strict=False)]
@@ -345,8 +373,8 @@ def write_and_read(docs: DataFrame, path: str, folder: str, end_id: int = 2, sha
     """Write docs as token-id files into folder and read them back: doc_id, start, tokens.
 
     start counts the tokens of all documents before, in ascending doc_id order (null first, equal ids in any
-    order). Every document ends with end_id; a null or empty text is that id alone. Repeated rows are stored
-    as often as they stand. An empty table makes no file and gives an empty result. The list of files, one row
+    order). Every document ends with end_id; a null or empty text is that id alone; a very long one makes its file as
+    long as it needs. Columns other than doc_id and text are not read. Repeated rows are stored as often as they stand. An empty table makes no file and gives an empty result. The list of files, one row
     for each shard_tokens tokens or task, is written beside them; only it is ordered as a whole.
     """
     spark = docs.sparkSession

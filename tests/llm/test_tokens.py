@@ -111,3 +111,29 @@ def test_token_files_round_trip(spark, tmp_path):
         want = np.array([*coder.tokenizer.encode(text, add_special_tokens=False).ids, 2], "<u4").tobytes()
         assert [zlib.crc32(r["tokens"]) for r in got if r["doc_id"] == doc_id] == [zlib.crc32(want)]
     assert wavelet.write_and_read(df.limit(0), path, f"file://{tmp_path}/e").count() == 0
+
+
+@pytest.mark.parametrize("n", [0, 1, 511, 512, 513, 4096, 5000])
+def test_ranks_at_the_edges_of_cells_and_blocks(monkeypatch, n):
+    import io
+
+    monkeypatch.setattr(wavelet, "BLOCK", 1024)
+    ids = np.random.default_rng(n).integers(0, 9, n)
+    data = wavelet.build(ids, 4, [1], np.array([0, n]))
+
+    class Reads(io.BytesIO):
+        most = 0
+
+        def read(self, size=-1):
+            self.most = max(self.most, size)
+            return super().read(size)
+
+    file = Reads(data)
+    for shard in (wavelet.Shard(data), wavelet.Shard(file)):
+        for token in range(16):
+            at = np.flatnonzero(ids == token)
+            assert [shard.find(token, k) for k in range(len(at) + 1)][: len(at)] == at.tolist() and shard.find(token, len(at)) == -1
+            for a in (0, 1, 511, 512, 513, 1024, 1025, n):
+                assert shard.count(token, min(a, n)) == (at >= a).sum()
+        assert [shard.access(i) for i in range(n)] == ids.tolist()
+    assert n < 4096 or file.most < len(data) / 2  # read block by block
