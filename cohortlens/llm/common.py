@@ -27,10 +27,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder name below spark.checkpoint.dir, which driver and executors share.
 
-    Where the setting is absent (tests, single machines) a folder of the warehouse takes its place.
+    Where the setting is absent a folder of the warehouse takes its place, in local mode only: on a cluster the warehouse
+    may be a folder of one machine.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -40,7 +43,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage is cut and lost executors cost nothing."""
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._shared_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Remove the files of frames that materialise() has written and that nothing will read again."""
+    for df in frames:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+        path = jvm.org.apache.hadoop.fs.Path(df._shared_path)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def release() -> None:

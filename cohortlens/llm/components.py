@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import materialise
+from cohortlens.llm.common import discard, materialise
 
 
 def connected_components(edges: DataFrame, name: str = "components", most_rounds: int = 60) -> DataFrame:
@@ -24,12 +24,13 @@ def connected_components(edges: DataFrame, name: str = "components", most_rounds
         return pairs.select(F.col("a").alias("node"), F.col("b").alias("component"))
     for _ in range(most_rounds):
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), name)
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        nearest = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), name)
+        large = both.where("b > a").join(nearest, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = materialise(large.where("a <> b").distinct(), name)
         least = materialise(large.groupBy("a").agg(F.min("b").alias("m")), name)
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        pairs = materialise(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), name)
+        old, pairs = pairs, materialise(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), name)
+        discard(old, nearest, large, least)
         after = _sum(pairs)
         if after == before:
             break

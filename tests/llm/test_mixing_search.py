@@ -215,3 +215,32 @@ def test_pipeline(spark, sf, tmp_path):
         texts.setdefault(r["doc_id"], set()).add(hashlib.sha256(r["text"].encode()).hexdigest())
     for r in held[5].collect():
         assert r["decoded_sha256"] in texts[r["doc_id"]] and len(r["ids"]) == 4 * r["n_tokens"]
+
+
+ODD = [(1, None, "en", "src1", None, "x"), (None, "some words of a row without an id " * 3, None, None, 5, None), (2, "", "de", "src2", 0, "x"), (3, "a b c d e f g h", "en", "src1", 15, "x"), (3, "a b c d e f g h", "en", "src1", 15, "x"), (3, "another text of this id, " * 4, "en", "src1", 100, "x"), (4, "long word " * 30_000, "en", "src1", 300_000, "x"), (5, "tie one two", "en", "src1", 11, "x"), (6, "tie one two", "en", "src1", 11, "x")]
+
+
+def test_each_stage_takes_odd_rows(spark, tmp_path):
+    """Nulls, empty and long texts, repeated rows, clashing extra columns, and no rows at all, stage by stage."""
+    import corpus_pipeline as p
+
+    odd = spark.createDataFrame(ODD, "doc_id bigint, text string, lang string, source string, n_chars bigint, label string").withColumn("key", F.lit(1)).withColumn("marks", F.lit("m")).withColumn("score", F.lit(0.5)).withColumn("row", F.lit(1))
+    odd.limit(0).select("doc_id", F.lit(1).alias("quality")).write.parquet(str(tmp_path / "labels.parquet"))
+    rows = lambda df: sorted((str(r["doc_id"]), r["text"] or "") for r in df.collect())
+    everything = rows(odd)
+    for docs in (odd, odd.limit(0)):
+        for name, stage in p.STAGES[:-1]:
+            out = stage(spark, docs, str(tmp_path))
+            assert out.columns == docs.columns, name
+            got = rows(out)
+            if not docs.limit(1).count():
+                assert got == []
+            elif name == "quality":
+                assert got == everything  # a model without labels rejects nothing
+            elif name == "near_duplicates":
+                assert got == sorted(x for x in set(everything) if x[0] not in ("6", "2"))  # 1 and 2 are equal (empty), 5 and 6 too
+            elif name == "repeats":
+                assert len(got) == len(everything) and ("None", ODD[1][1]) in got
+            else:
+                assert {x[0] for x in got} <= {x[0] for x in everything} and sum(len(x[1].split()) for x in got) == sum(len(x[1].split()) for x in everything) * 60 // 100
+        assert p.STAGES[-1][1](spark, docs, str(tmp_path)).count() == docs.count()
