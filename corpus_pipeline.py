@@ -2,7 +2,8 @@
 
 Each stage takes all rows that the one before it kept. Documents that the quality classifier rejects go; of each
 group of near duplicates one document stays; passages that an earlier document has too are cut out; sources are
-mixed to their target weights; what is left is encoded. All but the last return the columns of documents.
+mixed to their target weights; what is left is encoded. All but the last return the columns of documents, extra ones
+included whatever their names; very long texts are taken whole, and an empty table gives an empty result at every stage.
 """
 
 from __future__ import annotations
@@ -15,12 +16,18 @@ from cohortlens.llm.common import materialise, read
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the additive model, fitted on the labelled ones among them, does not reject."""
+    """Documents that the additive model, fitted on the labelled ones among them, does not reject.
+
+    A null or empty text is scored as one without words; rows with a null or repeated doc_id are rows like any other.
+    """
     return gam.keep_good(docs, gam.fit_gam(docs, read(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each class of near duplicates."""
+    """One document, that of the smallest doc_id, of each class of near duplicates.
+
+    Rows with a null doc_id stay; of equal rows of one doc_id one stays; texts without a word are copies of an equal one.
+    """
     return lsh_forest.one_of_each(docs)
 
 
@@ -40,12 +47,15 @@ def _decoded(column: str):
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents taken to meet the target weights, once for each epoch that takes them."""
+    """Documents taken to meet the target weights, once for each epoch that takes them.
+
+    Tokens are words here, as the weights are about text; documents without a word have nothing to take.
+    """
     return mixing.taken(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids (little-endian unsigned 32-bit integers) and the digests of operator 5."""
+    """doc_id, ids (little-endian unsigned 32-bit integers) and the digests of operator 5, for each row; a null text is an empty one."""
     import public_tokenizers
 
     coded = byte_bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
