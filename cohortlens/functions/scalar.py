@@ -82,3 +82,25 @@ def wilson(k: Column, n: Column, z: float = 1.959963984540054) -> Column:
     half = z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))
     scale = 1 + z * z / n
     return F.struct(((mid - half) / scale).alias("low"), ((mid + half) / scale).alias("high"))
+
+
+def fixed(x: Column, places: int = 3) -> Column:
+    """A number as text with that many places."""
+    return F.format_string(f"%.{places}f", x.cast("double"))
+
+
+def scientific(x: Column, places: int = 2) -> Column:
+    """A number as text with one digit before the point and an exponent of two digits at least."""
+    return F.format_string(f"%.{places}e", x.cast("double"))
+
+
+def title_of(name: Column) -> Column:
+    """A feature's name for people: blanks for underscores, each word with a capital letter."""
+    return F.initcap(F.regexp_replace(name, "_+", " "))
+
+
+def json_equal(a: Column, b: Column, ignore: tuple[str, ...] = ()) -> Column:
+    """Whether two JSON objects have the same top-level keys with the same values as text, but for the ignored keys."""
+    of = lambda c: F.map_filter(F.from_json(c, "map<string,string>"), lambda k, _: ~k.isin(*ignore))
+    entries = lambda c: F.array_sort(F.map_entries(of(c)))
+    return entries(a).eqNullSafe(entries(b))

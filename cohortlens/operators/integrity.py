@@ -15,6 +15,16 @@ from cohortlens.functions.scalar import is_finite
 CHECKS = "name string, status string, detail string"
 #: Fixed value: marks the byte layout of a fingerprint, so that another layout never compares equal.
 FINGERPRINT_TAG = b"osf-common19-float64-v2"
+#: The names under which a run's content checks are reported.
+AUDIT_NAMES = {
+    "unique": "features:unique-participants",
+    "finite": "features:finite-values",
+    "baseline": "cohort:baseline-feature-consistency",
+    "q_range": "statistics:q-value-range",
+    "metric_range": "models:metric-range",
+    "coverage": "models:out-of-fold-coverage",
+    "failed": "processing:failed-subjects",
+}
 
 
 class GateError(RuntimeError):
@@ -110,22 +120,22 @@ def run_audit(spark: SparkSession, features: DataFrame, baseline: DataFrame, sta
     bad = sum((F.coalesce((~is_finite(F.col(c).cast("double"))).cast("long"), F.lit(1)) for c in numbers), F.lit(0))
     f = features.agg(F.count("*").alias("rows"), F.countDistinct("participant_id").alias("unique"), F.coalesce(F.sum(bad), F.lit(0)).alias("nonfinite"))
     out = checks_of(
-        f, check(F.col("rows") == F.col("unique"), "features:unique-participants", text("rows=", F.col("rows"), ", unique=", F.col("unique"))),
-        check(F.col("nonfinite") == 0, "features:finite-values", text("nonfinite=", F.col("nonfinite")), "warn"),
+        f, check(F.col("rows") == F.col("unique"), AUDIT_NAMES["unique"], text("rows=", F.col("rows"), ", unique=", F.col("unique"))),
+        check(F.col("nonfinite") == 0, AUDIT_NAMES["finite"], text("nonfinite=", F.col("nonfinite")), "warn"),
     )
     b = baseline.agg(F.sum("n").alias("n")).crossJoin(f)
-    out = out.unionByName(checks_of(b, check(F.col("n") == F.col("unique"), "cohort:baseline-feature-consistency", text("baseline=", F.col("n"), ", features=", F.col("unique")))))
+    out = out.unionByName(checks_of(b, check(F.col("n") == F.col("unique"), AUDIT_NAMES["baseline"], text("baseline=", F.col("n"), ", features=", F.col("unique")))))
     s = statistics.agg(F.count("*").alias("rows"), F.coalesce(F.sum((~F.coalesce(F.col("q_value").between(0, 1), F.lit(False))).cast("long")), F.lit(0)).alias("bad"), F.sum((F.col("q_value") < 0.05).cast("long")).alias("hits"))
-    out = out.unionByName(checks_of(s, check(F.col("bad") == 0, "statistics:q-value-range", text("rows=", F.col("rows"), ", below 0.05=", F.coalesce("hits", F.lit(0))))))
+    out = out.unionByName(checks_of(s, check(F.col("bad") == 0, AUDIT_NAMES["q_range"], text("rows=", F.col("rows"), ", below 0.05=", F.coalesce("hits", F.lit(0))))))
     ranged = [F.coalesce(F.sum((~F.col(c).between(0, 1)).cast("long")), F.lit(0)) for c in ("accuracy", "balanced_accuracy", "auc_ovr")]
     m = metrics.agg(F.count("*").alias("models"), sum(ranged[1:], ranged[0]).alias("bad"), F.max_by("model", "balanced_accuracy").alias("best"))
-    out = out.unionByName(checks_of(m, check(F.col("bad") == 0, "models:metric-range", text("models=", F.col("models"), ", best=", F.coalesce("best", F.lit("none"))))))
+    out = out.unionByName(checks_of(m, check(F.col("bad") == 0, AUDIT_NAMES["metric_range"], text("models=", F.col("models"), ", best=", F.coalesce("best", F.lit("none"))))))
     covered = predictions.groupBy("model").agg(F.count("*").alias("rows"), F.countDistinct("participant_id").alias("seen"))
     covered = metrics.select("model").distinct().join(covered, "model", "left").crossJoin(f.select("unique"))
     c = covered.agg(F.coalesce(F.sum((~F.coalesce((F.col("seen") == F.col("unique")) & (F.col("rows") == F.col("seen")), F.lit(False))).cast("long")), F.lit(0)).alias("bad"))
-    out = out.unionByName(checks_of(c, check(F.col("bad") == 0, "models:out-of-fold-coverage", text("models without full coverage=", F.col("bad")))))
+    out = out.unionByName(checks_of(c, check(F.col("bad") == 0, AUDIT_NAMES["coverage"], text("models without full coverage=", F.col("bad")))))
     n = failures.agg(F.count("*").alias("n")) if failures is not None else spark.range(1).select(F.lit(0).cast("long").alias("n"))
-    return out.unionByName(checks_of(n, check(F.col("n") == 0, "processing:failed-subjects", text("failed=", F.col("n")), "warn")))
+    return out.unionByName(checks_of(n, check(F.col("n") == 0, AUDIT_NAMES["failed"], text("failed=", F.col("n")), "warn")))
 
 
 def manifest(files: DataFrame, root: str, ignore: tuple[str, ...] = ()) -> DataFrame:
@@ -158,9 +168,24 @@ def content_digest(files: DataFrame) -> DataFrame:
 
 
 def repeated_clusters(a: DataFrame, b: DataFrame, member: str, digest: str) -> DataFrame:
-    """members (sorted) of duplicate clusters of a that b has with just the same members."""
-    of = lambda t: t.groupBy(digest).agg(F.array_sort(F.collect_set(member)).alias("members")).where(F.size("members") > 1).select("members").distinct()
-    return of(a).join(of(b), "members", "left_semi")
+    """digest, cluster_size, representative of duplicate clusters of a that b has with just the same members.
+
+    Clusters are compared by their sizes and by sums over their members' hashes, so none is gathered in a row.
+    """
+
+    def of(t: DataFrame) -> DataFrame:
+        one = t.where(F.col(digest).isNotNull()).select(digest, F.col(member).cast("string").alias("_m")).distinct()
+        sums = [F.sum(F.xxhash64("_m", F.lit(k)).cast("decimal(38,0)")).alias(f"_s{k}") for k in (1, 2)]
+        return one.groupBy(digest).agg(F.count("*").alias("cluster_size"), F.min("_m").alias("representative"), *sums).where("cluster_size > 1")
+
+    return of(a).join(of(b).drop(digest), ["cluster_size", "representative", "_s1", "_s2"], "left_semi").select(digest, "cluster_size", "representative")
+
+
+def no_conflicts(df: DataFrame, digest: str, label: str) -> None:
+    """Raise GateError if content stands under more than one label."""
+    found = conflicting_clusters(df, digest, label).limit(20).collect()
+    if found:
+        raise GateError("; ".join(f"{r[digest]}: {', '.join(map(str, r['labels']))}" for r in found))
 
 
 def fact_gate(spark: SparkSession, found: dict[str, int], wanted: dict[str, int]) -> DataFrame:

@@ -69,8 +69,12 @@ def paired_delta(left: DataFrame, right: DataFrame, keys: list[str], metrics: li
     return a.join(b, keys).withColumns({f"{m}_delta": F.col(f"{m}_{suffixes[1]}") - F.col(f"{m}_{suffixes[0]}") for m in metrics})
 
 
-def only_listed(df: DataFrame, listed: DataFrame, key: str) -> DataFrame:
-    return df.join(listed.select(key), key, "left_semi")
+def only_listed(df: DataFrame, listed: DataFrame, key: str, expect: int | None = None) -> DataFrame:
+    """Rows of df whose key is listed; an error if expect is given and they are not as many."""
+    out = df.join(listed.select(key), key, "left_semi")
+    if expect is not None and (n := out.count()) != expect:
+        raise ValueError(f"{n} listed rows instead of {expect}")
+    return out
 
 
 def not_listed(df: DataFrame, listed: DataFrame, key: str) -> DataFrame:
@@ -89,10 +93,13 @@ def reconcile(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return both.withColumn("status", status)
 
 
-def paired_ids(left: DataFrame, right: DataFrame, key: str, label: str) -> DataFrame:
-    """Keys in both tables with the label of either side and whether they agree."""
+def paired_ids(left: DataFrame, right: DataFrame, key: str, label: str, strict: bool = False) -> DataFrame:
+    """Keys in both tables with the label of either side and whether they agree; strict: an error where they do not."""
     a, b = left.select(key, F.col(label).alias("label_left")), right.select(key, F.col(label).alias("label_right"))
-    return a.join(b, key).withColumn("agrees", F.col("label_left").eqNullSafe(F.col("label_right")))
+    out = a.join(b, key).withColumn("agrees", F.col("label_left").eqNullSafe(F.col("label_right")))
+    if strict and (bad := out.where(~F.col("agrees")).limit(20).collect()):
+        raise ValueError(f"labels disagree for {[r[key] for r in bad]}")
+    return out
 
 
 def bands_table(spark: SparkSession, bands: dict[str, tuple[float, float]] = BANDS) -> DataFrame:
@@ -154,3 +161,57 @@ def padded_limits(df: DataFrame, by: list[str], value: str) -> DataFrame:
     lim = df.groupBy(*by).agg(F.min(x).alias("low"), F.max(x).alias("high"))
     pad = F.when(F.col("low") == F.col("high"), F.greatest(F.abs("low") * 1e-3, F.lit(1e-6))).otherwise(0.0)
     return lim.select(*by, F.coalesce(F.col("low") - pad, F.lit(0.0)).alias("low"), F.coalesce(F.col("high") + pad, F.lit(1.0)).alias("high"))
+
+
+def common_columns(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both frames reduced to the columns that both have, in the left one's order; an error if there are none."""
+    names = [c for c in left.columns if c in set(right.columns)]
+    if not names:
+        raise ValueError("no common columns")
+    return left.select(*names), right.select(*names)
+
+
+def ordered_distinct(df: DataFrame, key: str, order: str) -> DataFrame:
+    """key and the least order it stands at (first): sorted by it, the distinct keys in the order they appear."""
+    return df.groupBy(key).agg(F.min(order).alias("first"))
+
+
+def project(df: DataFrame, names: list[str]) -> DataFrame:
+    """The named columns in that order; an error that names those that are missing."""
+    missing = [n for n in names if n not in df.columns]
+    if missing:
+        raise ValueError(f"missing columns: {missing}")
+    return df.select(*names)
+
+
+def complete_rows(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows without a null, NaN or infinite value in the columns."""
+    kinds = dict(df.dtypes)
+    keep = [is_finite(F.col(c).cast("double")) if kinds[c] in ("double", "float") else F.col(c).isNotNull() for c in columns]
+    return df.where(F.coalesce(F.forall(F.array(*keep), lambda k: k), F.lit(False))) if keep else df
+
+
+def split_by_count(df: DataFrame, column: str, least: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with at least that count, and the others; a null count is among the others."""
+    enough = F.coalesce(F.col(column) >= least, F.lit(False))
+    return df.where(enough), df.where(~enough)
+
+
+def place_in(column: Column, listed: list) -> Column:
+    """The place of a value in a list, to sort by; values that are not listed come after all others."""
+    at = F.array_position(F.array(*map(F.lit, listed)), column)
+    return F.when(at > 0, at).otherwise(len(listed) + 1).cast("int")
+
+
+def pick(df: DataFrame, column: str, include: list[str] | None = None, exclude: tuple[str, ...] = ()) -> DataFrame:
+    """Rows whose value is in include (any, if that is None) and not in exclude; a null value is in neither."""
+    keep = F.col(column).isNotNull() if include is None else F.col(column).isin(*include)
+    return df.where(keep & ~F.col(column).isin(*exclude))
+
+
+def allowed_labels(df: DataFrame, label: str, allowed: list[str]) -> DataFrame:
+    """df; an error that names labels which are not allowed (at most 20)."""
+    other = [r[label] for r in df.select(label).distinct().where(F.col(label).isNull() | ~F.col(label).isin(*allowed)).limit(20).collect()]
+    if other:
+        raise ValueError(f"labels that are not allowed: {other}")
+    return df

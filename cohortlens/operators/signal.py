@@ -101,28 +101,36 @@ def symmetric_hann(n: int) -> np.ndarray:
 
 
 def welch(x: np.ndarray, rate: float, segment: int, window: str = "hann") -> tuple[np.ndarray, np.ndarray]:
-    """Frequencies and power density: whole segments without overlap, each less its mean, windowed, averaged."""
-    n = max(2, min(segment, len(x)))
-    parts = x[: len(x) // n * n].reshape(-1, n)
+    """Frequencies and power density of a signal, or of each row of a matrix: whole segments without overlap, each less its
+    mean, windowed, averaged."""
+    n = max(2, min(segment, x.shape[-1]))
+    parts = x[..., : x.shape[-1] // n * n].reshape(*x.shape[:-1], -1, n)
     w = periodic_hann(n) if window == "hann" else 0.54 - 0.46 * np.cos(2 * np.pi * np.arange(n) / n)
-    power = np.abs(np.fft.rfft((parts - parts.mean(1, keepdims=True)) * w, axis=1)) ** 2 / (rate * (w**2).sum())
-    power[:, 1 : None if n % 2 else -1] *= 2
-    return np.fft.rfftfreq(n, 1 / rate), power.mean(0)
+    power = np.abs(np.fft.rfft((parts - parts.mean(-1, keepdims=True)) * w, axis=-1)) ** 2 / (rate * (w**2).sum())
+    power[..., 1 : None if n % 2 else -1] *= 2
+    return np.fft.rfftfreq(n, 1 / rate), power.mean(-2)
 
 
 def welch_psd(df: DataFrame, rate: float, segment: int = 256, window: str = "hann", samples: str = "samples") -> DataFrame:
-    """Adds psd (array of power) and frequencies; null where there are no samples or one is null."""
+    """Adds psd (array of power) and frequencies; null where there are fewer than two samples or one is null."""
 
     @F.pandas_udf("frequencies array<double>, psd array<double>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for column in batches:
-            rows = []
-            for x in column:
-                bad = x is None or len(x) < 2 or any(v is None for v in x)
-                rows.append((None, None) if bad else tuple(a.tolist() for a in welch(np.asarray(x, float), rate, segment, window)))
-            yield pd.DataFrame(rows, columns=["frequencies", "psd"])
-
-    return df.withColumn("_w", run(F.col(samples))).select(*df.columns, "_w.frequencies", "_w.psd")
+            lengths = column.map(len).to_numpy()
+            frequencies, psd = np.empty(len(column), object), np.empty(len(column), object)
+            for n in np.unique(lengths[lengths >= 2]):
+                rows = np.flatnonzero(lengths == n)
+                step = max(1, 4_000_000 // int(n))
+                for k in range(0, len(rows), step):
+                    some = rows[k : k + step]
+                    f, power = welch(np.stack(column.iloc[some].tolist()).astype(float), rate, segment, window)
+                    for i, p in zip(some, power, strict=True):
+                        frequencies[i], psd[i] = f, p
+            yield pd.DataFrame({"frequencies": frequencies, "psd": psd})
+
+    whole = F.when(F.col(samples).isNotNull() & ~F.exists(samples, lambda x: x.isNull()), F.col(samples)).otherwise(F.array().cast("array<double>"))
+    return df.withColumn("_w", run(whole)).select(*df.columns, "_w.frequencies", "_w.psd")
 
 
 def resolution_segment(rate: float, resolution: float = 0.5) -> int:

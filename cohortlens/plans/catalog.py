@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.functions import scalar, special
+from cohortlens.functions import scalar
 from cohortlens.operators import connectivity, integrity, metrics, ml, relational, signal, stats, textqa
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,8 +127,8 @@ q as (select *, p * count(*) over () / row_number() over (order by p) as raw fro
 select feature, groups, n, {r('statistic')} as statistic, {r('p')} as p_value, {r('least(1.0, min(raw) over (order by p desc, raw rows unbounded preceding))')} as q_value from q"""
 )
 def kruskal_fdr_by_hour(spark, sf):
-    """Kruskal-Wallis of event values over the five types for each hour, closed-form p, and FDR."""
-    out = stats.kruskal_wallis(events_by_hour(spark, sf), tail=lambda x, df: special.chi2_sf_even(x, 4), fdr=False).where("groups = 5")
+    """Kruskal-Wallis of event values over the five types for each hour, p by the general tail (the SQL has its closed form), and FDR."""
+    out = stats.kruskal_wallis(events_by_hour(spark, sf), fdr=False).where("groups = 5")
     return rounded(stats.benjamini_hochberg(out))
 
 
@@ -138,7 +138,7 @@ select feature, groups, n, {r('statistic')} as statistic, {r('exp(-statistic / 2
 )
 def kruskal_three_groups(spark, sf):
     long = line_long(spark, sf, "l_returnflag")
-    return rounded(stats.kruskal_wallis(long, "l_returnflag", tail=lambda x, df: special.chi2_sf_even(x, 2), fdr=False))
+    return rounded(stats.kruskal_wallis(long, "l_returnflag", fdr=False))
 
 
 @query(
@@ -305,9 +305,9 @@ def semi_listed(spark, sf):
     return relational.only_listed(table(spark, sf, "customer", "c_custkey", "c_name"), o.select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
-@query("select c_custkey, c_name from customer where c_custkey not in (select o_custkey from orders)")
+@query("select c_custkey, c_name from customer where c_custkey not in (select o_custkey from orders where o_totalprice > 150000)")
 def anti_listed(spark, sf):
-    o = table(spark, sf, "orders", "o_custkey")
+    o = table(spark, sf, "orders", "o_custkey", "o_totalprice").where("o_totalprice > 150000")
     return relational.not_listed(table(spark, sf, "customer", "c_custkey", "c_name"), o.select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
@@ -418,6 +418,70 @@ def nuisance_encoding(spark, sf):
     return rounded(out)
 
 
+@query(f"select n, {r('total')} as total, side from (select 'customer' as side, count(*) as n, sum(c_acctbal * (c_nationkey + 1)) as total from customer union all select 'supplier', count(*), sum(s_acctbal * (s_nationkey + 1)) from supplier)".replace("round(total, 6)", "round(total, 2)"))
+def common_columns(spark, sf):
+    """Two tables reduced to the columns that both have: name, nationkey and acctbal."""
+    c, s = (df.toDF(*(x.split("_", 1)[1] for x in df.columns)) for df in (table(spark, sf, "customer"), table(spark, sf, "supplier")))
+    a, b = relational.common_columns(c, s)
+    both = a.withColumn("side", F.lit("customer")).unionByName(b.withColumn("side", F.lit("supplier")))
+    return rounded(both.groupBy("side").agg(F.count("*").alias("n"), F.sum(F.col("acctbal") * (F.col("nationkey") + 1)).alias("total")), 2)
+
+
+@query("select user_id, min(event_id) as first from events group by 1")
+def ordered_distinct(spark, sf):
+    return relational.ordered_distinct(table(spark, sf, "events", "user_id", "event_id"), "user_id", "event_id")
+
+
+@query("select user_id, n, n >= 20 as kept from (select user_id, count(*) as n from events group by 1)")
+def epoch_count_split(spark, sf):
+    kept, low = relational.split_by_count(table(spark, sf, "events", "user_id").groupBy("user_id").agg(F.count("*").alias("n")), "n", 20)
+    return kept.withColumn("kept", F.lit(True)).unionByName(low.withColumn("kept", F.lit(False)))
+
+
+@query("select p_retailprice, p_partkey, p_size from part")
+def fixed_order_projection(spark, sf):
+    return relational.project(table(spark, sf, "part"), ["p_retailprice", "p_partkey", "p_size"])
+
+
+@query("select c_custkey, case when c_nationkey % 4 > 0 then c_nationkey end as code, case when c_acctbal > 0 then c_acctbal end as balance from customer where c_nationkey % 4 > 0 and c_acctbal > 0")
+def complete_rows(spark, sf):
+    c = table(spark, sf, "customer", "c_custkey", "c_nationkey", "c_acctbal")
+    balance = F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).when(F.col("c_custkey") % 2 == 0, F.lit(float("nan")))
+    return relational.complete_rows(c.select("c_custkey", F.when(F.col("c_nationkey") % 4 > 0, F.col("c_nationkey")).alias("code"), balance.alias("balance")), ["code", "balance"])
+
+
+@query("select c_custkey, c_mktsegment, (case c_mktsegment when 'MACHINERY' then 1 when 'BUILDING' then 2 else 3 end)::int as place from customer order by place, c_custkey limit 40")
+def custom_order(spark, sf):
+    c = table(spark, sf, "customer", "c_custkey", "c_mktsegment")
+    return c.withColumn("place", relational.place_in(F.col("c_mktsegment"), ["MACHINERY", "BUILDING"])).orderBy("place", "c_custkey").limit(40)
+
+
+@query(f"select participant, channel, {r('list_sum(samples)')} as total from ({CHANNELS_SQL}) where channel in ('ch0', 'ch2', 'ch3') and channel <> 'ch3'")
+def channel_lists(spark, sf):
+    picked = relational.pick(channels(spark, sf), "channel", ["ch0", "ch2", "ch3"], ("ch3",))
+    return rounded(picked.select("participant", "channel", F.aggregate("samples", F.lit(0.0), lambda a, x: a + x).alias("total")))
+
+
+@query("select p_partkey, printf('%.3f', p_size / 8.0) as three, printf('%.2e', p_size * 1000.0) as short, 'Band Global Size' as title from part")
+def fixed_formats(spark, sf):
+    p = table(spark, sf, "part", "p_partkey", "p_size")
+    return p.select("p_partkey", scalar.fixed(F.col("p_size") / 8.0).alias("three"), scalar.scientific(F.col("p_size") * 1000.0).alias("short"), scalar.title_of(F.lit("band_global__size")).alias("title"))
+
+
+@query("select event_id, props->>'k' = (user_id % 100)::varchar as same from events")
+def json_differences(spark, sf):
+    """JSON objects compared without one of their keys."""
+    e = table(spark, sf, "events", "event_id", "user_id", "props")
+    other = F.concat(F.lit('{"when": 1, "k": '), (F.col("user_id") % 100).cast("string"), F.lit("}"))
+    return e.select("event_id", scalar.json_equal(F.col("props"), other, ("when",)).alias("same"))
+
+
+@query(f"with t as (select quality, avg(score) as mean, avg(n_chars) as length from ({SCORED_SQL}) group by 1) select quality::varchar as quality, metric, {r('value')} as value, row_number() over (partition by metric order by value desc, quality::varchar)::int as place from t unpivot (value for metric in (mean, length))")
+def metric_bars(spark, sf):
+    t = scored(spark, sf).groupBy(F.col("quality").cast("string").alias("quality")).agg(F.avg("score").alias("mean"), F.avg("n_chars").alias("length"))
+    return rounded(metrics.metric_bars(t, "quality", ["mean", "length"]))
+
+
 # --- classification metrics -----------------------------------------------------------------------------------
 
 
@@ -584,6 +648,38 @@ def filtered_signals(spark, sf):
     return rounded(df.select("vec_id", F.aggregate("samples", F.lit(0.0), lambda a, x: a + x * x).alias("energy")))
 
 
+@query(f"select vec_id, len(samples[1:32]) as n, {r('list_sum(samples[1:32])')} as total from ({CHANNELS_SQL})")
+def crop_signal(spark, sf):
+    """The first half second of each recording."""
+    c = channels(spark, sf).withColumn("samples", signal.crop(F.col("samples"), RATE, 0.5 / 60))
+    return rounded(c.select("vec_id", F.size("samples").cast("bigint").alias("n"), F.aggregate("samples", F.lit(0.0), lambda a, x: a + x).alias("total")))
+
+
+@query(
+    f"""with points as (select vec_id, p, i, samples[p * 32 + i + 1] - list_avg(samples[p * 32 + 1:p * 32 + 32]) as x from ({CHANNELS_SQL}), range(0, 2) a(p), range(0, 32) b(i)),
+parts as (select vec_id, p, k, power(sum(x * (0.54 - 0.46 * cos(2 * pi() * i / 32)) * cos(2 * pi() * ((k * i) % 32) / 32)), 2) + power(sum(x * (0.54 - 0.46 * cos(2 * pi() * i / 32)) * sin(2 * pi() * ((k * i) % 32) / 32)), 2) as power from points, range(0, 17) f(k) group by all),
+w as (select sum(power(0.54 - 0.46 * cos(2 * pi() * i / 32), 2)) as s from range(0, 32) b(i))
+select vec_id, k * 2.0::double as frequency, {r("avg(power) / (64 * any_value(s)) * case when k in (0, 16) then 1 else 2 end")} as power from parts, w group by vec_id, k"""
+)
+def welch_hamming(spark, sf):
+    """Two segments of 32 samples, Hamming window."""
+    spectra = signal.welch_psd(channels(spark, sf), RATE, 32, "hamming")
+    points = spectra.select("vec_id", F.explode(F.arrays_zip(F.col("frequencies").alias("frequency"), F.col("psd").alias("power"))).alias("p"))
+    return rounded(points.select("vec_id", "p.frequency", "p.power"))
+
+
+@query(f"with {WELCH_SQL}, f as (select label % 2 as label, band, channel, avg(case when power > 0 then log10(power) end) as value from (select any_value(psd.label) as label, psd.participant, psd.channel, band, avg(power) as power from psd join {BANDS_SQL} on frequency >= low and frequency < high group by psd.participant, psd.channel, band) group by all) select label, band, channel, {r('value')} as value, {r('min(value) over (partition by band)')} as low, {r('max(value) over (partition by band)')} as high from f")
+def topography(spark, sf):
+    """Data of scalp maps: mean band power by label, and limits that a band's maps share."""
+    from cohortlens.plans import study
+
+    spectra = signal.welch_psd(channels(spark, sf), RATE, 64)
+    features = signal.discovery_features(signal.band_powers(spectra, ["participant", "channel"], BANDS, "mean"), ["participant"], REGIONS)
+    labels = table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 4).alias("participant"), F.concat(F.lit("ch"), (F.col("vec_id") % 4).cast("string")).alias("channel"), (F.col("label") % 2).alias("label"))
+    by_channel = features.withColumn("channel", F.element_at(F.split("feature", "__"), -1)).join(labels, ["participant", "channel"]).drop("channel")
+    return rounded(study.topography(by_channel))
+
+
 # --- connectivity ---------------------------------------------------------------------------------------------
 
 #: Four epochs of 16 samples; each less its mean, symmetric Hann window; bins 1 to 3 and 4 to 7 are two bands.
@@ -613,6 +709,14 @@ def connectivity_features(spark, sf):
     return rounded(connectivity.connectivity_features(edges(spark, sf), ["participant"]))
 
 
+@query(f"with {SPECTRA_SQL}, m as (select participant % 2 as label, band, source, target, avg(wpli) as wpli from edges group by all) select label, band, source, target, {r('wpli')} as value from (select *, row_number() over (partition by label, band order by round(wpli, 9) desc, source, target) as k from m) where k <= 3")
+def display_edges(spark, sf):
+    """The three edges of each group and band with the largest mean."""
+    from cohortlens.plans import study
+
+    return rounded(study.display_edges(edges(spark, sf).withColumn("label", F.col("participant") % 2), "label", 3))
+
+
 _TOP = "top as (select * from (select participant, source, target, round(wpli, 9) as value, row_number() over (partition by participant order by round(wpli, 9) desc, source, target) as rn, count(*) over (partition by participant) as n from edges where band = 'low') where rn <= greatest(1, ceil(n * 0.6 - 1e-12)) and value > 0)"
 
 
@@ -722,7 +826,17 @@ def signal_fingerprints(spark, sf):
     return integrity.signal_fingerprints(channels(spark, sf), ["participant"], ("ch0", "ch1", "ch2", "ch3"), 64)
 
 
-@query()
+@query(
+    f"""with s as ({SCORED_SQL}), n as (select count(*) as rows, count(distinct doc_id) as ids, count(*) filter (score is null or not isfinite(score)) as bad from s),
+b as (select count(*) as n from s)
+select 'features:unique-participants' as name, case when rows = ids then 'pass' else 'fail' end as status, 'rows=' || rows || ', unique=' || ids as detail from n
+union all select 'features:finite-values', case when bad = 0 then 'pass' else 'warn' end, 'nonfinite=' || bad from n
+union all select 'cohort:baseline-feature-consistency', case when b.n = ids then 'pass' else 'fail' end, 'baseline=' || b.n || ', features=' || ids from b, n
+union all select 'statistics:q-value-range', 'pass', 'rows=2, below 0.05=1'
+union all select 'models:metric-range', 'pass', 'models=1, best=rule'
+union all select 'models:out-of-fold-coverage', case when rows = ids then 'pass' else 'fail' end, 'models without full coverage=' || case when rows = ids then 0 else 1 end from n
+union all select 'processing:failed-subjects', 'pass', 'failed=0'"""
+)
 def run_audit(spark, sf):
     """The audit of a small run made of the driver's tables."""
     d = scored(spark, sf)
@@ -734,6 +848,34 @@ def run_audit(spark, sf):
     return integrity.run_audit(spark, features, baseline, statistics, m, pred)
 
 
+@query("with a as (select source, list_sort(list(doc_id)) as m, min(doc_id::varchar) as representative, count(*) as cluster_size from documents group by 1), b as (select source, list_sort(list(doc_id)) as m from documents where lang <> 'fr' or source < 'src3' group by 1) select source, cluster_size, representative from a where cluster_size > 1 and m in (select m from b)")
+def repeated_clusters(spark, sf):
+    """Clusters that stay the same when some rows go."""
+    d = table(spark, sf, "documents", "doc_id", "source", "lang")
+    return integrity.repeated_clusters(d, d.where("lang <> 'fr' or source < 'src3'"), "doc_id", "source")
+
+
+@query("select 'fact:nations' as name, case when count(*) = 25 then 'pass' else 'fail' end as status, 'found=' || count(*) || ', expected=25' as detail from nation union all select 'fact:regions', case when count(*) = 6 then 'pass' else 'fail' end, 'found=' || count(*) || ', expected=6' from region")
+def fact_gate(spark, sf):
+    found = {"nations": table(spark, sf, "nation").count(), "regions": table(spark, sf, "region").count()}
+    return integrity.fact_gate(spark, found, {"nations": 25, "regions": 6})
+
+
+@query("""with m as (select case when c_custkey % 2 = 0 then 'AD' else 'Healthy' end as g, case when c_custkey % 3 = 0 then 'Eyes_open' else 'Eyes_closed' end as c, 'Paciente' || (c_custkey // 6) as s, case c_nationkey % 3 when 0 then 'Fp1' when 1 then 'Cz' else 'X9' end as ch from customer),
+k as (select g, s, list_sort(list_distinct(list(ch))) as channels from m where (g, s) in (select (g, s) from m where c = 'Eyes_closed') group by all)
+select g as "group", s as subject, array_to_string(channels, ',') as channels, array_to_string(list_filter(['Cz', 'Fp1'], lambda x: not list_contains(channels, x)), ',') as missing, array_to_string(list_filter(channels, lambda x: x = 'X9'), ',') as extra from k""")
+def archive_index(spark, sf):
+    """Channels of the subjects of an archive's listing, pooled over conditions."""
+    from cohortlens.sources import archive
+
+    c = table(spark, sf, "customer", "c_custkey", "c_nationkey")
+    group, condition = F.when(F.col("c_custkey") % 2 == 0, "AD").otherwise("Healthy"), F.when(F.col("c_custkey") % 3 == 0, "Eyes_open").otherwise("Eyes_closed")
+    channel = F.when(F.col("c_nationkey") % 3 == 0, "Fp1").when(F.col("c_nationkey") % 3 == 1, "Cz").otherwise("X9")
+    name = F.concat_ws("/", F.lit("EEG_data"), group, condition, F.concat(F.lit("Paciente"), F.floor(F.col("c_custkey") / 6).cast("string")), F.concat(channel, F.lit(".txt")))
+    out = archive.index_members(c.select(name.alias("name")), "Eyes_closed", ("Cz", "Fp1"))
+    return out.withColumns({n: F.array_join(n, ",") for n in ("channels", "missing", "extra")})
+
+
 # --- text rules -----------------------------------------------------------------------------------------------
 
 
@@ -861,7 +1003,11 @@ def streaming_epochs(spark, sf):
 
     from cohortlens.streaming.windows import run_available
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_streams"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_streams"
     folder = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
     schema = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
     return rounded(run_available(spark, sf, "events.parquet", schema, f"{folder}/out", f"{folder}/state"), 9)

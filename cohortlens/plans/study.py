@@ -16,9 +16,7 @@ cannot be used becomes a row with its error; the others go on.
 
 from __future__ import annotations
 
-import shutil
 from datetime import datetime, timezone
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -154,8 +152,19 @@ def run_study(spark: SparkSession, contract: dict, subjects_limit: int | None =
     check_contract(contract)
     out = output_dir or artifacts.project_path(contract, contract["paths"]["output_dir"])
     staging = f"{out}.staging"
-    shutil.rmtree(staging, ignore_errors=True)
-    Path(staging).mkdir(parents=True)
+    folder = artifacts.Folder(spark, staging)
+    folder.remove()
+    folder.make()
+    try:
+        _fill(spark, contract, subjects_limit, staging)
+        artifacts.publish(spark, staging, out)
+    finally:
+        folder.remove()  # what a gate has refused does not stay behind
+    return out
+
+
+def _fill(spark: SparkSession, contract: dict, subjects_limit: int | None, staging: str) -> None:
+    """All artifacts of a run in its staging folder; the audit's failures raise."""
     people = participants.read_participants(spark, artifacts.project_path(contract, contract["paths"]["participants"]), **contract.get("participants", {}))
     people = people.dropDuplicates(KEYS)
     if subjects_limit:
@@ -190,15 +199,14 @@ def run_study(spark: SparkSession, contract: dict, subjects_limit: int | None =
     scores = metrics.accuracy(pred, ["model"]).join(metrics.auc_ovr(probs, ["model"], "true_label", {c: f"prob_{i}" for i, c in enumerate(classes)}), "model", "left")
     artifacts.write_csv(scores, f"{staging}/model_metrics", single=True)
     artifacts.write_csv(pred.drop("probs"), f"{staging}/model_predictions", single=True)
-    Path(staging, "plan.md").write_text(plan_text(contract), encoding="utf-8")
-    Path(staging, "auto_report.md").write_text(report_text(contract, tests.orderBy("q_value", "feature"), scores), encoding="utf-8")
+    folder = artifacts.Folder(spark, staging)
+    folder.write_text("plan.md", plan_text(contract))
+    folder.write_text("auto_report.md", report_text(contract, tests.orderBy("q_value", "feature"), scores))
     checks = audit_folder(spark, staging)
     integrity.require(checks)
     write_audit(spark, staging, checks, contract)
     for frame in (people, epochs, long, pred):
         frame.unpersist()
-    artifacts.publish(staging, out)
-    return out
 
 
 def report_text(contract: dict, tests: DataFrame, scores: DataFrame) -> str:
@@ -208,7 +216,8 @@ def report_text(contract: dict, tests: DataFrame, scores: DataFrame) -> str:
 
 def audit_folder(spark: SparkSession, folder: str) -> DataFrame:
     """Artifact and content checks of a run's folder; missing tables are failures, optional ones warnings."""
-    there = {n: Path(folder, n).exists() for n in (*REQUIRED, *OPTIONAL)}
+    held = artifacts.Folder(spark, folder)
+    there = {n: held.exists(n) for n in (*REQUIRED, *OPTIONAL)}
     rows = [(f"artifact:{n}", "pass" if there[n] else "fail", n) for n in REQUIRED] + [(f"extension:{n}", "pass" if there[n] else "warn", n) for n in OPTIONAL]
     out = spark.createDataFrame(rows, integrity.CHECKS)
     if all(there[n] for n in REQUIRED):
@@ -223,12 +232,13 @@ def write_audit(spark: SparkSession, folder: str, checks: DataFrame, contract: d
     """audit.json, audit.md, provenance.json and the manifest of all other files."""
     held = [r.asDict() for r in checks.collect()]
     status = integrity.roll_up(checks).first().asDict()
-    artifacts.write_json({"summary": status, "checks": held}, f"{folder}/audit.json")
-    Path(folder, "audit.md").write_text(f"# Audit: {status['status']}\n\n{artifacts.markdown_table(checks, 200)}\n", encoding="utf-8")
+    out = artifacts.Folder(spark, folder)
+    out.write_text("audit.json", artifacts.json_text({"summary": status, "checks": held}))
+    out.write_text("audit.md", f"# Audit: {status['status']}\n\n{artifacts.markdown_table(checks, 200)}\n")
     record = {"created": datetime.now(timezone.utc).isoformat(timespec="seconds"), "software": artifacts.software(), "contract": {k: v for k, v in contract.items() if not k.startswith("_")}}
-    artifacts.write_json(record, f"{folder}/provenance.json")
+    out.write_text("provenance.json", artifacts.json_text(record))
     files = artifacts.scan_manifest(spark, folder, ("artifact_manifest.json", "_SUCCESS"))
-    artifacts.write_json([r.asDict() for r in files.orderBy("path").collect()], f"{folder}/artifact_manifest.json")
+    out.write_text("artifact_manifest.json", artifacts.json_text([r.asDict() for r in files.orderBy("path").collect()]))
 
 
 def verify_manifest(spark: SparkSession, folder: str) -> DataFrame:

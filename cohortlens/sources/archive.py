@@ -6,7 +6,6 @@ checked before anything is read, and a file that does not parse is a row with an
 
 from __future__ import annotations
 
-import io
 import re
 import zipfile
 
@@ -49,7 +48,7 @@ class _Reader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         groups: dict[tuple, list] = {}
-        with zipfile.ZipFile(io.BytesIO(_read(self.path))) as z:
+        with _opened(self.path) as f, zipfile.ZipFile(f) as z:
             for name in sorted(n for n in z.namelist() if safe_member(n)):
                 m = re.match(MEMBER, name)
                 if m and m[4] in self.channels and self.condition in (None, m[2]):
@@ -57,7 +56,7 @@ class _Reader(DataSourceReader):
         return [_Recording(members) for members in groups.values()]
 
     def read(self, partition):
-        with zipfile.ZipFile(io.BytesIO(_read(self.path))) as z:
+        with _opened(self.path) as f, zipfile.ZipFile(f) as z:
             for group, condition, subject, channel, name in partition.members:
                 try:
                     yield group, condition, subject, channel, parse_samples(z.read(name), self.expected), None
@@ -65,12 +64,12 @@ class _Reader(DataSourceReader):
                     yield group, condition, subject, channel, None, str(e)
 
 
-def _read(path: str) -> bytes:
+def _opened(path: str):
+    """The archive as a file that can seek: its directory and the members that are asked for are all that is read."""
     from pyarrow import fs
 
     files, name = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
-    with files.open_input_stream(name) as f:
-        return f.read()
+    return files.open_input_file(name)
 
 
 class ArchiveSource(DataSource):
@@ -98,7 +97,7 @@ def read_archive(spark: SparkSession, path: str, condition: str | None = None, c
 
 def list_members(spark: SparkSession, path: str) -> DataFrame:
     """name of every safe member of an archive that is no folder, sorted; only the archive's directory is read."""
-    with zipfile.ZipFile(io.BytesIO(_read(path))) as z:
+    with _opened(path) as f, zipfile.ZipFile(f) as z:
         names = sorted(n for n in z.namelist() if safe_member(n))
     return spark.createDataFrame([(n,) for n in names], "name string")
 

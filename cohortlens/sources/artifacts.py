@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import os
 import platform
-import shutil
+import sys
 from importlib import metadata
 from pathlib import Path
 
@@ -52,9 +52,14 @@ def write_marked_csv(df: DataFrame, path: str, rows: int = 100_000) -> None:
     held.to_csv(path, index=False, encoding="utf-8-sig")
 
 
-def write_json(value, path: str, allow_nan: bool = False) -> None:
+def json_text(value, allow_nan: bool = False) -> str:
     """JSON of a small summary; NaN is an error unless allowed."""
-    Path(path).write_text(json.dumps(value, indent=2, ensure_ascii=False, allow_nan=allow_nan) + "\n", encoding="utf-8")
+    return json.dumps(value, indent=2, ensure_ascii=False, allow_nan=allow_nan) + "\n"
+
+
+def write_json(value, path: str, allow_nan: bool = False) -> None:
+    """json_text as a file of this machine."""
+    Path(path).write_text(json_text(value, allow_nan), encoding="utf-8")
 
 
 def scan_manifest(spark: SparkSession, folder: str, ignore: tuple[str, ...] = ()) -> DataFrame:
@@ -69,19 +74,63 @@ def by_extension(files: DataFrame, path: str = "path", size: str = "size_bytes")
     return files.groupBy(ext.alias("ext")).agg(F.count("*").alias("n"), F.sum(size).alias("bytes"))
 
 
-def publish(staging: str, out: str) -> None:
+class Folder:
+    """A folder of any file system that Spark knows, for small files and moves; executors see the same one."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.jvm, self.path = spark._jvm, path
+        conf = spark._jsparkSession.sessionState().newHadoopConf()
+        self.fs = self._of(path).getFileSystem(conf)
+        if self.fs.getUri().getScheme() == "file":
+            # Without checksums beside the files: other programs may change them, and a manifest is what tells then.
+            self.fs = self.jvm.org.apache.hadoop.fs.RawLocalFileSystem()
+            self.fs.initialize(self.jvm.java.net.URI("file:///"), conf)
+
+    def _of(self, path: str):
+        return self.jvm.org.apache.hadoop.fs.Path(path)
+
+    def exists(self, name: str = "") -> bool:
+        return self.fs.exists(self._of(f"{self.path}/{name}".rstrip("/")))
+
+    def remove(self) -> None:
+        self.fs.delete(self._of(self.path), True)
+
+    def make(self) -> None:
+        self.fs.mkdirs(self._of(self.path))
+
+    def move_to(self, other: str) -> bool:
+        return self.fs.rename(self._of(self.path), self._of(other))
+
+    def write_text(self, name: str, text: str) -> None:
+        out = self.fs.create(self._of(f"{self.path}/{name}"), True)
+        try:
+            out.write(bytearray(text.encode("utf-8")))
+        finally:
+            out.close()
+
+
+def publish(spark: SparkSession, staging: str, out: str) -> None:
     """Replace out by staging in one step: the old one is moved aside, put back if the move fails, removed after."""
-    backup = f"{out}.backup"
-    shutil.rmtree(backup, ignore_errors=True)
-    if os.path.exists(out):
-        os.rename(out, backup)
+    target, backup = Folder(spark, out), Folder(spark, f"{out}.backup")
+    if not Folder(spark, staging).exists():
+        raise FileNotFoundError(staging)
+    backup.remove()
+    if target.exists() and not target.move_to(backup.path):
+        raise OSError(f"{out} cannot be moved aside")
+    if not Folder(spark, staging).move_to(out):
+        if backup.exists():
+            backup.move_to(out)
+        raise OSError(f"{staging} cannot be moved to {out}")
+    backup.remove()
+
+
+def say(text: str, stream=None) -> None:
+    """Print text; characters that the stream's encoding does not have are written as escapes."""
+    stream = stream or sys.stdout
     try:
-        os.rename(staging, out)
-    except OSError:
-        if os.path.exists(backup):
-            os.rename(backup, out)
-        raise
-    shutil.rmtree(backup, ignore_errors=True)
+        print(text, file=stream)
+    except UnicodeEncodeError:
+        print(text.encode(stream.encoding or "ascii", "backslashreplace").decode(stream.encoding or "ascii"), file=stream)
 
 
 def markdown_table(df: DataFrame, rows: int = 20) -> str:

@@ -82,15 +82,44 @@ def test_manifest_and_publish(spark, tmp_path):
     assert {r["problem"] for r in integrity.manifest_differences(wrong, m).collect()} == {"content", "missing"}
     out.mkdir()
     (out / "old").write_text("1")
-    artifacts.publish(str(staging), str(out))
+    artifacts.publish(spark, str(staging), str(out))
     assert sorted(p.name for p in out.iterdir()) == ["a.csv", "b.json"] and not staging.exists()
     with pytest.raises(OSError):
-        artifacts.publish(str(tmp_path / "nothing"), str(out))
+        artifacts.publish(spark, str(tmp_path / "nothing"), str(out))
     assert (out / "a.csv").exists()
     with pytest.raises(ValueError):
         artifacts.write_json({"x": float("nan")}, str(tmp_path / "x.json"))
 
 
+def test_gates_name_what_is_wrong(spark):
+    from cohortlens.operators import relational
+
+    df = spark.createDataFrame([(1, "a", 1.0), (2, "b", None), (3, None, float("inf"))], "id int, label string, x double")
+    with pytest.raises(ValueError, match="nope"):
+        relational.project(df, ["id", "nope"])
+    with pytest.raises(ValueError, match="None"):
+        relational.allowed_labels(df, "label", ["a", "b"])
+    with pytest.raises(ValueError, match="2 listed"):
+        relational.only_listed(df, df.where("id < 3"), "id", expect=3)
+    with pytest.raises(ValueError, match="disagree"):
+        relational.paired_ids(df, df.withColumn("label", F.lit("a")), "id", "label", strict=True).count()
+    with pytest.raises(ValueError, match="common"):
+        relational.common_columns(df, spark.range(1).toDF("other"))
+    with pytest.raises(integrity.GateError, match="a, b"):
+        integrity.no_conflicts(df.withColumn("sha", F.lit("s")), "sha", "label")
+    assert [r["id"] for r in relational.complete_rows(df, ["x"]).collect()] == [1] and relational.allowed_labels(df.where("id < 3"), "label", ["a", "b"]).count() == 2
+
+
+def test_text_goes_out_in_any_encoding():
+    import io
+
+    raw = io.BytesIO()
+    out = io.TextIOWrapper(raw, encoding="ascii")
+    artifacts.say("ok \u00e9", out)
+    out.flush()
+    assert raw.getvalue() == b"ok \\xe9\n"
+
+
 def test_heads_and_limits(spark):
     df = spark.createDataFrame([(i, "a" if i < 10 else "b") for i in range(13)], "id int, label string")
     got = [r["id"] for r in relational.stratified_head(df, 8, "label", ["id"]).orderBy("id").collect()]
