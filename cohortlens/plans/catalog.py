@@ -561,7 +561,7 @@ def threshold_lock(spark, sf):
 
 @query()
 def bootstrap_intervals(spark, sf):
-    s = scored(spark, sf).select((F.col("quality") == 1).alias("truth"), (F.col("pred_label") == "good").alias("guess"), F.round("score", 3).alias("score"))
+    s = scored(spark, sf).select((F.col("quality") == 1).alias("truth"), (F.col("pred_label") == "good").alias("guess"), "score")
     return rounded(metrics.bootstrap(s, 2000, 42, score="score"))
 
 
@@ -641,9 +641,13 @@ def signal_quality(spark, sf):
     return signal.signal_quality(channels(spark, sf), ["participant"], 64, ("ch0", "ch1", "ch2", "ch3"))
 
 
-@query()
+@query(
+    f"""with h as (select m, (case when m = 0 then 36 / 64.0 else (sin(2 * pi() * 20 * m / 64) - sin(2 * pi() * 2 * m / 64)) / (pi() * m) end) * (0.54 + 0.46 * cos(2 * pi() * m / 212)) as tap from range(-106, 107) r(m)),
+y as (select vec_id, i, sum(tap * samples[1 + greatest(0, least(63, i + m))]) as v from ({CHANNELS_SQL}), range(0, 64) s(i), h group by vec_id, i)
+select vec_id, {r('sum(v * v)')} as energy from y group by vec_id"""
+)
 def filtered_signals(spark, sf):
-    """Zero-phase band-pass of 2 to 20 Hz: energy of each signal."""
+    """Zero-phase band-pass of 2 to 20 Hz: energy of each signal. Its SQL is the convolution by its sum, ends repeated."""
     df = signal.filtered(channels(spark, sf), RATE, 2.0, 20.0)
     return rounded(df.select("vec_id", F.aggregate("samples", F.lit(0.0), lambda a, x: a + x * x).alias("energy")))
 
