@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cohortlens.llm import byte_bpe, gam, learned_index, line_crf, lsh_forest, mixing, suffix_dedup, token_counts, url_filter, wavelet
+from cohortlens.llm import byte_bpe, filter_audit, gam, learned_index, line_crf, lsh_forest, mixing, suffix_dedup, token_counts, url_filter, wavelet
 
 QUERIES = {
     "op1_line_crf": line_crf.op1_line_crf,
@@ -15,8 +15,9 @@ QUERIES = {
     "op8_redirects": url_filter.op8_redirects,
     "op9_learned_partitions": learned_index.op9_learned_partitions,
     "op10_lsh_forest": lsh_forest.op10_lsh_forest,
+    "op13_filter_audit": filter_audit.op13_filter_audit,
     "redirects_planted": url_filter.redirects_planted,
 }
 
 #: Where SQL can express the operator; the others are tested against brute force.
-ORACLES: dict[str, str] = {"op8_redirects": url_filter.SQL, "redirects_planted": url_filter.PLANTED_SQL, "op4_mixing": mixing.SQL, "op10_lsh_forest": lsh_forest.SQL}
+ORACLES: dict[str, str] = {"op8_redirects": url_filter.SQL, "redirects_planted": url_filter.PLANTED_SQL, "op4_mixing": mixing.SQL, "op10_lsh_forest": lsh_forest.SQL, "op13_filter_audit": filter_audit.SQL}
