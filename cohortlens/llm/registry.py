@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cohortlens.llm import byte_bpe, filter_audit, gam, learned_index, line_crf, lsh_forest, mixing, prefix_trie, suffix_dedup, token_counts, url_filter, wavelet
+from cohortlens.llm import byte_bpe, filter_audit, gam, learned_index, line_crf, lsh_forest, mixing, pivot_index, prefix_trie, suffix_dedup, token_counts, url_filter, wavelet
 
 QUERIES = {
     "op1_line_crf": line_crf.op1_line_crf,
@@ -15,10 +15,11 @@ QUERIES = {
     "op8_redirects": url_filter.op8_redirects,
     "op9_learned_partitions": learned_index.op9_learned_partitions,
     "op10_lsh_forest": lsh_forest.op10_lsh_forest,
+    "op11_pivot_distance": pivot_index.op11_pivot_distance,
     "op12_prefix_trie": prefix_trie.op12_prefix_trie,
     "op13_filter_audit": filter_audit.op13_filter_audit,
     "redirects_planted": url_filter.redirects_planted,
 }
 
 #: Where SQL can express the operator; the others are tested against brute force.
-ORACLES: dict[str, str] = {"op8_redirects": url_filter.SQL, "redirects_planted": url_filter.PLANTED_SQL, "op4_mixing": mixing.SQL, "op10_lsh_forest": lsh_forest.SQL, "op12_prefix_trie": prefix_trie.SQL, "op13_filter_audit": filter_audit.SQL}
+ORACLES: dict[str, str] = {"op8_redirects": url_filter.SQL, "redirects_planted": url_filter.PLANTED_SQL, "op4_mixing": mixing.SQL, "op10_lsh_forest": lsh_forest.SQL, "op11_pivot_distance": pivot_index.SQL, "op12_prefix_trie": prefix_trie.SQL, "op13_filter_audit": filter_audit.SQL}
