@@ -68,7 +68,7 @@ def test_products_beyond_what_doubles_hold_are_exact(spark):
     assert got(spark, rows) == brute(rows)
 
 
-def test_bounds_hold_and_exclude_most_of_what_is_clustered(spark, monkeypatch):
+def test_bounds_hold_and_exclude_most_of_what_is_clustered(spark):
     rows = clustered(20_000)
     x = np.floor(np.array([v for _, v in rows], np.float32).astype(float) * 1024)
     pivots = pivot_index.fit_pivots(x[:2000], 64)
