@@ -19,7 +19,8 @@ QUERIES = {
     "op12_prefix_trie": prefix_trie.op12_prefix_trie,
     "op13_filter_audit": filter_audit.op13_filter_audit,
     "redirects_planted": url_filter.redirects_planted,
+    "redirects_chained": url_filter.redirects_chained,
 }
 
 #: Where SQL can express the operator; the others are tested against brute force.
-ORACLES: dict[str, str] = {"op8_redirects": url_filter.SQL, "redirects_planted": url_filter.PLANTED_SQL, "op4_mixing": mixing.SQL, "op10_lsh_forest": lsh_forest.SQL, "op11_pivot_distance": pivot_index.SQL, "op12_prefix_trie": prefix_trie.SQL, "op13_filter_audit": filter_audit.SQL}
+ORACLES: dict[str, str] = {"op8_redirects": url_filter.SQL, "redirects_planted": url_filter.PLANTED_SQL, "redirects_chained": url_filter.CHAINED_SQL, "op4_mixing": mixing.SQL, "op10_lsh_forest": lsh_forest.SQL, "op11_pivot_distance": pivot_index.SQL, "op12_prefix_trie": prefix_trie.SQL, "op13_filter_audit": filter_audit.SQL}

@@ -8,8 +8,10 @@ parameters, a closing slash or .html are one canonical URL to begin with. Connec
 collect the decisions; a component with a blocked and no allowed member is blocked, any explicit allow in it
 takes precedence.
 
-Links are read as a browser reads them: character references are decoded first, comments and scripts hold no links,
-and a relative target is resolved against the page's base, or else its URL.
+Links are read as a browser reads them, in one pass forward over a page: an attribute's value ends at its closing
+quote or, without quotes, at white space or the tag's end, character references in it are decoded, comments, scripts
+and other tags' values hold no links, and a relative target is resolved against the page's base, or else its URL,
+whatever the scheme.
 """
 
 from __future__ import annotations
@@ -17,7 +19,6 @@ from __future__ import annotations
 import html as html_references
 import re
 from collections.abc import Iterator
-from urllib.parse import urljoin
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,38 +35,109 @@ RULES = (
 MAX_RULES = 1000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TRACKING = "^(utm_[a-z]+|ref|fbclid|gclid)="
-#: Only pages that name a link at all are looked through.
-NAMED = r"(?i)canonical|refresh"
-#: What holds no tags, or a tag that matters with its attributes.
-TAGS = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|textarea|title)\b.*?(?:</\1\s*>|\Z)|<(link|meta|base)\b((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.I | re.S)
-ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
+#: Only pages that name a link, or may do so by character references, are looked through.
+NAMED, TAGGED = r"(?i)canonical|refresh", r"(?i)<(link|meta)[\s/]"
+BLANK = " \t\n\f\r"
+TAG_NAME = re.compile(rf"/?([a-zA-Z][^{BLANK}/>]*+)")
+#: White space and slashes, then a name; then, if there is one, the sign before a value.
+ATTRIBUTE_NAME, BEFORE_VALUE, UNQUOTED = re.compile(rf"[{BLANK}/]*+(=?[^{BLANK}/>=]*+)"), re.compile(rf"[{BLANK}]*+=[{BLANK}]*+"), re.compile(rf"[^{BLANK}>]*+")
+COMMENT_END = re.compile(r"--!?>")
+#: Elements whose content is text up to their end tag.
+TEXT_ENDS = {n: re.compile(rf"</{n}(?=[{BLANK}/>])", re.I) for n in ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes")}
 REFRESH = re.compile(r"""\s*[0-9.]*\s*[;,\s]\s*(?:url\s*=\s*)?(?:"([^"]*)|'([^']*)|(.*))""", re.I | re.S)
+#: What follows a scheme, cut into authority, path and the rest.
+SCHEME, PARTS = re.compile(r"([a-zA-Z][a-zA-Z0-9+.\-]*):"), re.compile(r"([^/?#]*)([^?#]*)(.*)", re.S)
+
+
+def tags_of(page: str) -> Iterator[tuple[str, dict[str, str]]]:
+    """Name and attributes of each tag of a page, in one pass; a tag that is still open at the page's end is none."""
+    at = page.find("<")
+    while at >= 0:
+        name = TAG_NAME.match(page, at + 1)
+        if name is None:
+            if page.startswith("<!--", at):
+                end = COMMENT_END.search(page, at + 2)
+                at = page.find("<", end.end()) if end else -1
+            elif page.startswith(("<!", "<?", "</"), at):
+                end = page.find(">", at)
+                at = page.find("<", end) if end >= 0 else -1
+            else:
+                at = page.find("<", at + 1)
+            continue
+        kind, held, at = name[1].lower(), {}, name.end()
+        while True:
+            attribute = ATTRIBUTE_NAME.match(page, at)
+            at = attribute.end()
+            if at >= len(page):
+                return
+            if page[at] == ">" and not attribute[1]:
+                break
+            value = ""
+            if sign := BEFORE_VALUE.match(page, at):
+                at = sign.end()
+                quote = page[at : at + 1]
+                if quote in ("'", '"') and quote:
+                    end = page.find(quote, at + 1)
+                    if end < 0:
+                        return
+                    value, at = page[at + 1 : end], end + 1
+                else:
+                    plain = UNQUOTED.match(page, at)
+                    value, at = plain[0], plain.end()
+            held.setdefault(attribute[1].lower(), value)
+        opened = page[name.start()] != "/"
+        if opened:
+            yield kind, held
+        if opened and kind in TEXT_ENDS:
+            end = TEXT_ENDS[kind].search(page, at)
+            at = end.start() if end else -1
+        else:
+            at = page.find("<", at)
 
 
 def links_of(url: str, page: str) -> list[str]:
     """The absolute URLs of all canonical links and refreshes of a page, in their order."""
     base, found = url, []
-    for tag in TAGS.finditer(page):
-        kind = (tag[2] or "").lower()
-        if not kind:
+    for kind, held in tags_of(page):
+        if kind not in ("link", "meta", "base"):
             continue
-        held: dict[str, str] = {}
-        for name, *values in ATTRIBUTE.findall(tag[3]):
-            held.setdefault(name.lower(), html_references.unescape(next(filter(None, values), "")).strip())
+        value = lambda n: html_references.unescape(held.get(n, "")).strip()  # noqa: B023, E731
         if kind == "base":
-            base = _joined(url, held["href"]) or url if held.get("href") and base == url else base
-        elif kind == "link" and "canonical" in held.get("rel", "").lower().split():
-            found.append(held.get("href", ""))
-        elif kind == "meta" and held.get("http-equiv", "").lower() == "refresh" and (target := REFRESH.match(held.get("content", ""))):
+            base = resolve(url, value("href")) or url if value("href") and base == url else base
+        elif kind == "link" and "canonical" in value("rel").lower().split():
+            found.append(value("href"))
+        elif kind == "meta" and value("http-equiv").lower() == "refresh" and (target := REFRESH.match(value("content"))):
             found.append(next(filter(None, target.groups()), "").strip())
-    return [x for link in found if link and (x := _joined(base, link))]
-
-
-def _joined(base: str, link: str) -> str:
-    try:
-        return urljoin(base, re.sub(r"[\t\r\n]", "", link))
-    except ValueError:  # not a URL
+    return [x for link in found if link and (x := resolve(base, link))]
+
+
+def resolve(base: str, link: str) -> str:
+    """The absolute URL of a link on a page at base, whatever its scheme; empty if base has no ://."""
+    link = re.sub(r"[\t\r\n]", "", link)
+    own, (scheme, mark, rest) = SCHEME.match(link), base.partition("://")
+    if own and not (mark and own[1].lower() == scheme.lower() and not link.startswith("//", own.end())):
+        return link
+    link = link[own.end() :] if own else link
+    authority, path, _ = PARTS.match(rest).groups()
+    if not mark or ("[" in authority) != ("]" in authority):
         return ""
+    if link.startswith("//"):
+        return f"{scheme}:{link}"
+    if link.startswith("#"):
+        return base.partition("#")[0] + link
+    if link.startswith("?"):
+        return f"{scheme}://{authority}{path}{link}"
+    to, tail = re.match(r"([^?#]*)(.*)", link, re.S).groups()
+    steps: list[str] = []
+    parts = (to if to.startswith("/") else (path.rpartition("/")[0] + "/" + to)).split("/")[1:]
+    for step in parts:
+        if step == "..":
+            del steps[-1:]
+        elif step != ".":
+            steps.append(step)
+    if parts and parts[-1] in ("..", "."):
+        steps.append("")
+    return f"{scheme}://{authority}/{'/'.join(steps)}{tail}"
 
 
 def page_links(pages: DataFrame) -> DataFrame:
@@ -81,7 +153,8 @@ def page_links(pages: DataFrame) -> DataFrame:
                 targets += found
             yield pa.RecordBatch.from_arrays([pa.array(urls, pa.string()), pa.array(targets, pa.string())], names=["url", "target"])
 
-    return pages.where(F.col("url").isNotNull() & F.col("html").rlike(NAMED)).select("url", "html").mapInArrow(run, "url string, target string")
+    named = F.col("html").rlike(NAMED) | (F.col("html").contains("&") & F.col("html").rlike(TAGGED))
+    return pages.where(F.col("url").isNotNull() & named).select("url", "html").mapInArrow(run, "url string, target string")
 
 
 def _rest(url: Column) -> Column:
@@ -181,6 +254,27 @@ def redirects_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(planted(read(spark, sf_dir, "pages")))
 
 
+def chained(pages: DataFrame) -> DataFrame:
+    """page_id, url and html of pages whose links make long chains, hubs and cycles, in blocks of 41 pages.
+
+    By the block's number modulo 3: each page names the next one, up to the block's last; all name its first one; each
+    names the next one and the last names the first. The eighth page also names its own URL in the table, if that has a
+    scheme, so that a block has rules to take from there.
+    """
+    block, place = F.floor(F.col("page_id") / 41), F.pmod("page_id", F.lit(41))
+    at = lambda n: F.concat(F.lit("app://c"), block.cast("string"), F.lit(".io/p/"), n.cast("string"))
+    link = lambda to: F.concat(F.lit("<p a=\"<\">x</p><link data-x=it's rel=\"can&#111;nical\" href='"), to, F.lit("'>"))
+    kind = F.pmod(block, F.lit(3))
+    next_ = F.when(kind == 1, link(F.lit("0"))).when(place < 40, link((place + 1).cast("string"))).when(kind == 2, link(F.lit("/p/0"))).otherwise("<p>last")
+    own = F.when((place == 7) & F.col("url").contains("://"), link(F.replace(F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("'"), F.lit("&#39;")))).otherwise("")
+    return pages.select("page_id", at(place).alias("url"), F.concat(next_, own).alias("html"))
+
+
+def redirects_chained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operator on chains of 41 pages, hubs and cycles."""
+    return judge(chained(read(spark, sf_dir, "pages")))
+
+
 def _sql(pages: str) -> str:
     rest = lambda u: f"case when strpos({u}, '://') > 0 then substr({u}, strpos({u}, '://') + 3) end"
     host = lambda u: f"coalesce(translate(regexp_extract({rest(u)}, '^[^/?#]*', 0), '{UPPER}', '{LOWER}'), '')"
@@ -204,9 +298,9 @@ page as (select page_id, url, {host('url')} as host, {path('url')} as path, {nod
 tag as (select url, split_part(piece, '>', 1) as tag from (select url, unnest(string_split(html, '<')) as piece from src where html is not null and url is not null)),
 raw as (
   select url, coalesce(nullif(regexp_extract(tag, '(?i)\shref="([^"]*)"', 1), ''), nullif(regexp_extract(tag, '(?i)\shref=''([^'']*)''', 1), ''), regexp_extract(tag, '(?i)\shref=([^\s"'']+)', 1)) as link
-  from tag where tag ilike 'link %' and regexp_matches(tag, '(?i)rel=["'']?canonical')
+  from tag where tag ilike 'link %' and regexp_matches(replace(tag, '&#111;', 'o'), '(?i)rel=["'']?canonical')
   union all select url, regexp_extract(regexp_extract(tag, '(?i)content=["'']([^"'']*)', 1), '(?i)url=(.*)', 1) from tag where tag ilike 'meta %' and tag ilike '%refresh%'),
-link_text as (select url, replace(replace(replace(link, '&quot;', '"'), '&#38;', '&'), '&amp;', '&') as l from raw where link <> ''),
+link_text as (select url, replace(replace(replace(replace(link, '&quot;', '"'), '&#38;', '&'), '&#39;', ''''), '&amp;', '&') as l from raw where link <> ''),
 joined as (
   select url, case when contains(l, '://') then l when starts_with(l, '//') then split_part(url, '://', 1) || ':' || l
     when starts_with(l, '/') then regexp_extract(url, '^[^:]*://[^/?#]*', 0) || l
@@ -234,3 +328,8 @@ select page_id, 'http://h' || page_id // 21 || '.io/a/' || page_id as url, case
   when 4 then '<meta http-equiv="refresh" content="0; url=' || t || '#x">'
   when 5 then '<link rel="canonical" href="../a/' || page_id + 1 || '">' else '<p>no link' end as html
 from (select *, 'http://h' || (page_id + 1) // 21 || '.io/a/' || (page_id + 1) as t from pages)""")
+CHAINED_SQL = _sql("""
+select page_id, 'app://c' || page_id // 41 || '.io/p/' || page_id % 41 as url,
+  case when page_id // 41 % 3 = 1 then l || '0' || e when page_id % 41 < 40 then l || (page_id % 41 + 1) || e when page_id // 41 % 3 = 2 then l || '/p/0' || e else '<p>last' end
+  || case when page_id % 41 = 7 and contains(url, '://') then l || replace(replace(url, '&', '&amp;'), '''', '&#39;') || e else '' end as html
+from pages, (values ('<p a="<">x</p><link data-x=it''s rel="can&#111;nical" href=''', '''>')) v(l, e)""")

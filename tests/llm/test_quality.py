@@ -222,3 +222,44 @@ def test_planted_links_equal_sql(spark, sf):
     con.sql(f"create view pages as select * from '{sf}/pages.parquet'")
     got = sorted(str(tuple(r)) for r in url_filter.redirects_planted(spark, sf).select("page_id", "host", "path", "rule", "verdict").collect())
     assert got == sorted(str(r) for r in con.sql(url_filter.PLANTED_SQL).fetchall()) and len({r.rsplit(",", 1)[1] for r in got}) == 2
+
+
+READ_AS_A_BROWSER = [
+    ("app://free2.io/d/1", '<link rel=canonical href="2">', ["app://free2.io/d/2"]), ("http://a.io/", '<link rel="can&#111;nical" href="/x">', ["http://a.io/x"]), ("http://a.io/", "<link rel=canonical data-x=it's href=/y>", ["http://a.io/y"]),
+    ("http://a.io/", "<link rel=canonical href=/y/>", ["http://a.io/y/"]), ("http://a.io", "<a title='<link rel=canonical href=/no>'>t</a><link rel=canonical href=q/../../r/.>", ["http://a.io/r/"]),
+    ("http://a.io/x", "<link rel=canonical href=http:z><link / rel = canonical / href = 'b' ><link rel=canonical href=c href=d>", ["http://a.io/z", "http://a.io/b", "http://a.io/c"]),
+    ("http://a.io/", "<!--><link rel=canonical href=/a><!-- > --!><link rel=canonical href=/b><title><link rel=canonical href=/no></title ><link rel=canonical href=/c", ["http://a.io/a", "http://a.io/b"]),
+    ("http://a.io/", "< link rel=canonical href=/no></link rel=canonical href=/no><?x <link rel=canonical href=/no2>?><LINK REL='x CANONICAL' HREF=/d>", ["http://a.io/d"]), ("no scheme", "<link rel=canonical href=/a><link rel=canonical href=ftp://b/c>", ["ftp://b/c"]),
+]
+
+
+@pytest.mark.parametrize("url,html,want", READ_AS_A_BROWSER)
+def test_links_are_read_as_a_browser_reads_them(url, html, want):
+    assert url_filter.links_of(url, html) == want
+
+
+@pytest.mark.parametrize("piece", ["<link ", "<link x='", "<link x='' y=", "<!--", "<!", "<script>", "</", "<a b=c ", "<link rel=canonical href=a>", "<link>", "\"'<=>"])
+def test_a_very_long_page_takes_time_in_proportion(piece):
+    import time
+
+    times = []
+    for size in (100_000, 1_000_000):
+        page = piece * (size // len(piece))
+        start = time.process_time()
+        url_filter.links_of("http://a.io/", page)
+        times.append(time.process_time() - start)
+    assert times[1] < 5 and times[1] < 30 * max(times[0], 0.02)
+
+
+def test_links_in_any_form_decide(spark):
+    rows = [(1, "app://free2.io/d/1", '<link rel="canonical" href="2">'), (2, "app://free2.io/d/2", '<link rel="can&#111;nical" href="http://evil.com/en/x">'), (3, "http://free3.io/", "<link data-x=it's rel=canonical href=//evil.com/en/y>"), (4, "http://free4.io/", "<link " * 20_000)]
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "allow"}
+
+
+def test_chains_hubs_and_cycles_equal_sql(spark, sf):
+    sf = sf.replace("0.001", "0.01")  # several blocks of each kind
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '{sf}/pages.parquet'")
+    got = sorted(str(tuple(r)) for r in url_filter.redirects_chained(spark, sf).select("page_id", "host", "path", "rule", "verdict").collect())
+    assert got == sorted(str(r) for r in con.sql(url_filter.CHAINED_SQL).fetchall()) and len({r.rsplit(",", 1)[1] for r in got}) == 2
