@@ -6,8 +6,11 @@ source < target.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,8 +39,8 @@ def epoch_spectra(df: DataFrame, keys: list[str], samples: str = "samples") -> D
 def pair_metrics(spectra: DataFrame, keys: list[str], also: list[str]) -> DataFrame:
     """keys, also, source, target, coherence, pli, wpli over epochs, averaged over bins; all in [0, 1].
 
-    also (such as the band) splits bins into sets. Pairs are of channels of one epoch and bin, so the join's
-    groups have the size of a montage.
+    From spectra that are rows already; pair_connectivity() is for samples and makes no row for a bin. also (such as the
+    band) splits bins into sets. Pairs are of channels of one epoch and bin, so the join's groups have the size of a montage.
     """
     by = [*keys, "epoch", *also, "bin"]
     side = lambda name, a: spectra.select(*by, F.col("channel").alias(name), F.col("re").alias(f"re_{a}"), F.col("im").alias(f"im_{a}"))
@@ -55,6 +58,138 @@ def pair_metrics(spectra: DataFrame, keys: list[str], also: list[str]) -> DataFr
     )
 
 
+class CrossSpectra:
+    """Sums over epochs that pair metrics follow from, for the pairs of some channels and some bins; sums can be added.
+
+    For each pair and bin: the number of epochs, the sums of the cross spectrum's real and imaginary part, of the
+    latter's modulus and sign, and of both powers. An epoch counts for the pairs of the channels that it has.
+    """
+
+    FIELDS = 7
+
+    def __init__(self, bins: np.ndarray, names: tuple[str, ...] = (), sums: np.ndarray | None = None):
+        self.bins, self.names = bins, names
+        self.sums = np.zeros((self.FIELDS, len(names) * (len(names) - 1) // 2, len(bins))) if sums is None else sums
+
+    def add_epochs(self, names: tuple[str, ...], x: np.ndarray) -> None:
+        """x: epochs by channels (in the order of names, which is sorted) by samples."""
+        z = np.fft.rfft((x - x.mean(-1, keepdims=True)) * symmetric_hann(x.shape[-1]), axis=-1)
+        some = self.bins < z.shape[-1]
+        z = z[..., self.bins[some]]
+        i, j = np.triu_indices(len(names), 1)
+        cross, power = z[:, i] * z[:, j].conj(), (z.real**2 + z.imag**2).sum(0)
+        out = np.zeros((self.FIELDS, len(i), len(self.bins)))
+        out[:, :, some] = np.stack([np.full(cross.shape[1:], float(len(x))), cross.real.sum(0), cross.imag.sum(0), np.abs(cross.imag).sum(0), np.sign(cross.imag).sum(0), power[i], power[j]])
+        self.merge(names, out)
+
+    def merge(self, names: tuple[str, ...], sums: np.ndarray) -> None:
+        if names == self.names:
+            self.sums = self.sums + sums
+            return
+        union = tuple(sorted({*self.names, *names}))
+        out = np.zeros((self.FIELDS, len(union) * (len(union) - 1) // 2, len(self.bins)))
+        for own, values in ((self.names, self.sums), (names, sums)):
+            at = np.array([union.index(n) for n in own], int)
+            i, j = np.triu_indices(len(own), 1)
+            i, j = at[i], at[j]
+            out[:, i * (2 * len(union) - i - 1) // 2 + j - i - 1] += values
+        self.names, self.sums = union, out
+
+    def metrics(self, sets: dict[str, list[int]]) -> list[tuple]:
+        """(set, source, target, coherence, pli, wpli) for the pairs that have epochs with a bin of the set."""
+        n = np.maximum(self.sums[0], 1)
+        re, im, abs_im, sign, ps, pt = (self.sums[k] / n for k in range(1, self.FIELDS))
+        each = np.stack([(re**2 + im**2) / np.maximum(ps * pt, EPS), np.abs(sign), np.abs(im) / np.maximum(abs_im, EPS)])
+        out, pairs = [], list(zip(*np.triu_indices(len(self.names), 1), strict=True))
+        for name, bins in sets.items():
+            here = np.isin(self.bins, bins) & (self.sums[0] > 0)
+            count = here.sum(1)
+            mean = np.clip(np.where(here, each, 0).sum(-1) / np.maximum(count, 1), 0, 1)
+            out += [(name, self.names[i], self.names[j], *mean[:, p].tolist()) for p, (i, j) in enumerate(pairs) if count[p]]
+        return out
+
+
+#: Epochs of a recording that are summed in one task before sums are exchanged.
+EPOCHS_TOGETHER = 32
+
+
+def pair_connectivity(df: DataFrame, keys: list[str], sets: dict[str, list[int]], name: str = "band", samples: str = "samples", together: int = EPOCHS_TOGETHER) -> DataFrame:
+    """keys, name (of the set of bins), source, target, coherence, pli, wpli from epochs (keys, epoch, channel, samples).
+
+    As pair_metrics(), without a row for a bin and without a join: runs of epochs are summed where their samples meet,
+    and sums of a recording are added. A recording's epochs are spread over tasks by runs, so a long one is no single
+    task's. Null or empty samples are absent channels. A channel that stands twice in an epoch counts once, as its last.
+    """
+    bins = np.array(sorted({b for v in sets.values() for b in v}), int)
+    schema = df.select(*keys).schema
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    count = len(keys)
+
+    def runs(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[tuple]:
+        """(key, columns of the run) for consecutive rows of equal first columns."""
+        for batch in batches:
+            own = list(zip(*(batch.column(c).to_pylist() for c in range(at)), strict=True))
+            cuts = [0, *(i for i in range(1, len(own)) if own[i] != own[i - 1]), len(own)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if b > a:
+                    yield own[a], batch.slice(a, b - a)
+
+    def emitted(rows: list[tuple], types: list, names: list[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, epochs, types = None, {}, None
+
+        def finish():
+            total, alike = CrossSpectra(bins), {}
+            for channels in epochs.values():
+                lengths = {len(v) for v in channels.values()}
+                for size in lengths:
+                    own = tuple(sorted(c for c, v in channels.items() if len(v) == size))
+                    alike.setdefault((own, size), []).append([channels[c] for c in own])
+            for (own, _), x in alike.items():
+                total.add_epochs(own, np.array(x))
+            return emitted([(*key, list(total.names), total.sums.tobytes())], [*types, pa.int64(), pa.list_(pa.string()), pa.binary()], [*keys, "_run", "names", "sums"])
+
+        for own, part in runs(batches, count + 1):
+            types = types or [part.schema.field(c).type for c in range(count)]
+            if own != key:
+                if epochs:
+                    yield finish()
+                key, epochs = own, {}
+            column = part.column(count + 3)
+            values, edges = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+            for i, (epoch, channel) in enumerate(zip(part.column(count + 1).to_pylist(), part.column(count + 2).to_pylist(), strict=True)):
+                if edges[i + 1] > edges[i]:
+                    epochs.setdefault(epoch, {})[channel] = values[edges[i] : edges[i + 1]].astype(float)
+        if epochs:
+            yield finish()
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, total, types = None, CrossSpectra(bins), None
+        names = [*keys, name, "source", "target", "coherence", "pli", "wpli"]
+        last = [pa.string()] * 3 + [pa.float64()] * 3
+        for own, part in runs(batches, count):
+            types = types or [part.schema.field(c).type for c in range(count)]
+            if own != key:
+                if key is not None:
+                    yield emitted([(*key, *m) for m in total.metrics(sets)], [*types, *last], names)
+                key, total = own, CrossSpectra(bins)
+            for channels, blob in zip(part.column(count + 1).to_pylist(), part.column(count + 2).to_pylist(), strict=True):
+                total.merge(tuple(channels), np.frombuffer(blob).reshape(CrossSpectra.FIELDS, -1, len(bins)))
+        if key is not None:
+            yield emitted([(*key, *m) for m in total.metrics(sets)], [*types, *last], names)
+
+    rows = df.select(*keys, F.floor(F.col("epoch") / together).alias("_run"), "epoch", "channel", F.col(samples).cast("array<double>").alias("_x"))
+    parts = rows.repartition(*keys, "_run").sortWithinPartitions(*keys, "_run", "epoch").mapInArrow(summed, f"{kinds}, _run bigint, names array<string>, sums binary")
+    return parts.repartition(*keys).sortWithinPartitions(*keys, "_run").mapInArrow(merged, f"{kinds}, {name} string, source string, target string, coherence double, pli double, wpli double")
+
+
+def band_bins(bands: dict[str, tuple[float, float]], rate: float, length: int) -> dict[str, list[int]]:
+    """The bins of each half-open band, for epochs of length samples."""
+    return {b: [k for k in range(length // 2 + 1) if lo <= k * rate / length < hi] for b, (lo, hi) in bands.items()}
+
+
 def top_edges(edges: DataFrame, keys: list[str], share: float, value: str = "value") -> DataFrame:
     """The ceil(share * edges) largest edges of each graph, 1 at least, without null, non-finite or non-positive ones.
 

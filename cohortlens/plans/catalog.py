@@ -698,9 +698,7 @@ edges as (select participant, band, source, target, avg((re * re + im * im) / gr
 
 
 def edges(spark, sf) -> DataFrame:
-    e = signal.epochs(channels(spark, sf), HALF)
-    z = connectivity.epoch_spectra(e, ["participant", "epoch", "channel"]).where("bin between 1 and 7").withColumn("band", F.when(F.col("bin") < 4, "low").otherwise("high"))
-    return connectivity.pair_metrics(z, ["participant"], ["band"])
+    return connectivity.pair_connectivity(signal.epochs(channels(spark, sf), HALF), ["participant"], {"low": [1, 2, 3], "high": [4, 5, 6, 7]})
 
 
 @query(f"with {SPECTRA_SQL} select participant, band, source, target, {r('coherence')} as coherence, {r('pli')} as pli, {r('wpli')} as wpli from edges")
@@ -1015,3 +1013,6 @@ def streaming_epochs(spark, sf):
     folder = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
     schema = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
     return rounded(run_available(spark, sf, "events.parquet", schema, f"{folder}/out", f"{folder}/state"), 9)
+
+
+from cohortlens.plans import cohort_models  # noqa: E402, F401  registers its queries

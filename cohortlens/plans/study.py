@@ -125,9 +125,7 @@ def harmonised_features(recordings: DataFrame, rate: float, regions: dict = sign
 
 def connectivity_of(epochs: DataFrame, settings: dict, bands: dict, rate: float, length: int) -> tuple[DataFrame, DataFrame]:
     """Connectivity and graph features in long form, and the edges."""
-    spectra = connectivity.epoch_spectra(epochs, [*KEYS, "epoch", "channel"]).withColumn("frequency", F.col("bin") * rate / length)
-    inside = relational.in_band(spectra, relational.bands_table(epochs.sparkSession, {k: tuple(v) for k, v in bands.items()}))
-    edges = connectivity.pair_metrics(inside, KEYS, ["band"])
+    edges = connectivity.pair_connectivity(epochs, KEYS, connectivity.band_bins({k: tuple(v) for k, v in bands.items()}, rate, length))
     nodes = epochs.select(*KEYS, F.col("channel").alias("node")).distinct().crossJoin(F.broadcast(edges.select("band").distinct()))
     graphs = connectivity.graph_features(edges, nodes, [*KEYS, "band"], float(settings.get("proportional_threshold", 0.2)), "wpli")
     names = ("clustering", "global_efficiency", "mean_strength")

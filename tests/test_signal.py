@@ -96,6 +96,27 @@ def test_quarter_lag_is_fully_connected(spark):
     assert (r["coherence"], r["pli"], r["wpli"]) == pytest.approx((1, 1, 1))
 
 
+@pytest.mark.parametrize("together", [1, 3, 32])
+def test_summed_cross_spectra_equal_the_join_of_spectra(spark, together):
+    """Missing channels, epochs of other lengths, null samples and recordings of several runs."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for p in range(3):
+        for e in range(1 + 4 * p):
+            for c in "abcd":
+                if rng.random() < 0.8:
+                    n = 16 if e != 2 else 10
+                    rows.append((p, "x" if p else None, e, c, None if rng.random() < 0.1 else rng.normal(size=n).tolist() if rng.random() < 0.95 else []))
+    df = spark.createDataFrame(rows, "p int, session string, epoch int, channel string, samples array<double>").withColumn("session", F.coalesce("session", F.lit("0")))
+    z = connectivity.epoch_spectra(df, ["p", "session", "epoch", "channel"]).where("bin between 1 and 7").withColumn("band", F.when(F.col("bin") < 4, "low").otherwise("high"))
+    want = {tuple(r)[:5]: tuple(r)[5:] for r in connectivity.pair_metrics(z, ["p", "session"], ["band"]).collect()}
+    out = connectivity.pair_connectivity(df, ["p", "session"], {"low": [1, 2, 3], "high": [4, 5, 6, 7]}, together=together)
+    got = {tuple(r)[:5]: tuple(r)[5:] for r in out.collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+
+
 def test_unit_triangle_and_path(spark):
     nodes = spark.createDataFrame([("g", n) for n in "abcd"], "g string, node string")
     e = spark.createDataFrame([("g", "a", "b", 1.0), ("g", "b", "c", 1.0), ("g", "a", "c", 1.0)], "g string, source string, target string, value double")
