@@ -36,9 +36,10 @@ def main(args: list[str] | None = None) -> int:
         return 0
     out = given.output_dir or artifacts.project_path(contract, contract["paths"]["output_dir"])
     spark = build_session()
+    there = lambda path: artifacts.Folder(spark, path).exists()
     if given.command == "run":
-        for what in ("participants", "recordings"):
-            if not Path(artifacts.project_path(contract, contract["paths"][what])).exists():
+        for what in ("participants", "recordings", *(["annotations"] if contract["paths"].get("annotations") else [])):
+            if not there(artifacts.project_path(contract, contract["paths"][what])):
                 print(f"missing: {what}", file=sys.stderr)
                 return 2
         try:
@@ -47,7 +48,7 @@ def main(args: list[str] | None = None) -> int:
             print(f"refused: {e}", file=sys.stderr)
             return 1
         return 0
-    if not Path(out).exists():
+    if not there(out):
         print(f"missing: {out}", file=sys.stderr)
         return 2
     if given.command == "verify":

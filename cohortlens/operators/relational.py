@@ -111,6 +111,21 @@ def in_band(points: DataFrame, bands: DataFrame, frequency: str = "frequency") -
     return points.join(F.broadcast(bands), (F.col(frequency) >= F.col("low")) & (F.col(frequency) < F.col("high")))
 
 
+def overlapping(df: DataFrame, spans: DataFrame, keys: list[str], width: float, start: str = "start", stop: str = "stop") -> DataFrame:
+    """Rows of df whose interval (start, stop) overlaps one of the spans with the same keys; ends that touch do not.
+
+    Both sides are dealt to buckets of width, a long span to every bucket that it meets, so that rows meet by equal
+    keys and bucket and neither side is sent to every task. Rows with a null or with stop before start meet nothing; an
+    interval without length meets the spans that it lies inside of. Equal rows are one.
+    """
+    within = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / width).cast("long"), F.floor(F.col(b) / width).cast("long")))
+    rows = df.where(F.col(start) <= F.col(stop)).withColumn("_bucket", within(start, stop))
+    pieces = spans.where(F.col(start) <= F.col(stop)).select(*keys, F.col(start).alias("_a"), F.col(stop).alias("_b")).distinct().withColumn("_bucket", within("_a", "_b"))
+    same = [rows[k] == pieces[k] for k in [*keys, "_bucket"]]
+    met = rows.join(pieces, [*same, rows[start] < pieces["_b"], rows[stop] > pieces["_a"]], "left_semi")
+    return met.drop("_bucket").distinct()
+
+
 def membership(df: DataFrame, groups: dict[str, list], key: str, name: str = "region") -> DataFrame:
     """Many-to-many join of key with the groups that list it."""
     kind = df.schema[key].dataType.simpleString()

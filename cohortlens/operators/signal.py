@@ -11,11 +11,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.scalar import safe_log10, safe_log_ratio
-from cohortlens.operators.relational import bands_table, in_band, membership
+from cohortlens.operators.relational import bands_table, in_band, membership, overlapping
 
 #: The 19 common channels in the order of fingerprints, their regions, and the band ratios.
 CHANNELS = ("Fp1", "Fp2", "F3", "F4", "C3", "C4", "P3", "P4", "O1", "O2", "F7", "F8", "T3", "T4", "T5", "T6", "Fz", "Cz", "Pz")
@@ -222,32 +223,163 @@ def bandpass_taps(rate: float, low: float | None, high: float | None, width: flo
 
 
 def filter_signal(x: np.ndarray, taps: np.ndarray) -> np.ndarray:
-    """Zero-phase: the symmetric filter's delay is taken out; ends are mirrored."""
-    half = len(taps) // 2
-    pad = np.pad(x, half, mode="reflect" if len(x) > half else "edge")
-    n = len(pad) + len(taps) - 1
-    full = np.fft.irfft(np.fft.rfft(pad, n) * np.fft.rfft(taps, n), n)
-    return full[2 * half : 2 * half + len(x)]
+    """Zero-phase along the last axis: the symmetric filter's delay is taken out; ends are mirrored."""
+    half, size = len(taps) // 2, x.shape[-1]
+    pad = np.pad(x, [(0, 0)] * (x.ndim - 1) + [(half, half)], mode="reflect" if size > half else "edge")
+    return _convolved(pad, taps)[..., :size]
 
 
-def filtered(df: DataFrame, rate: float, low: float | None = 1.0, high: float | None = 45.0, notch: tuple[float, ...] = (), samples: str = "samples") -> DataFrame:
-    """Samples through a band-pass and, where listed, notch filters of 2 Hz."""
-    filters = [bandpass_taps(rate, low, high)]
+def _convolved(padded: np.ndarray, taps: np.ndarray) -> np.ndarray:
+    """What a filter makes of signals that have half its length more at both ends."""
+    n = padded.shape[-1] + len(taps) - 1
+    return np.fft.irfft(np.fft.rfft(padded, n, axis=-1) * np.fft.rfft(taps, n), n, axis=-1)[..., len(taps) - 1 : padded.shape[-1]]
+
+
+def filter_chain(rate: float, low: float | None, high: float | None, notch: tuple[float, ...] = (), width: float = 1.0) -> list[np.ndarray]:
+    """The taps of a band-pass and of notch filters of 2 Hz."""
+    filters = [bandpass_taps(rate, low, high, width)]
     for f in notch:
-        taps = -bandpass_taps(rate, f - 1, f + 1)
+        taps = -bandpass_taps(rate, f - 1, f + 1, width)
         taps[len(taps) // 2] += 1
         filters.append(taps)
+    return filters
+
+
+#: Samples that are transformed together.
+TOGETHER = 2_000_000
+
+
+def filtered(df: DataFrame, rate: float, low: float | None = 1.0, high: float | None = 45.0, notch: tuple[float, ...] = (), samples: str = "samples", width: float = 1.0) -> DataFrame:
+    """Samples through a band-pass and, where listed, notch filters of 2 Hz; signals of equal length are filtered together."""
+    filters = filter_chain(rate, low, high, notch, width)
 
     @F.pandas_udf("array<double>")
     def run(column: pd.Series) -> pd.Series:
-        def one(x):
-            if x is None or len(x) == 0:
-                return x
-            y = np.asarray(x, float)
-            for taps in filters:
-                y = filter_signal(y, taps)
-            return y.tolist()
-
-        return column.map(one)
+        lengths, out = column.map(lambda x: 0 if x is None else len(x)).to_numpy(), column.to_numpy(copy=True)
+        for n in np.unique(lengths[lengths > 0]):
+            rows = np.flatnonzero(lengths == n)
+            step = max(1, TOGETHER // int(n))
+            for k in range(0, len(rows), step):
+                y = np.stack(column.iloc[rows[k : k + step]].tolist()).astype(float)
+                for taps in filters:
+                    y = filter_signal(y, taps)
+                for i, v in zip(rows[k : k + step], y, strict=True):
+                    out[i] = v
+        return pd.Series(out)
 
     return df.withColumn(samples, run(F.col(samples)))
+
+
+# --- recordings in chunks ---------------------------------------------------------------------------------------
+
+
+def cut_chunks(df: DataFrame, length: int, samples: str = "samples") -> DataFrame:
+    """Arrays cut into rows of length samples, numbered by chunk from 0; the last one holds the rest."""
+    count = F.ceil(F.size(samples) / length).cast("int")
+    numbers = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
+    return df.withColumn("chunk", F.explode(numbers)).withColumn(samples, F.slice(samples, F.col("chunk") * length + 1, F.lit(length)))
+
+
+def crop_chunks(df: DataFrame, rate: float, minutes: float, length: int, samples: str = "samples") -> DataFrame:
+    """The first minutes of recordings in chunks of length samples."""
+    left = F.lit(int(math.floor(minutes * 60 * rate)) or 1) - F.col("chunk") * length
+    return df.where(left > 0).withColumn(samples, F.slice(samples, F.lit(1), F.least(left, F.lit(length)).cast("int")))
+
+
+def epochs_of_chunks(df: DataFrame, length: int, size: int, samples: str = "samples") -> DataFrame:
+    """Epochs of size samples of recordings in chunks of length samples, which has to be a multiple of size."""
+    if length % size:
+        raise ValueError(f"chunks of {length} samples do not hold whole epochs of {size}")
+    return epochs(df, size, samples).withColumn("epoch", F.col("chunk") * (length // size) + F.col("epoch"))
+
+
+def filtered_chunks(df: DataFrame, keys: list[str], rate: float, low: float | None = 1.0, high: float | None = 45.0, notch: tuple[float, ...] = (), samples: str = "samples", width: float = 1.0) -> DataFrame:
+    """keys, chunk and samples of recordings in chunks, filtered as filtered() does whole ones; keys name a channel of a recording.
+
+    Each chunk sends its ends to its neighbours, as many samples as the filters reach; no array holds a recording,
+    and a long one is spread over tasks by its chunks. All chunks but a recording's last have to be as long as the
+    filters reach (an error else); a recording of one chunk is filtered as a whole. A missing or null chunk ends a
+    recording on both sides of it.
+    """
+    filters = filter_chain(rate, low, high, notch, width)
+    taps = filters[0]
+    for other in filters[1:]:
+        taps = np.convolve(taps, other)
+    reach = len(taps) // 2
+    x = F.col(samples).cast("array<double>")
+    piece = lambda to, part, values: F.struct(to.cast("long").alias("chunk"), F.lit(part).alias("part"), values.alias("x"))
+    own = F.col("chunk")
+    ends = F.array(piece(own, 0, x), piece(own + 1, -1, F.slice(x, F.greatest(F.size(x) - reach + 1, F.lit(1)), F.lit(reach))), piece(own - 1, 1, F.slice(x, 1, F.lit(reach))))
+    pieces = df.where(F.col(samples).isNotNull()).select(*keys, F.explode(ends).alias("_p")).select(*keys, "_p.chunk", "_p.part", "_p.x")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema)
+    count = len(keys)
+
+    def laid_out(left, here, right) -> np.ndarray:
+        if left is not None and len(left) < reach or right is not None and len(here) < reach:
+            raise ValueError(f"a chunk that is not the last one has fewer than {reach} samples")
+        row = np.concatenate([v for v in (left, here, right) if v is not None])
+        return np.pad(row, (reach - (0 if left is None else len(left)), reach - (0 if right is None else len(right))), mode="reflect")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, parts, types = None, {}, None
+        ready: list[tuple] = []
+
+        def close() -> None:
+            here = parts.get(0)
+            if here is not None and len(here):
+                alone = parts.get(-1) is None and parts.get(1) is None
+                ready.append((key, len(here), here if alone else laid_out(parts.get(-1), here, parts.get(1)), alone))
+
+        def flush() -> pa.RecordBatch:
+            done: dict[int, np.ndarray] = {}
+            alike: dict[tuple, list[int]] = {}
+            for i, (_, _, row, alone) in enumerate(ready):
+                alike.setdefault((alone, len(row)), []).append(i)
+            for (alone, _), members in alike.items():
+                y = np.stack([ready[i][2] for i in members])
+                if alone:
+                    for f in filters:
+                        y = filter_signal(y, f)
+                else:
+                    y = _convolved(y, taps)
+                done |= {i: v[: ready[i][1]] for i, v in zip(members, y, strict=True)}
+            columns = [pa.array([r[0][c] for r in ready], types[c]) for c in range(count + 1)]
+            out = pa.RecordBatch.from_arrays([*columns, pa.array([done[i] for i in range(len(ready))], pa.list_(pa.float64()))], names=[*keys, "chunk", samples])
+            ready.clear()
+            return out
+
+        for batch in batches:
+            types = types or [batch.schema.field(c).type for c in range(count + 1)]
+            column = batch.column(count + 2)
+            values, edges = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+            held = 0
+            for i, (*own, part) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(count + 2)), strict=True)):
+                if own != key:
+                    close()
+                    if held > TOGETHER:
+                        yield flush()
+                        held = 0
+                    key, parts = own, {}
+                parts[part] = values[edges[i] : edges[i + 1]].astype(float)
+                held += len(parts[part])
+            if ready:
+                yield flush()
+        if key is not None:
+            close()
+            if ready:
+                yield flush()
+
+    dealt = pieces.repartition(*keys, "chunk").sortWithinPartitions(*keys, "chunk", "part")
+    return dealt.mapInArrow(run, f"{kinds}, chunk bigint, `{samples}` array<double>")
+
+
+# --- annotations ------------------------------------------------------------------------------------------------
+
+
+def unannotated(df: DataFrame, annotations: DataFrame, keys: list[str], seconds: float, prefix: str = "bad", bucket: float = 60.0) -> DataFrame:
+    """Epochs (keys, epoch, ...) of seconds that overlap no annotation (keys, onset, duration, description) whose
+    description begins with prefix, in any case. Touching ends do not overlap; a recording without annotations keeps all."""
+    spans = annotations.where(F.lower("description").startswith(prefix.lower())).select(*keys, F.col("onset").cast("double").alias("start"), (F.col("onset") + F.col("duration")).cast("double").alias("stop"))
+    times = df.select(*keys, "epoch").distinct().withColumns({"start": F.col("epoch") * F.lit(float(seconds)), "stop": (F.col("epoch") + 1) * F.lit(float(seconds))})
+    hit = overlapping(times, spans, keys, bucket)
+    return df.join(hit.select(*keys, "epoch"), [*keys, "epoch"], "left_anti")

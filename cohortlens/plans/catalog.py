@@ -1015,4 +1015,4 @@ def streaming_epochs(spark, sf):
     return rounded(run_available(spark, sf, "events.parquet", schema, f"{folder}/out", f"{folder}/state"), 9)
 
 
-from cohortlens.plans import cohort_models  # noqa: E402, F401  registers its queries
+from cohortlens.plans import cohort_models, long_recordings  # noqa: E402, F401  they register their queries

@@ -24,8 +24,8 @@ def load_contract(path: str) -> dict:
 
 
 def project_path(contract: dict, value: str) -> str:
-    """An absolute path as it is, another below the project's folder."""
-    return value if os.path.isabs(value) else str(Path(contract["_project_root"]) / value)
+    """An absolute path or a URI as it is, another below the project's folder."""
+    return value if os.path.isabs(value) or "://" in value else str(Path(contract["_project_root"]) / value)
 
 
 def read_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -92,6 +92,20 @@ class Folder:
     def exists(self, name: str = "") -> bool:
         return self.fs.exists(self._of(f"{self.path}/{name}".rstrip("/")))
 
+    def size(self, name: str = "") -> int:
+        """Bytes of a file, or of all files below a folder; 0 if there is none."""
+        return self.fs.getContentSummary(self._of(f"{self.path}/{name}".rstrip("/"))).getLength() if self.exists(name) else 0
+
+    def listing(self, most: int = 10_000) -> list[dict]:
+        """path, size_bytes and modified (milliseconds) of the files at or below the folder, up to most; sorted by path."""
+        if not self.exists():
+            return []
+        out, files = [], self.fs.listFiles(self._of(self.path), True)
+        while files.hasNext() and len(out) < most:
+            f = files.next()
+            out.append({"path": f.getPath().toString(), "size_bytes": f.getLen(), "modified": f.getModificationTime()})
+        return sorted(out, key=lambda f: f["path"])
+
     def remove(self) -> None:
         self.fs.delete(self._of(self.path), True)
 
@@ -102,6 +116,7 @@ class Folder:
         return self.fs.rename(self._of(self.path), self._of(other))
 
     def write_text(self, name: str, text: str) -> None:
+        """A small file; folders above it are made."""
         out = self.fs.create(self._of(f"{self.path}/{name}"), True)
         try:
             out.write(bytearray(text.encode("utf-8")))

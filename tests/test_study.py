@@ -87,3 +87,34 @@ def test_montage_confounds_and_figures(spark):
     assert {(r["label"], r["low"], r["high"]) for r in study.topography(f).collect()} == {("x", 1.0, 3.0), ("y", 1.0, 3.0)}
     e = spark.createDataFrame([("x", "alpha", "a", "b", 0.5), ("x", "alpha", "a", "c", 0.9)], "label string, band string, source string, target string, wpli double")
     assert [r["target"] for r in study.display_edges(e, "label", 1).collect()] == ["c"]
+
+
+def test_vendor_files_in_chunks_give_the_epochs_of_whole_arrays(spark, tmp_path):
+    """Filtered, referenced, cropped, cut and rejected alike; annotations from the files or from a table."""
+    from pyspark.sql import functions as F
+
+    from cohortlens.operators import signal
+    from cohortlens.sources import recordings
+
+    rng = np.random.default_rng(4)
+    rows = [(f"sub-{i:02d}", c, (rng.normal(size=640 + 64 * i) * (1 if i else 3)).tolist()) for i in range(3) for c in ("Fp1", "O2")]
+    whole = spark.createDataFrame(rows, "participant_id string, channel string, samples array<double>")
+    chunks = signal.cut_chunks(whole, 64).withColumnRenamed("participant_id", "recording")
+    recordings.write_recordings(chunks, str(tmp_path / "eeg"), 64.0, "vhdr").collect()
+    (tmp_path / "eeg" / "sub-01.vhdr").write_text((tmp_path / "eeg" / "sub-01.vhdr").read_text().replace("DataFormat", "MarkerFile=sub-01.vmrk\nDataFormat"))
+    (tmp_path / "eeg" / "sub-01.vmrk").write_text("Brain\n[Marker Infos]\nMk1=Comment,BAD move,65,64,0\n")
+    spark.createDataFrame([("sub-01", 1.0, 1.0, "BAD move")], "participant_id string, onset double, duration double, description string").write.parquet(str(tmp_path / "notes.parquet"))
+    settings = {"rate": 64, "low": 2, "high": 20, "notch": [12], "width": 4, "epoch_seconds": 1, "max_minutes": 0.1, "reject": 12, "reject_annotations": True}
+    contract = {"_project_root": str(tmp_path), "paths": {"recordings": "eeg"}, "preprocess": settings}
+    tabled = contract | {"paths": {"recordings": "eeg", "annotations": f"file://{tmp_path}/notes.parquet"}}
+    assert study.is_vendor(str(tmp_path / "eeg")) and not study.is_vendor(str(tmp_path / "notes.parquet"))
+    usable, failures = study.split_chunk_failures(study.read_chunks(spark, contract), 64.0)
+    assert failures.count() == 0
+    key = lambda df: {(r["participant_id"], r["channel"], r["epoch"]): r["samples"] for r in df.collect()}
+    want = key(study.preprocess(whole, settings, study.read_annotations(spark, tabled)))
+    for notes in (study.read_annotations(spark, contract), study.read_annotations(spark, tabled)):
+        got = key(study.preprocess_chunks(usable, settings, notes))
+        assert got.keys() == want.keys() and all(np.abs(np.subtract(got[k], want[k])).max() < 1e-5 for k in want)
+    assert {e for p, _, e in want if p == "sub-01"} == {0, 2, 3, 4, 5} and len({k[0] for k in want}) >= 2
+    slow = study.split_chunk_failures(study.read_chunks(spark, contract).withColumn("rate", F.when(F.col("participant_id") == "sub-02", 32.0).otherwise(F.col("rate"))), 64.0)[1]
+    assert [r["error"] for r in slow.collect()] == ["Fp1: another sampling rate"]
