@@ -168,7 +168,8 @@ def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Encode and decode each row's whole text: doc_id, ids, decoded.
 
     ids (binary) holds the token ids as little-endian unsigned 32-bit integers, decoded (binary) the bytes
-    that decoding these ids gives. Special strings are ordinary text. A null or empty text gives empty
+    that decoding these ids gives. Special strings are ordinary text. A very long text is encoded whole, match by
+    match, in time linear in its length, and is held with its ids in one task's memory. A null or empty text gives empty
     binaries; a null doc_id stays null; repeated rows give repeated rows; other columns of docs are not
     read; an empty table gives an empty one. Each row stands alone, so nothing is shuffled.
     """

@@ -502,7 +502,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot:
 
     A null text is an empty one. A row with a null doc_id takes no part and keeps all its bytes. Rows of the same
     doc_id never count against one another, so repeated rows get equal results. Texts shorter than the window
-    keep everything. Other columns are not read; an empty table gives an empty result.
+    keep everything; very long ones are taken whole, cut into pieces that overlap by a window. Other columns are not
+    read; an empty table gives an empty result.
     """
     if not 2 * 8 <= gram <= window or gram != 24 or window - gram > 48:
         raise ValueError("windows of 24 to 72 bytes with grams of 24 are supported")

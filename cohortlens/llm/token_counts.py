@@ -94,7 +94,8 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 4096) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit (n_tokens > limit) of each row's whole text.
 
     No begin, end or special tokens are added and special strings are ordinary text. A null or empty text
-    counts 0; a null doc_id stays null; repeated rows give repeated rows; other columns are not read; an
+    counts 0; a very long one is counted whole, part by part where no merge crosses; a null doc_id stays null; repeated rows give
+    repeated rows; other columns are not read; an
     empty table gives an empty one. Nothing is shuffled and nothing but counts leaves the workers.
     """
 

@@ -62,6 +62,8 @@ def test_token_counts_equal_library(spark):
     got = {r["doc_id"]: r for r in token_counts.count_tokens(df, path).collect()}
     assert got[1]["over_limit"] and (got[2]["n_tokens"], got[2]["n_bytes"]) == (0, 0) and got[None]["n_bytes"] == 2
     assert token_counts.count_tokens(df.limit(0), path).count() == 0
+    again = token_counts.count_tokens(df.unionByName(df), path).groupBy("doc_id", "n_bytes", "n_tokens", "over_limit").count().collect()
+    assert all(r["count"] % 2 == 0 for r in again)  # repeated rows are rows each
 
 
 def test_cuts_do_not_change_merges():
