@@ -112,6 +112,42 @@ def cohort_audit(df: DataFrame, label: str, expected: dict[str, int]) -> DataFra
     return each.unionByName(checks_of(row, check(F.col("n") == total, "cohort:total", F.concat(F.lit("n="), F.col("n").cast("string"), F.lit(f", expected={total}")))))
 
 
+#: Fixed values of an archive's audit: channels that are left out, samples of a channel, groups, and the checks' names.
+EXCLUDED_CHANNELS, ARCHIVE_SAMPLES, ARCHIVE_GROUPS = ("F1", "F2"), 1024, {"AD": 80, "Healthy": 12}
+ARCHIVE_NAMES = {
+    "total": "cohort:total-subjects", "group": "cohort:group:", "common": "channels:common-19-present", "extra": "channels:no-unexpected", "excluded": "channels:f1f2-excluded",
+    "uniform": "channels:uniform-within-group", "samples": "integrity:sample-counts",
+}
+
+
+def archive_audit(index: DataFrame, samples: DataFrame, groups: dict[str, int] | None = None, expected: int = ARCHIVE_SAMPLES, excluded: tuple[str, ...] = EXCLUDED_CHANNELS) -> DataFrame:
+    """Checks of an archive's cohort: subjects in all and by expected group, common channels present, no unexpected ones,
+    one channel set within each group, and as many samples as expected in every channel.
+
+    index has group, subject, channels, missing and extra for each subject; samples has group, subject, channel and n,
+    -1 for a channel that did not parse. Details count what is wrong; lists of subjects are the tables' own. What
+    has none is 0.
+    """
+    groups = ARCHIVE_GROUPS if groups is None else groups
+    odd = F.size(F.array_except("extra", F.array(*map(F.lit, excluded)))) if excluded else F.size("extra")
+    count = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    one = index.agg(F.count("*").alias("n"), count(F.size("missing") > 0).alias("missing"), count(odd > 0).alias("extra"), *(count(F.coalesce(F.col("group") == g, F.lit(False))).alias(f"g{i}") for i, g in enumerate(groups)))
+    sets = index.groupBy("group").agg(F.countDistinct("channels").alias("k")).agg(count(F.col("k") > 1).alias("uneven"))
+    bad = samples.agg(count(F.coalesce(F.col("n") != expected, F.lit(True))).alias("wrong"), count(F.coalesce(F.col("n") < 0, F.lit(True))).alias("failed"))
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    total = sum(groups.values())
+    return checks_of(
+        one.crossJoin(sets).crossJoin(bad),  # one row each
+        check(F.col("n") == total, ARCHIVE_NAMES["total"], text("total=", F.col("n"), f" expected={total}")),
+        *(check(F.col(f"g{i}") == want, f"{ARCHIVE_NAMES['group']}{g}", text(f"{g}=", F.col(f"g{i}"), f" expected={want}")) for i, (g, want) in enumerate(groups.items())),
+        check(F.col("missing") == 0, ARCHIVE_NAMES["common"], text("subjects_missing=", F.col("missing"))),
+        check(F.col("extra") == 0, ARCHIVE_NAMES["extra"], text("subjects_with_unexpected=", F.col("extra")), "warn"),
+        check(F.lit(True), ARCHIVE_NAMES["excluded"], F.lit(f"excluded={sorted(excluded)}")),
+        check(F.col("uneven") == 0, ARCHIVE_NAMES["uniform"], text("groups_with_several_sets=", F.col("uneven")), "warn"),
+        check(F.col("wrong") == 0, ARCHIVE_NAMES["samples"], text("failures=", F.col("failed"), ", other counts=", F.col("wrong") - F.col("failed"))),
+    )
+
+
 def run_audit(spark: SparkSession, features: DataFrame, baseline: DataFrame, statistics: DataFrame, metrics: DataFrame, predictions: DataFrame, failures: DataFrame | None = None) -> DataFrame:
     """Content checks of a run's tables: unique participants, finite values, baseline total, q range, metric range,
     out-of-fold coverage and failures. One aggregation for each table."""

@@ -19,14 +19,23 @@ def present(long: DataFrame, value: str = "value") -> DataFrame:
     return long.withColumn(value, nan_to_null(F.col(value).cast("double"))).where(F.col(value).isNotNull())
 
 
-def cumulated(counts: DataFrame, by: list[str], value: str = "value", of: tuple[str, ...] = ("ties",), slices: int = 16) -> DataFrame:
+#: Distinct values of a feature that a slice is to hold, and slices at most.
+SLICE_ROWS, MOST_SLICES = 20_000, 256
+
+
+def cumulated(counts: DataFrame, by: list[str], value: str = "value", of: tuple[str, ...] = ("ties",), slices: int | None = None) -> DataFrame:
     """Adds before_<c> (the sum over smaller values) and total_<c> (that over all values) within by, for columns of.
 
     counts has one row for each by and value. Each feature's values are cut at approximate quantiles, so that
-    they are ordered in slices side by side and no task holds a whole feature. The cuts affect the work only:
-    sums are exact.
+    they are ordered in slices side by side and no task holds a whole feature: as many slices as its number of values
+    asks for, or as given. The cuts affect the work only: sums are exact.
     """
-    cuts = counts.groupBy(*by).agg(F.percentile_approx(value, [k / slices for k in range(1, slices)], 1000).alias("_cuts"), *(F.sum(c).alias(f"total_{c}") for c in of))
+    parts = MOST_SLICES if slices is None else slices
+    wanted = F.least(F.lit(MOST_SLICES), F.ceil(F.count("*") / SLICE_ROWS)).cast("int") if slices is None else F.lit(slices)
+    every = F.percentile_approx(value, [k / parts for k in range(1, max(2, parts))], 1000)
+    cuts = counts.groupBy(*by).agg(every.alias("_all"), wanted.alias("_s"), *(F.sum(c).alias(f"total_{c}") for c in of))
+    numbers = F.when(F.col("_s") > 1, F.sequence(F.lit(1), F.col("_s") - 1)).otherwise(F.array().cast("array<int>"))
+    cuts = cuts.withColumn("_cuts", F.transform(numbers, lambda k: F.get("_all", F.floor(k * F.lit(parts) / F.col("_s")).cast("int") - 1))).drop("_all", "_s")
     sliced = counts.join(cuts, by) if by else counts.crossJoin(F.broadcast(cuts))  # one row
     sliced = sliced.withColumn("_slice", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
     sums = sliced.groupBy(*by, "_slice").agg(*(F.sum(c).alias(f"_n_{c}") for c in of))
@@ -42,7 +51,7 @@ RANK = "before_ties + (ties + 1) / 2D"
 GAP = "abs((before_a + a) / nullif(total_a, 0) - (before_b + b) / nullif(total_b, 0))"
 
 
-def average_ranks(long: DataFrame, by: list[str], value: str = "value", slices: int = 16) -> DataFrame:
+def average_ranks(long: DataFrame, by: list[str], value: str = "value", slices: int | None = None) -> DataFrame:
     """Adds rank (average rank of value within by), ties (rows with this value) and total (rows of by)."""
     ranked = cumulated(long.groupBy(*by, value).agg(F.count("*").alias("ties")), by, value, slices=slices)
     return long.join(ranked.select(*by, value, F.expr(RANK).alias("rank"), "ties", F.col("total_ties").alias("total")), [*by, value])
@@ -61,7 +70,7 @@ def quantile_of(c: str, probs: dict[str, float], value: str = "value") -> tuple[
     return aggs, columns
 
 
-def quantiles(long: DataFrame, by: list[str], probs: dict[str, float], value: str = "value", slices: int = 16) -> DataFrame:
+def quantiles(long: DataFrame, by: list[str], probs: dict[str, float], value: str = "value", slices: int | None = None) -> DataFrame:
     """by and one column for each named probability: exact quantiles with linear interpolation."""
     placed = cumulated(long.groupBy(*by, value).agg(F.count("*").alias("ties")), by, value, slices=slices)
     aggs, columns = quantile_of("ties", probs, value)
@@ -148,13 +157,17 @@ def chi_square(table: DataFrame, a: str, b: str) -> DataFrame:
     """
     cells = table.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count("*").alias("o"))
     rows, cols = cells.groupBy(a).agg(F.sum("o").alias("ra")), cells.groupBy(b).agg(F.sum("o").alias("cb"))
-    shape = rows.agg(F.count("*").alias("r"), F.sum("ra").alias("n")).crossJoin(cols.agg(F.count("*").alias("c")))
-    full = rows.crossJoin(F.broadcast(cols)).join(cells, [a, b], "left").crossJoin(F.broadcast(shape))
+    shape = rows.agg(F.count("*").alias("r"), F.sum("ra").alias("n"), F.min("ra").alias("low_r"), F.sum(1 / F.col("ra")).alias("ir"))
+    shape = shape.crossJoin(cols.agg(F.count("*").alias("c"), F.min("cb").alias("low_c"), F.sum(1 / F.col("cb")).alias("ic")))  # one row each
     expected = F.col("ra") * F.col("cb") / F.col("n")
-    yates = F.when((F.col("r") == 2) & (F.col("c") == 2), F.lit(0.5)).otherwise(0.0)
-    gap = F.abs(F.coalesce("o", F.lit(0)) - expected)
-    part = F.pow(gap - F.least(yates, gap), F.lit(2)) / expected
-    out = full.agg(F.sum(part).alias("statistic"), F.first("r").alias("r"), F.first("c").alias("c"), F.first("n").alias("n"), F.min(expected).alias("min_expected")).where("n is not null")
+    met = cells.join(rows, a).join(cols, b).crossJoin(F.broadcast(shape))
+    names = ("n", "r", "c", "low_r", "low_c", "ir", "ic")
+    # Cells without rows are not made: each adds what is expected of it, and all that is expected is n.
+    sums = met.agg(F.sum(F.pow(F.col("o") - expected, F.lit(2)) / expected).alias("present"), F.sum(expected).alias("covered"), F.max(F.abs(F.col("o") - expected)).alias("gap"), *(F.first(x).alias(x) for x in names)).where("n is not null")
+    # In a table of two rows and columns all cells are as far from what is expected.
+    yates = F.pow(F.col("gap") - F.least(F.lit(0.5), F.col("gap")), F.lit(2)) * F.col("n") * F.col("ir") * F.col("ic")
+    statistic = F.when((F.col("r") == 2) & (F.col("c") == 2), yates).otherwise(F.col("present") + F.greatest(F.lit(0.0), F.col("n") - F.col("covered")))
+    out = sums.select(statistic.alias("statistic"), "r", "c", "n", (F.col("low_r") * F.col("low_c") / F.col("n")).alias("min_expected"))
     df = (F.col("r") - 1) * (F.col("c") - 1)
     least = F.least("r", "c") - 1
     return out.select("statistic", df.cast("long").alias("df"), "n", F.when(df > 0, chi2_sf("statistic", df.cast("double"))).alias("p_value"), F.sqrt(F.col("statistic") / F.when(least > 0, F.col("n") * least)).alias("cramers_v"), "min_expected")

@@ -868,14 +868,38 @@ k as (select g, s, list_sort(list_distinct(list(ch))) as channels from m where (
 select g as "group", s as subject, array_to_string(channels, ',') as channels, array_to_string(list_filter(['Cz', 'Fp1'], lambda x: not list_contains(channels, x)), ',') as missing, array_to_string(list_filter(channels, lambda x: x = 'X9'), ',') as extra from k""")
 def archive_index(spark, sf):
     """Channels of the subjects of an archive's listing, pooled over conditions."""
+    return _listed(spark, sf).withColumns({n: F.array_join(n, ",") for n in ("channels", "missing", "extra")})
+
+
+def _listed(spark, sf):
     from cohortlens.sources import archive
 
     c = table(spark, sf, "customer", "c_custkey", "c_nationkey")
     group, condition = F.when(F.col("c_custkey") % 2 == 0, "AD").otherwise("Healthy"), F.when(F.col("c_custkey") % 3 == 0, "Eyes_open").otherwise("Eyes_closed")
     channel = F.when(F.col("c_nationkey") % 3 == 0, "Fp1").when(F.col("c_nationkey") % 3 == 1, "Cz").otherwise("X9")
     name = F.concat_ws("/", F.lit("EEG_data"), group, condition, F.concat(F.lit("Paciente"), F.floor(F.col("c_custkey") / 6).cast("string")), F.concat(channel, F.lit(".txt")))
-    out = archive.index_members(c.select(name.alias("name")), "Eyes_closed", ("Cz", "Fp1"))
-    return out.withColumns({n: F.array_join(n, ",") for n in ("channels", "missing", "extra")})
+    return archive.index_members(c.select(name.alias("name")), "Eyes_closed", ("Cz", "Fp1"))
+
+
+@query("""with m as (select case when c_custkey % 2 = 0 then 'AD' else 'Healthy' end as g, case when c_custkey % 3 = 0 then 'Eyes_open' else 'Eyes_closed' end as c, 'Paciente' || (c_custkey // 6) as s, case c_nationkey % 3 when 0 then 'Fp1' when 1 then 'Cz' else 'X9' end as ch from customer),
+k as (select g, s, list_sort(list_distinct(list(ch))) as channels from m where (g, s) in (select (g, s) from m where c = 'Eyes_closed') group by all),
+t as (select count(*) as n, count(*) filter (g = 'AD') as ad, count(*) filter (g = 'Healthy') as hc, count(*) filter (not list_contains(channels, 'Cz') or not list_contains(channels, 'Fp1')) as missing, count(*) filter (list_contains(channels, 'X9')) as extra from k),
+u as (select count(*) as uneven from (select g from k group by g having count(distinct channels) > 1)),
+v as (select count(*) filter (c_custkey % 97 = 0) as failed, count(*) filter (c_custkey % 97 <> 0 and c_custkey % 89 = 0) as other from customer)
+select 'cohort:total-subjects' as name, case when n = 300 then 'pass' else 'fail' end as status, 'total=' || n || ' expected=300' as detail from t
+union all select 'cohort:group:AD', case when ad = 250 then 'pass' else 'fail' end, 'AD=' || ad || ' expected=250' from t
+union all select 'cohort:group:Healthy', case when hc = 50 then 'pass' else 'fail' end, 'Healthy=' || hc || ' expected=50' from t
+union all select 'channels:common-19-present', case when missing = 0 then 'pass' else 'fail' end, 'subjects_missing=' || missing from t
+union all select 'channels:no-unexpected', case when extra = 0 then 'pass' else 'warn' end, 'subjects_with_unexpected=' || extra from t
+union all select 'channels:f1f2-excluded', 'pass', 'excluded=[''F1'', ''F2'']'
+union all select 'channels:uniform-within-group', case when uneven = 0 then 'pass' else 'warn' end, 'groups_with_several_sets=' || uneven from u
+union all select 'integrity:sample-counts', case when failed + other = 0 then 'pass' else 'fail' end, 'failures=' || failed || ', other counts=' || other from v""")
+def archive_audit(spark, sf):
+    """An archive's cohort, its channels and the numbers of samples of its channel files."""
+    c = table(spark, sf, "customer", "c_custkey")
+    n = F.when(F.col("c_custkey") % 97 == 0, -1).when(F.col("c_custkey") % 89 == 0, 1000).otherwise(1024)
+    samples = c.select(F.lit("g").alias("group"), F.col("c_custkey").alias("subject"), F.lit("Cz").alias("channel"), n.alias("n"))
+    return integrity.archive_audit(_listed(spark, sf), samples, {"AD": 250, "Healthy": 50})
 
 
 # --- text rules -----------------------------------------------------------------------------------------------

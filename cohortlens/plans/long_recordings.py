@@ -53,8 +53,9 @@ MIRROR = "case when o.i + m < 0 then -(o.i + m) when o.i + m >= o.n then 2 * (o.
 
 @query(
     f"""with {TAPS_SQL}, x as (select vec_id % 7 as recording, vec_id // 7 * 64 + i - 1 as i, embedding[i]::double as v, count(*) over (partition by vec_id % 7) as n from embeddings, range(1, 65) s(i)),
-y as (select o.recording, o.i, o.n, sum(pass * x.v) as v from x o, sinc, x where x.recording = o.recording and x.i = {MIRROR} group by all),
-z as (select o.recording, o.i, sum(notch * y.v) as v from y o, sinc, y where y.recording = o.recording and y.i = {MIRROR} group by all)
+at_ as (select o.recording, o.i, m, pass, notch, {MIRROR} as j from x o, sinc),
+y as (select at_.recording, at_.i, sum(pass * x.v) as v from at_ join x on x.recording = at_.recording and x.i = at_.j group by all),
+z as (select at_.recording, at_.i, sum(notch * y.v) as v from at_ join y on y.recording = at_.recording and y.i = at_.j group by all)
 select recording, i as position, {r('v')} as value from z"""
 )
 def filtered_recordings(spark, sf):
