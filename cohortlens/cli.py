@@ -12,7 +12,7 @@ from pathlib import Path
 from cohortlens.operators.integrity import GateError, roll_up
 from cohortlens.plans import study
 from cohortlens.session import build_session
-from cohortlens.sources import artifacts
+from cohortlens.sources import artifacts, commits
 
 
 def main(args: list[str] | None = None) -> int:
@@ -24,6 +24,7 @@ def main(args: list[str] | None = None) -> int:
         sub.add_argument("--output-dir")
         if name == "run":
             sub.add_argument("--subjects-limit", type=int)
+            sub.add_argument("--log", action="store_true", help="publish by a log of commits, which needs no rename")
         if name == "audit":
             sub.add_argument("--strict", action="store_true")
     given = parser.parse_args(args)
@@ -43,7 +44,7 @@ def main(args: list[str] | None = None) -> int:
                 print(f"missing: {what}", file=sys.stderr)
                 return 2
         try:
-            print(study.run_study(spark, contract, given.subjects_limit, out))
+            print(study.run_study(spark, contract, given.subjects_limit, out, given.log))
         except GateError as e:
             print(f"refused: {e}", file=sys.stderr)
             return 1
@@ -51,6 +52,7 @@ def main(args: list[str] | None = None) -> int:
     if not there(out):
         print(f"missing: {out}", file=sys.stderr)
         return 2
+    out = commits.published(spark, out)
     if given.command == "verify":
         wrong = study.verify_manifest(spark, out).collect()
         print("\n".join(f"{r['path']}: {r['problem']}" for r in wrong) or "all files as in the manifest")

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from cohortlens.operators import connectivity, glm, integrity, metrics, ml, relational, signal, stats
 from cohortlens.sources import archive, artifacts, participants
 from cohortlens.sources import recordings as recordings_source
+from cohortlens.sources.commits import Log
 
 STEPS = ("read participants", "preprocess recordings", "extract features", "test features", "validate models", "write artifacts", "audit the run")
 #: What the audit names an artifact, and where it is.
@@ -242,10 +243,24 @@ def confound_tests(table: DataFrame, label: str, numbers: list[str], category: s
     return out
 
 
-def run_study(spark: SparkSession, contract: dict, subjects_limit: int | None = None, output_dir: str | None = None) -> str:
-    """Run a contract and publish its artifacts in one step; returns the folder. The audit's failures raise before."""
+def run_study(spark: SparkSession, contract: dict, subjects_limit: int | None = None, output_dir: str | None = None, log: bool = False) -> str:
+    """Run a contract and publish its artifacts in one step; returns the folder. The audit's failures raise before.
+
+    With log the run stays where it is written and a commit makes it current, which needs no rename.
+    """
     check_contract(contract)
     out = output_dir or artifacts.project_path(contract, contract["paths"]["output_dir"])
+    if log:
+        commits = Log(spark, out)
+        run, parent = commits.begin()
+        artifacts.Folder(spark, run).make()
+        try:
+            _fill(spark, contract, subjects_limit, run)
+        except BaseException:
+            artifacts.Folder(spark, run).remove()
+            raise
+        commits.commit(run, parent)
+        return commits.path()
     staging = f"{out}.staging"
     folder = artifacts.Folder(spark, staging)
     folder.remove()

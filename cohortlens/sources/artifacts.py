@@ -115,6 +115,37 @@ class Folder:
     def move_to(self, other: str) -> bool:
         return self.fs.rename(self._of(self.path), self._of(other))
 
+    def read_text(self, name: str) -> str:
+        stream = self.fs.open(self._of(f"{self.path}/{name}"))
+        try:
+            return bytes(self.jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode("utf-8", "replace")
+        finally:
+            stream.close()
+
+    def create_text(self, name: str, text: str) -> bool:
+        """A small file, unless there is one of that name: whether it was made. The file system decides between writers."""
+        self.make()
+        target = self._of(f"{self.path}/{name}")
+        if self.fs.getUri().getScheme() == "file":
+            # Hadoop looks first and creates then on local disks; an exclusive open is one step.
+            try:
+                with open(target.toUri().getPath(), "x", encoding="utf-8") as out:
+                    out.write(text)
+            except FileExistsError:
+                return False
+            return True
+        try:
+            out = self.fs.create(target, False)
+        except Exception as e:  # py4j hands on the JVM's exception
+            if "AlreadyExists" in str(e):
+                return False
+            raise
+        try:
+            out.write(bytearray(text.encode("utf-8")))
+        finally:
+            out.close()
+        return True
+
     def write_text(self, name: str, text: str) -> None:
         """A small file; folders above it are made."""
         out = self.fs.create(self._of(f"{self.path}/{name}"), True)

@@ -58,6 +58,9 @@ def test_run_audit_verify(spark, project, capsys):
     assert cli.main(["audit", config, "--strict"]) == 0 and cli.main(["verify", config]) == 0
     (out / "plan.md").write_text("changed")
     assert cli.main(["verify", config]) == 1
+    logged = str(project / "logged")
+    assert cli.main(["run", config, "--log", "--output-dir", logged]) == 0 and cli.main(["verify", config, "--output-dir", logged]) == 0
+    assert cli.main(["audit", config, "--strict", "--output-dir", logged]) == 0 and len(capsys.readouterr().out.splitlines()) > 22
     assert cli.main(["audit", str(project / "nothing.yaml")]) == 2
 
 
