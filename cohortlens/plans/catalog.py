@@ -1039,4 +1039,4 @@ def streaming_epochs(spark, sf):
     return rounded(run_available(spark, sf, "events.parquet", schema, f"{folder}/out", f"{folder}/state"), 9)
 
 
-from cohortlens.plans import cohort_models, long_recordings, text_audits  # noqa: E402, F401  they register their queries
+from cohortlens.plans import cohort_models, long_recordings, revisions, text_audits  # noqa: E402, F401  they register their queries
