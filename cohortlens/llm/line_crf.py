@@ -26,11 +26,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import map_texts, read
+from cohortlens.llm.common import map_texts, materialise, read
 from cohortlens.llm.textstats import DIGITS, MARKS, STOPS, SYMBOLS, UPPER, base_counts, having, split
 
-#: The fit's bound on labelled documents; it says how much is learned from, not what is decoded. SEGMENT cuts no line off.
-MAX_DOCS, SEGMENT = 3000, 16
+#: The fit's bounds on labelled documents and on their lines in all; they say how much is learned from, not what is
+#: decoded. SEGMENT cuts no line off.
+MAX_DOCS, MAX_LINES, SEGMENT = 3000, 500_000, 16
 CONTENT_SHARE, GOOD_SHARE, BAD_SHARE = 0.5, 0.9, 0.1
 FEATURES = ("bias", "words", "symbols", "marks", "upper", "digits", "stops", "word_length", "duplicate", "distinct", "single_word")
 
@@ -202,10 +203,12 @@ def _marginals(scores: np.ndarray, move: np.ndarray, real: np.ndarray) -> tuple[
     return both.transpose(1, 0, 2), joint.sum(0)
 
 
-def fit_line_crf(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> LineCRF:
+def fit_line_crf(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_lines: int = MAX_LINES) -> LineCRF:
     """Fit on documents of labels (doc_id, quality) with crc32(doc_id as text) mod 5 other than 0.
 
-    Takes at most max_docs documents, all their lines; an id with two different labels or none is left out.
+    Takes at most max_docs documents with max_lines lines in all, and all lines of each: in a hashed order, a document that
+    no longer fits is passed over. An id with two different labels or none is left out. Lines are counted on the
+    executors, and only those of the documents taken reach the driver.
     """
     chosen = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
@@ -225,18 +228,26 @@ def fit_line_crf(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -
     ids = F.broadcast(spark.createDataFrame([(i,) for i in quality], "doc_id bigint"))  # max_docs rows at most
 
     def run(ids, texts):
-        out: dict[str, list] = {"doc_id": ids, "name": [], "features": [], "sizes": []}
+        out: dict[str, list] = {"doc_id": ids, "name": [], "n_lines": [], "features": [], "sizes": []}
         for text in texts:
             features, sizes = line_features(split(text)[2])
             out["name"].append(hashlib.sha256(text.encode("utf-8")).digest())
+            out["n_lines"].append(len(features))
             out["features"].append(features.astype("<f4").tobytes())
             out["sizes"].append(sizes.astype("<i8").tobytes())
         return out
 
     few = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
-    seen = map_texts(few, run, "doc_id bigint, name binary, features binary, sizes binary")
+    seen = materialise(map_texts(few, run, "doc_id bigint, name binary, n_lines bigint, features binary, sizes binary"), "lines")
     # Of several texts of an id the one of the least digest counts, so that the field is always the same.
-    rows = seen.groupBy("doc_id").agg(F.min(F.struct("name", "features", "sizes")).alias("r")).select("doc_id", "r.features", "r.sizes").orderBy("doc_id").toPandas()
+    counts = {r["doc_id"]: r["n"] for r in seen.groupBy("doc_id").agg(F.min(F.struct("name", "n_lines")).alias("r")).select("doc_id", F.col("r.n_lines").alias("n")).collect()}  # max_docs rows at most
+    taken, left = [], max_lines
+    for i in quality:  # in the hashed order of their choice
+        if counts.get(i, max_lines + 1) <= left:
+            taken.append((i,))
+            left -= counts[i]
+    some = seen.join(F.broadcast(spark.createDataFrame(taken, "doc_id bigint")), "doc_id", "left_semi")
+    rows = some.groupBy("doc_id").agg(F.min(F.struct("name", "features", "sizes")).alias("r")).select("doc_id", "r.features", "r.sizes").orderBy("doc_id").toPandas()
     data = [
         (np.frombuffer(f, "<f4").astype(float).reshape(-1, len(FEATURES)), np.frombuffer(n, "<i8"), quality[i])
         for i, f, n in zip(rows["doc_id"].tolist(), rows["features"], rows["sizes"], strict=True)

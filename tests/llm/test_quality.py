@@ -127,6 +127,20 @@ def test_fit_reads_every_line_and_one_text_of_an_id(spark, labelled):
     assert marks(crf, "\n".join(good[0].split("\n")[:1] + bad[:3])).endswith("bbb")
 
 
+def test_a_document_of_too_many_lines_is_passed_over_in_the_fit(spark):
+    """Its lines never reach the driver, and the rest is fitted as without it."""
+    line = lambda i, k: f"good words stand in line {i} {k} of this text." if i % 2 else f"!!! {k} $$$ BUY {i} !!!"
+    rows = [(i, "\n".join(line(i, k) for k in range(12))) for i in range(40)]
+    long = (1001, "\n".join(f"odd {k % 7} ?" for k in range(5000)))
+    df = lambda r: spark.createDataFrame(r, "doc_id bigint, text string")
+    labels = lambda r: spark.createDataFrame([(i, i % 2) for i, _ in r], "doc_id bigint, quality int")
+    with_it = line_crf.fit_line_crf(df([*rows, long]), labels([*rows, long]), max_lines=1000)
+    without = line_crf.fit_line_crf(df(rows), labels(rows))
+    assert (with_it.emit == without.emit).all() and (with_it.move == without.move).all() and without.emit.any()
+    none = line_crf.fit_line_crf(df(rows), labels(rows), max_lines=5)
+    assert (none.emit == line_crf.LineCRF.plain().emit).all()
+
+
 def test_gam_held_out(labelled):
     x, y = np.array([gam.features(t) for _, _, t in labelled]), np.array([q for _, q, _ in labelled])
     h = np.array([held(i) for i, _, _ in labelled])
