@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortlens.functions.scalar import is_finite
+from cohortlens.operators.relational import dimension
 
 CHECKS = "name string, status string, detail string"
 #: Fixed value: marks the byte layout of a fingerprint, so that another layout never compares equal.
@@ -101,8 +102,7 @@ def conflicting_clusters(df: DataFrame, digest: str, label: str) -> DataFrame:
 def cohort_audit(df: DataFrame, label: str, expected: dict[str, int]) -> DataFrame:
     """Checks of the rows of each expected label, of the total, and of labels that are not expected."""
     counts = df.groupBy(label).agg(F.count("*").alias("n"))
-    table = df.sparkSession.createDataFrame(list(expected.items()), f"{label} string, want bigint")
-    both = counts.join(F.broadcast(table), label, "full_outer")
+    both = counts.join(dimension(df.sparkSession, list(expected.items()), f"{label} string, want bigint"), label, "full_outer")
     each = both.select(
         F.concat(F.lit("cohort:"), F.coalesce(F.col(label), F.lit("null"))).alias("name"), F.when(F.col("want").isNull(), "warn").when(F.coalesce("n", F.lit(0)) == F.col("want"), "pass").otherwise("fail").alias("status"),
         F.concat(F.lit("n="), F.coalesce("n", F.lit(0)).cast("string"), F.lit(", expected="), F.coalesce(F.col("want").cast("string"), F.lit("none"))).alias("detail"),

@@ -102,12 +102,32 @@ def paired_ids(left: DataFrame, right: DataFrame, key: str, label: str, strict:
     return out
 
 
+#: Rows of a configured dimension at most: what is sent to every task is checked against it.
+MOST_DIMENSION = 10_000
+
+
+def dimension(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A frame of configured rows, marked to be sent to every task; an error beyond MOST_DIMENSION rows."""
+    if len(rows) > MOST_DIMENSION:
+        raise ValueError(f"a dimension of more than {MOST_DIMENSION} rows")
+    return F.broadcast(spark.createDataFrame(rows, schema))
+
+
+def bounded(frame: DataFrame, most: int = MOST_DIMENSION) -> DataFrame:
+    """A frame marked to be sent to every task; a job that meets more than most rows of it fails.
+
+    The check is an aggregate joined as one row, so that no row is read on the driver.
+    """
+    size = frame.agg(F.count("*").alias("_n")).select(F.when(F.col("_n") > most, F.raise_error(F.lit(f"a dimension of more than {most} rows"))).otherwise(F.lit(True)).alias("_fits"))
+    return F.broadcast(frame.crossJoin(F.broadcast(size)).where("_fits").drop("_fits"))
+
+
 def bands_table(spark: SparkSession, bands: dict[str, tuple[float, float]] = BANDS) -> DataFrame:
-    return spark.createDataFrame([(b, float(lo), float(hi)) for b, (lo, hi) in bands.items()], "band string, low double, high double")
+    return dimension(spark, [(b, float(lo), float(hi)) for b, (lo, hi) in bands.items()], "band string, low double, high double")
 
 
 def in_band(points: DataFrame, bands: DataFrame, frequency: str = "frequency") -> DataFrame:
-    """Range join of points with half-open bands. Bands are a configured dimension of a few rows."""
+    """Range join of points with half-open bands, a configured dimension (bands_table)."""
     return points.join(F.broadcast(bands), (F.col(frequency) >= F.col("low")) & (F.col(frequency) < F.col("high")))
 
 
@@ -129,8 +149,7 @@ def overlapping(df: DataFrame, spans: DataFrame, keys: list[str], width: float,
 def membership(df: DataFrame, groups: dict[str, list], key: str, name: str = "region") -> DataFrame:
     """Many-to-many join of key with the groups that list it."""
     kind = df.schema[key].dataType.simpleString()
-    table = df.sparkSession.createDataFrame([(g, m) for g, members in groups.items() for m in members], f"{name} string, {key} {kind}")
-    return df.join(F.broadcast(table), key)
+    return df.join(dimension(df.sparkSession, [(g, m) for g, members in groups.items() for m in members], f"{name} string, {key} {kind}"), key)
 
 
 def upper_pairs(df: DataFrame, by: list[str], item: str, value: str) -> DataFrame:
@@ -144,11 +163,11 @@ def upper_pairs(df: DataFrame, by: list[str], item: str, value: str) -> DataFram
 
 
 def grid(**axes: DataFrame) -> DataFrame:
-    """Cross product of small configured frames, such as models, folds and parameters."""
+    """Cross product of small configured frames, such as models, folds and parameters; each has MOST_DIMENSION rows at most."""
     frames = list(axes.values())
     out = frames[0]
     for frame in frames[1:]:
-        out = out.crossJoin(F.broadcast(frame))
+        out = out.crossJoin(bounded(frame))
     return out
 
 

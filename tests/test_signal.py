@@ -172,3 +172,15 @@ def test_remote_listing_follows_pages_and_folders(spark):
     pages = {"u": {"data": [file("a.TXT", 3), folder], "links": {"next": "u1"}}, "u1": {"data": [file("b", 4)]}, "u2": {"data": [file("c.csv", None)], "links": {"next": "u"}}}
     got = {r["path"]: (r["size"], r["ext"], r["download"]) for r in remote.remote_manifest(spark, "u", pages.__getitem__).collect()}
     assert got == {"a.TXT": (3, ".txt", "d/a.TXT"), "b": (4, "", "d/b"), "sub/c.csv": (None, ".csv", "d/c.csv")}
+
+
+def test_windows_are_what_their_last_batch_says_and_leave_the_state(spark, tmp_path):
+    from cohortlens.streaming.windows import run_available
+
+    rows = lambda days: spark.createDataFrame([(f"2024-01-0{d} 0{h}:30:00", "a", float(10 * d + h)) for d in days for h in range(3)], "ts string, event_type string, value double").selectExpr("cast(ts as timestamp) as ts", "event_type", "value")
+    for i, days in enumerate(((1, 2), (2, 3), (6,), (1,))):  # the last ones are over a day late
+        rows(days).coalesce(1).write.parquet(str(tmp_path / "in" / f"{i}.parquet"))
+        spark.read.parquet(str(tmp_path / "in" / f"{i}.parquet")).coalesce(1).write.mode("append").parquet(str(tmp_path / "stream"))
+        got = run_available(spark, str(tmp_path / "stream"), "*.parquet", "ts timestamp, event_type string, value double", str(tmp_path / "out"), str(tmp_path / "state"), files=1)
+    n = {str(r["window_start"]): r["n"] for r in got.collect()}
+    assert n == {f"2024-01-0{d} 0{h}:00:00": 2 if d == 2 else 1 for d in (1, 2, 3, 6) for h in range(3)}
