@@ -1,7 +1,7 @@
 """Recordings in vendor formats (EDF, BDF, BrainVision) as a Python data source that splits files, and their writers.
 
 The driver reads headers only. A partition is a range of a file's data records (EDF, BDF) or of its sample frames
-(BrainVision) and reads just these bytes; a row is one channel of one chunk, so no array holds a recording. Files
+(BrainVision), or a run of such ranges where they are many, and reads just these bytes; a row is one channel of one chunk, so no array holds a recording. Files
 that do not parse, channels of other lengths and truncated data are rows with an error, not failed jobs.
 
 Files are opened by path or by a URI that Arrow's file systems know. Not read: discontinuous EDF+ (its records have
@@ -161,6 +161,21 @@ class _Range(InputPartition):
         self.layout, self.first, self.last, self.path, self.error = layout, first, last, path, error
 
 
+class _Ranges(InputPartition):
+    def __init__(self, ranges: list[_Range]):
+        self.ranges = ranges
+
+
+#: Ranges that have a task each; of more, a task has several, up to so many bytes.
+MOST_TASKS, TASK_BYTES = 256, 32 << 20
+
+
+def bundled(items: list, size: int) -> list[list]:
+    """items, whose sizes sum up to size, in runs: as many as items or MOST_TASKS, or more if runs held over TASK_BYTES."""
+    count = min(len(items), max(MOST_TASKS, -(-size // TASK_BYTES)))
+    return [items[len(items) * i // count : len(items) * (i + 1) // count] for i in range(count)]
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.path = options["path"]
@@ -182,9 +197,14 @@ class _Reader(DataSourceReader):
                 out.append(_Range(at, 0, 1, path))
                 continue
             out += [_Range(at, a, min(a + step, at.blocks), path) for a in range(0, at.blocks, step)]
-        return out
+        size = sum((r.last - r.first) * r.layout.block_bytes for r in out if r.layout)
+        return [_Ranges(run) for run in bundled(out, size)]
 
     def read(self, partition) -> Iterator[tuple]:
+        for part in partition.ranges:
+            yield from self._read(part)
+
+    def _read(self, partition) -> Iterator[tuple]:
         if partition.error:
             yield (partition.path, None, None, None, partition.error) if self.notes else (partition.path, None, None, None, None, partition.error)
             return

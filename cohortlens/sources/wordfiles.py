@@ -1,6 +1,6 @@
 """Text of word-processor files (Office Open XML) as rows of paragraphs, table cells and headers, and a writer.
 
-A Python data source: a partition is some files, each opened once; the XML of a member is read as a stream, so memory
+A Python data source: a partition is some files (more of them where they are many), each opened once; the XML of a member is read as a stream, so memory
 holds a paragraph, not a document. A file that does not parse is a row with an error.
 """
 
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from cohortlens.sources.recordings import _target, open_file
+from cohortlens.sources.recordings import _target, bundled, open_file
 
 SCHEMA = "path string, kind string, position bigint, style string, text string, error string"
 #: The namespace and the elements that text is made of.
@@ -87,8 +87,10 @@ class _Reader(DataSourceReader):
         if about.type != fs.FileType.Directory:
             raise FileNotFoundError(self.path)
         found = store.get_file_info(fs.FileSelector(name, recursive=True))
-        paths = sorted(self.path.rstrip("/") + f.path[len(name.rstrip("/")) :] for f in found if f.is_file and f.path.lower().endswith(".docx"))
-        return [_Files(paths[a : a + self.files]) for a in range(0, len(paths), self.files)]
+        sizes = {self.path.rstrip("/") + f.path[len(name.rstrip("/")) :]: f.size or 0 for f in found if f.is_file and f.path.lower().endswith(".docx")}
+        paths = sorted(sizes)
+        groups = [paths[a : a + self.files] for a in range(0, len(paths), self.files)]
+        return [_Files([p for group in run for p in group]) for run in bundled(groups, sum(sizes.values()))]
 
     def read(self, partition) -> Iterator[tuple]:
         for path in partition.paths:

@@ -114,3 +114,15 @@ def test_annotated_epochs_go(spark):
     kept = signal.unannotated(df, notes, ["participant_id"], 4.0).where("participant_id = 'p'")
     assert sorted(r["epoch"] for r in kept.collect()) == [0, 2, 4, 5, 6, 7, 8, 9]
     assert signal.unannotated(df, notes, ["participant_id"], 4.0).where("participant_id = 'q'").count() == 2
+
+
+def test_many_ranges_share_tasks_and_lose_no_chunk(spark, tmp_path, monkeypatch):
+    rows = [("a", c, k, [float(k), 0.0]) for c in ("x", "y") for k in range(3000)]
+    df = spark.createDataFrame(rows, "recording string, channel string, chunk long, samples array<double>")
+    rec.write_recordings(df, f"{tmp_path}/many", 2.0, "vhdr").foreach(lambda _: None)
+    read = rec.read_recordings(spark, f"{tmp_path}/many", range_bytes=16, frames=2)
+    assert read.rdd.getNumPartitions() == rec.MOST_TASKS
+    got = sorted((r["channel"], r["chunk"], r["samples"][0]) for r in read.collect())
+    assert got == sorted((c, k, float(k)) for _, c, k, _ in rows)
+    monkeypatch.setattr(rec, "TASK_BYTES", 32)
+    assert [len(run) for run in rec.bundled(list(range(1001)), 16 * 1001)] == [1] + [2] * 500 and rec.bundled([], 0) == []
