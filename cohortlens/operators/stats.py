@@ -241,11 +241,11 @@ def ols_hc3(wide: DataFrame, design: list[str], features: list[str], tested: lis
     leverage = sum((F.col(names[i]) * F.col(names[j]) * float(inverse[i, j]) for i in range(k) for j in range(k)), F.lit(0.0))
     long = base.withColumn("_h", leverage).select(*names, "_h", F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).alias("y")) for f in features))).alias("s")).select(*names, "_h", "s.*")
     scale = long.groupBy("feature").agg(F.avg("y").alias("_m"), F.stddev_pop("y").alias("_s"), F.sum((F.col("y").isNull() | F.isnan("y")).cast("int")).alias("_gone")).where("_s > 0 and _gone = 0 and not isnan(_s)")
-    long = long.join(scale, "feature").withColumn("y", (F.col("y") - F.col("_m")) / F.col("_s"))
+    long = long.join(F.broadcast(scale), "feature").withColumn("y", (F.col("y") - F.col("_m")) / F.col("_s"))
     fits = long.groupBy("feature").agg(*(F.sum(F.col(c) * F.col("y")).alias(f"b{i}") for i, c in enumerate(names)), F.sum(F.col("y") * F.col("y")).alias("yy"))
     beta = [sum((F.col(f"b{j}") * float(inverse[i, j]) for j in range(k)), F.lit(0.0)).alias(f"beta{i}") for i in range(k)]
     solved = fits.select("feature", "yy", *(f"b{i}" for i in range(k)), *beta)
-    joined = long.join(solved, "feature")
+    joined = long.join(F.broadcast(solved), "feature")  # a row for each feature: no task takes all rows of one
     error = F.col("y") - sum((F.col(f"beta{i}") * F.col(c) for i, c in enumerate(names)), F.lit(0.0))
     weight = F.pow(error / (1 - F.col("_h")), F.lit(2))
     meat = joined.groupBy("feature").agg(*(F.sum(weight * F.col(names[i]) * F.col(names[j])).alias(f"m{i}_{j}") for i in range(k) for j in range(i, k)), F.sum(error * error).alias("sse"))

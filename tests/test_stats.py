@@ -94,3 +94,21 @@ def test_ols_hc3_by_hand(spark):
     v = inv @ (x.T * (e / (1 - h)) ** 2) @ x @ inv
     assert got[0]["estimate"] == pytest.approx(beta[1]) and got[0]["robust_se"] == pytest.approx(math.sqrt(v[1, 1]))
     assert got[0]["wald"] == pytest.approx(beta[1] ** 2 / v[1, 1])
+
+
+def test_no_task_takes_all_rows_of_a_feature(spark):
+    from cohortlens.operators import ml
+
+    rows = [(float(i % 7), float(i % 5), "ab"[i % 2]) for i in range(40)]
+    wide = spark.createDataFrame(rows, "y double, x double, label string")
+    long = wide.selectExpr("'y' as feature", "label", "y as value")
+    plan = lambda df: df._jdf.queryExecution().sparkPlan().toString()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        fitted = plan(stats.ols_hc3(wide, ["x"], ["y"], ["x"]))
+        assert fitted.count("SortMergeJoin") == 1 and "BroadcastHashJoin" in fitted  # of one row for each feature
+        scaler = spark.createDataFrame([("y", 3.0, 3.0, 2.0)], "feature string, median double, mean double, scale double")
+        assert "SortMergeJoin" not in plan(ml.apply_scaler(long, scaler, ["feature"]))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
