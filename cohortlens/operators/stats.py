@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions.scalar import nan_to_null
 from cohortlens.functions.special import chi2_sf, mannwhitney_p, t_sf2
+from cohortlens.storage import written
 
 
 def present(long: DataFrame, value: str = "value") -> DataFrame:
@@ -46,6 +47,29 @@ def cumulated(counts: DataFrame, by: list[str], value: str = "value", of: tuple[
     return placed.withColumns({f"before_{c}": F.col(f"_b_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in of}).drop("_slice", *(f"_b_{c}" for c in of))
 
 
+def sliced(counts: DataFrame, by: list[str], value: str = "value", slices: int | None = None) -> DataFrame:
+    """counts (one row for each by and value) with _slice, the number of its range in the order of by and value.
+
+    Ranges are of about equal length, so no task holds a whole feature. They are written to the shared folder: what counts
+    is made from is read once, and all that follows sees the same cuts, which a second sampling need not give.
+    """
+    order = [*by, value]
+    ranges = counts.repartitionByRange(*order) if slices is None else counts.repartitionByRange(slices, *order)
+    return written(ranges.withColumn("_slice", F.spark_partition_id()), "slices")
+
+
+def placed(held: DataFrame, by: list[str], value: str = "value", of: tuple[str, ...] = ("ties",)) -> DataFrame:
+    """What cumulated() adds, for counts that are sliced: the cuts are held, so none is computed twice."""
+    sums = held.groupBy(*by, "_slice").agg(*(F.sum(c).alias(f"_n_{c}") for c in of))
+    every = Window.partitionBy(*by)
+    offset = every.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    columns = [c for name in of for c in (F.coalesce(F.sum(f"_n_{name}").over(offset), F.lit(0)).alias(f"_b_{name}"), F.sum(f"_n_{name}").over(every).alias(f"total_{name}"))]
+    sums = sums.select(*by, "_slice", *columns)
+    inside = Window.partitionBy(*by, "_slice").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    rows = held.join(sums, [*by, "_slice"])
+    return rows.withColumns({f"before_{c}": F.col(f"_b_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in of}).drop("_slice", *(f"_b_{c}" for c in of))
+
+
 #: The average rank of a value, and the distance of two distribution functions at it, from cumulated counts.
 RANK = "before_ties + (ties + 1) / 2D"
 GAP = "abs((before_a + a) / nullif(total_a, 0) - (before_b + b) / nullif(total_b, 0))"
@@ -72,9 +96,9 @@ def quantile_of(c: str, probs: dict[str, float], value: str = "value") -> tuple[
 
 def quantiles(long: DataFrame, by: list[str], probs: dict[str, float], value: str = "value", slices: int | None = None) -> DataFrame:
     """by and one column for each named probability: exact quantiles with linear interpolation."""
-    placed = cumulated(long.groupBy(*by, value).agg(F.count("*").alias("ties")), by, value, slices=slices)
+    ranked = cumulated(long.groupBy(*by, value).agg(F.count("*").alias("ties")), by, value, slices=slices)
     aggs, columns = quantile_of("ties", probs, value)
-    return placed.groupBy(*by).agg(*aggs).select(*by, *columns)
+    return ranked.groupBy(*by).agg(*aggs).select(*by, *columns)
 
 
 def benjamini_hochberg(table: DataFrame, p: str = "p_value", by: list[str] | None = None) -> DataFrame:
@@ -117,10 +141,11 @@ def mann_whitney(long: DataFrame, pairs: DataFrame, label: str = "label", by: st
     rows = present(long, value).select(F.col(label).cast("string").alias("_label"), by, value)
     sides = pairs.select(F.concat_ws("_vs_", "label_left", "label_right").alias("comparison"), F.explode(F.array(F.struct(F.col("label_left").alias("l"), F.lit(True).alias("left")), F.struct(F.col("label_right").alias("l"), F.lit(False).alias("left")))).alias("s"))
     sides = sides.select("comparison", F.col("s.l").alias("_label"), "s.left")
-    sided = rows.join(sides, "_label")
-    left = F.col("left").cast("long")
-    counts = sided.groupBy("comparison", by, value).agg(F.sum(left).alias("a"), F.sum(1 - left).alias("b"), F.count("*").alias("ties"))
-    ranked = cumulated(counts, ["comparison", by], value, ("ties", "a", "b"))
+    sided = rows.groupBy("_label", by, value).agg(F.count("*").alias("_k")).join(sides, "_label")  # rows are counted before they are multiplied
+    left = F.col("left").cast("long") * F.col("_k")
+    counts = sided.groupBy("comparison", by, value).agg(F.sum(left).alias("a"), F.sum(F.col("_k") - left).alias("b"), F.sum("_k").alias("ties"))
+    held = sliced(counts, ["comparison", by], value)
+    ranked = placed(held, ["comparison", by], value, ("ties", "a", "b"))
     (on_a, med_a), (on_b, med_b) = quantile_of("a", {"median_left": 0.5}, value), quantile_of("b", {"median_right": 0.5}, value)
     squares = F.sum((F.col("ties").cast("double") * F.col("ties") - 1) * F.col("ties")).alias("tie")
     out = ranked.groupBy("comparison", by).agg(F.sum("a").alias("n_left"), F.sum("b").alias("n_right"), F.sum(F.expr(RANK) * F.col("a")).alias("r"), squares, *on_a, *on_b).where("n_left >= 2 and n_right >= 2")
@@ -178,14 +203,13 @@ def ks_statistic(long: DataFrame, side: Column, by: list[str], value: str = "val
 
     Null where a sample is empty.
     """
-    placed = _two_sides(present(long, value).withColumn("_a", side), by, value)
-    return placed.groupBy(*by).agg(F.sum("a").alias("n_a"), F.sum("b").alias("n_b"), F.max(F.expr(GAP)).alias("ks"))
+    ranked = placed(_two_sides(present(long, value).withColumn("_a", side), by, value), by, value, ("a", "b"))
+    return ranked.groupBy(*by).agg(F.sum("a").alias("n_a"), F.sum("b").alias("n_b"), F.max(F.expr(GAP)).alias("ks"))
 
 
 def _two_sides(rows: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Cumulated counts of both sides; _a is true for a."""
-    mine = F.col("_a").cast("long")
-    return cumulated(rows.groupBy(*by, value).agg(F.sum(mine).alias("a"), F.sum(1 - mine).alias("b")), by, value, ("a", "b"))
+    """Sliced counts of both sides; _a is true for a."""
+    return sliced(rows.groupBy(*by, value).agg(F.count_if("_a").alias("a"), F.count_if(~F.col("_a")).alias("b")), by, value)
 
 
 def moments(value: Column, prefix: str) -> list[Column]:
@@ -209,7 +233,7 @@ def domain_shift(long: DataFrame, side: Column, by: str = "feature", value: str
     for c in ("a", "b"):
         on, named = quantile_of(c, {f"_q1_{c}": 0.25, f"median_{c}": 0.5, f"_q3_{c}": 0.75}, value)
         aggs, columns = aggs + on, columns + named
-    order = _two_sides(rows, [by], value).groupBy(by).agg(F.max(F.expr(GAP)).alias("ks"), *aggs).select(by, "ks", *columns)
+    order = placed(_two_sides(rows, [by], value), [by], value, ("a", "b")).groupBy(by).agg(F.max(F.expr(GAP)).alias("ks"), *aggs).select(by, "ks", *columns)
     order = order.select(by, "ks", "median_a", "median_b", (F.col("_q3_a") - F.col("_q1_a")).alias("iqr_a"), (F.col("_q3_b") - F.col("_q1_b")).alias("iqr_b"))
     return out.join(order, by)
 
@@ -275,4 +299,4 @@ def ols_hc3(wide: DataFrame, design: list[str], features: list[str], tested: lis
     return solved.join(meat, "feature").mapInPandas(solve, schema)
 
 
-__all__ = ["average_ranks", "benjamini_hochberg", "chi_square", "cohens_d", "cumulated", "domain_shift", "kruskal_wallis", "ks_statistic", "label_pairs", "mann_whitney", "moments", "ols_hc3", "present", "quantiles", "spearman"]
+__all__ = ["average_ranks", "benjamini_hochberg", "chi_square", "cohens_d", "cumulated", "domain_shift", "kruskal_wallis", "ks_statistic", "label_pairs", "mann_whitney", "moments", "ols_hc3", "placed", "present", "quantiles", "sliced", "spearman"]

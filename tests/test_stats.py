@@ -112,3 +112,32 @@ def test_no_task_takes_all_rows_of_a_feature(spark):
         assert "SortMergeJoin" not in plan(ml.apply_scaler(long, scaler, ["feature"]))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+READ_ONCE = {
+    "mann_whitney": lambda long: stats.mann_whitney(long, stats.label_pairs(long.sparkSession.createDataFrame([("a",), ("b",)], "label string"))),
+    "ks_statistic": lambda long: stats.ks_statistic(long, F.col("label") == "a", ["feature"]),
+}
+
+
+@pytest.mark.parametrize("name", sorted(READ_ONCE))
+def test_rows_are_read_once(spark, name):
+    read, n = spark.sparkContext.accumulator(0), 2000
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    rows = spark.range(n).selectExpr("'f' as feature", "if(id % 3 = 0, 'a', 'b') as label", "cast(id % 700 as double) as value").mapInArrow(counted, "feature string, label string, value double")
+    assert READ_ONCE[name](rows).count() == 1
+    assert read.value == n
+
+
+def test_slices_without_features(spark):
+    rng = np.random.default_rng(2)
+    v = rng.integers(0, 90, 400)
+    counts = spark.createDataFrame([(float(x),) for x in v], "value double").groupBy("value").agg(F.count("*").alias("ties"))
+    for slices in (None, 1, 7):
+        got = stats.placed(stats.sliced(counts, [], slices=slices), []).collect()
+        assert len(got) == len(set(v)) and all((r["before_ties"], r["ties"], r["total_ties"]) == ((v < r["value"]).sum(), (v == r["value"]).sum(), 400) for r in got)
