@@ -212,6 +212,18 @@ def _two_sides(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     return sliced(rows.groupBy(*by, value).agg(F.count_if("_a").alias("a"), F.count_if(~F.col("_a")).alias("b")), by, value)
 
 
+def counted_moments(counts: DataFrame, by: str, sides: tuple[str, ...], value: str = "value") -> DataFrame:
+    """by and n, mean and sd (n - 1) of the rows that each column of sides counts at each value."""
+    of = lambda c, x: F.sum(F.when(F.col(c) > 0, F.col(c) * x))
+    n = lambda c: F.col(f"n_{c}")
+    means = counts.groupBy(by).agg(*(F.sum(c).alias(f"n_{c}") for c in sides), *(of(c, F.col(value)).alias(f"mean_{c}") for c in sides))
+    means = means.withColumns({f"mean_{c}": F.col(f"mean_{c}") / F.when(n(c) > 0, n(c)) for c in sides})
+    gap = lambda c: F.col(value) - F.col(f"mean_{c}")
+    spread = counts.join(means, by).groupBy(by).agg(*(of(c, gap(c) * gap(c)).alias(f"sd_{c}") for c in sides))
+    out = means.join(spread, by).withColumns({f"sd_{c}": F.sqrt(F.col(f"sd_{c}") / F.when(n(c) > 1, n(c) - 1)) for c in sides})
+    return out.select(by, *(f"{k}_{c}" for c in sides for k in ("n", "mean", "sd")))
+
+
 def moments(value: Column, prefix: str) -> list[Column]:
     """n, mean and sd (n - 1) of a column."""
     return [F.count(value).alias(f"n_{prefix}"), F.avg(value).alias(f"mean_{prefix}"), F.stddev_samp(value).alias(f"sd_{prefix}")]
@@ -226,14 +238,14 @@ def cohens_d(n_a: Column, mean_a: Column, sd_a: Column, n_b: Column, mean_b: Col
 
 def domain_shift(long: DataFrame, side: Column, by: str = "feature", value: str = "value") -> DataFrame:
     """Moments of both samples, Cohen's d and the KS statistic for each feature; side is true for the first one (a)."""
-    rows = present(long, value).withColumn("_a", side)
-    out = rows.groupBy(by).agg(*moments(F.when(F.col("_a"), F.col(value)), "a"), *moments(F.when(~F.col("_a"), F.col(value)), "b"))
+    counts = _two_sides(present(long, value).withColumn("_a", side), [by], value)
+    out = counted_moments(counts, by, ("a", "b"), value)
     out = out.withColumn("cohens_d", cohens_d(*(F.col(c) for c in ("n_a", "mean_a", "sd_a", "n_b", "mean_b", "sd_b"))))
     aggs, columns = [], []
     for c in ("a", "b"):
         on, named = quantile_of(c, {f"_q1_{c}": 0.25, f"median_{c}": 0.5, f"_q3_{c}": 0.75}, value)
         aggs, columns = aggs + on, columns + named
-    order = placed(_two_sides(rows, [by], value), [by], value, ("a", "b")).groupBy(by).agg(F.max(F.expr(GAP)).alias("ks"), *aggs).select(by, "ks", *columns)
+    order = placed(counts, [by], value, ("a", "b")).groupBy(by).agg(F.max(F.expr(GAP)).alias("ks"), *aggs).select(by, "ks", *columns)
     order = order.select(by, "ks", "median_a", "median_b", (F.col("_q3_a") - F.col("_q1_a")).alias("iqr_a"), (F.col("_q3_b") - F.col("_q1_b")).alias("iqr_b"))
     return out.join(order, by)
 
@@ -299,4 +311,4 @@ def ols_hc3(wide: DataFrame, design: list[str], features: list[str], tested: lis
     return solved.join(meat, "feature").mapInPandas(solve, schema)
 
 
-__all__ = ["average_ranks", "benjamini_hochberg", "chi_square", "cohens_d", "cumulated", "domain_shift", "kruskal_wallis", "ks_statistic", "label_pairs", "mann_whitney", "moments", "ols_hc3", "placed", "present", "quantiles", "sliced", "spearman"]
+__all__ = ["average_ranks", "benjamini_hochberg", "chi_square", "cohens_d", "counted_moments", "cumulated", "domain_shift", "kruskal_wallis", "ks_statistic", "label_pairs", "mann_whitney", "moments", "ols_hc3", "placed", "present", "quantiles", "sliced", "spearman"]

@@ -116,6 +116,7 @@ def test_no_task_takes_all_rows_of_a_feature(spark):
 
 READ_ONCE = {
     "mann_whitney": lambda long: stats.mann_whitney(long, stats.label_pairs(long.sparkSession.createDataFrame([("a",), ("b",)], "label string"))),
+    "domain_shift": lambda long: stats.domain_shift(long, F.col("label") == "a"),
     "ks_statistic": lambda long: stats.ks_statistic(long, F.col("label") == "a", ["feature"]),
 }
 
@@ -141,3 +142,12 @@ def test_slices_without_features(spark):
     for slices in (None, 1, 7):
         got = stats.placed(stats.sliced(counts, [], slices=slices), []).collect()
         assert len(got) == len(set(v)) and all((r["before_ties"], r["ties"], r["total_ties"]) == ((v < r["value"]).sum(), (v == r["value"]).sum(), 400) for r in got)
+
+
+def test_moments_from_counts(spark):
+    rows = [("f", True, 1e9 + v) for v in (1.0, 2.0, 2.0, 4.0)] + [("f", False, float("inf")), ("g", True, 5.0), ("g", None, 7.0), ("g", True, float("nan"))]
+    long = spark.createDataFrame(rows, "feature string, side boolean, value double")
+    got = {r["feature"]: r for r in stats.domain_shift(long, F.col("side")).collect()}
+    f, g = got["f"], got["g"]
+    assert (f["n_a"], f["mean_a"], f["n_b"], f["mean_b"], f["sd_b"]) == (4, 1e9 + 2.25, 1, math.inf, None) and f["sd_a"] == pytest.approx(np.std([1, 2, 2, 4], ddof=1), rel=1e-9)
+    assert (g["n_a"], g["mean_a"], g["sd_a"], g["n_b"], g["mean_b"], g["ks"]) == (1, 5.0, None, 0, None, None)
