@@ -63,22 +63,50 @@ def compare_close(artifact: str, a: DataFrame, b: DataFrame, keys: list[str], nu
 def compare_partition(artifact: str, a: DataFrame, b: DataFrame, member: str, cluster: str) -> DataFrame:
     """Clusters by their members. Members whose cluster has another least member on the other side have moved.
 
-    A cluster is named by its least member, which is aggregated and joined, so a large cluster is not gathered. A null
-    cluster is one of its own for each member.
+    A cluster is named by its least member. Members meet once; what follows is done on pairs of clusters that share
+    members, counted, so no cluster is gathered or sent to its members. A null cluster is one of its own for each member.
     """
 
     def named(df: DataFrame, s: str) -> DataFrame:
-        rows = df.select(F.col(member).cast("string").alias("_m"), F.col(cluster).cast("string").alias("_c")).distinct()
-        least = rows.where("_c is not null").groupBy("_c").agg(F.min("_m").alias("_least"), F.count("*").alias("_size"))
-        return rows.join(least, "_c", "left").select("_m", F.coalesce("_least", "_m").alias(f"_{s}"), F.coalesce("_size", F.lit(1)).alias(f"_size_{s}"))
-
-    both = named(a, "a").join(named(b, "b"), "_m", "full_outer")
-    met = F.col("_a").isNotNull() & F.col("_b").isNotNull()
+        rows = df.select(F.col(member).cast("string").alias("_m"), F.col(cluster).cast("string").alias(f"_c_{s}"))
+        return rows.repartition("_m").distinct().withColumn(f"_in_{s}", F.lit(True))  # dealt as the join below wants them
+
+    def least(rows: DataFrame, s: str) -> DataFrame:
+        return rows.where(f"_c_{s} is not null").groupBy(f"_c_{s}").agg(F.min("_m").alias(f"_least_{s}"), F.count("*").alias(f"_size_{s}"))
+
+    left, right = named(a, "a"), named(b, "b")
+    own = [F.when(F.col(f"_in_{s}") & F.col(f"_c_{s}").isNull(), F.col("_m")).alias(f"_own_{s}") for s in "ab"]
+    cells = left.join(right, "_m", "full_outer").groupBy("_in_a", "_in_b", "_c_a", "_c_b", *own).agg(F.count("*").alias("_k"))
+    both = cells.join(least(left, "a"), "_c_a", "left").join(least(right, "b"), "_c_b", "left")
+    both = both.withColumns({f"_{s}": F.coalesce(f"_least_{s}", f"_own_{s}") for s in "ab"} | {f"_size_{s}": F.coalesce(f"_size_{s}", F.lit(1)) for s in "ab"})
+    met = F.col("_in_a").isNotNull() & F.col("_in_b").isNotNull()
     same = (F.col("_a") == F.col("_b")) & (F.col("_size_a") == F.col("_size_b"))
-    sums = both.agg(_many(met).alias("n"), _many(~met).alias("alone"), _many(met & ~F.coalesce(same, F.lit(False))).alias("moved"), F.countDistinct("_a").alias("ca"), F.countDistinct("_b").alias("cb"))
+    many = lambda c: F.coalesce(F.sum(F.when(c, F.col("_k"))), F.lit(0))
+    sums = both.agg(many(met).alias("n"), many(~met).alias("alone"), many(met & ~F.coalesce(same, F.lit(False))).alias("moved"), F.countDistinct("_a").alias("ca"), F.countDistinct("_b").alias("cb"))
     return _row(sums, artifact, "partition", (F.col("alone") == 0) & (F.col("moved") == 0), "members=", F.col("n"), ", unmatched=", F.col("alone"), ", moved=", F.col("moved"), ", clusters=", F.col("ca"), "/", F.col("cb"))
 
 
+def _leaves(value, path: str, ignore: tuple[str, ...]) -> Iterator[tuple[str, str]]:
+    todo = [(value, path)]
+    while todo:
+        at, where = todo.pop()
+        if isinstance(at, dict) and at:
+            todo += [(v, f"{where}.{json.dumps(k)}") for k, v in at.items() if where or k not in ignore]
+        elif isinstance(at, list) and at:
+            todo += [(v, f"{where}[{i}]") for i, v in enumerate(at)]
+        else:
+            yield where or "$", json.dumps(at, sort_keys=True)
+
+
+def _leaves_of(text: str | None, ignore: tuple[str, ...]) -> list[tuple[str, str]]:
+    if text is None:
+        return [("error", "null")]
+    try:
+        return list(_leaves(json.loads(text), "", ignore))
+    except ValueError:
+        return [("error", json.dumps(text))]
+
+
 def json_leaves(df: DataFrame, key: str, column: str, ignore: tuple[str, ...] = ()) -> DataFrame:
     """key, path, value: the leaves of JSON texts; names in ignore are left out at the top.
 
@@ -87,26 +115,11 @@ def json_leaves(df: DataFrame, key: str, column: str, ignore: tuple[str, ...] =
     """
     kind = df.schema[key].dataType.simpleString()
 
-    def leaves(value, path: str) -> Iterator[tuple[str, str]]:
-        todo = [(value, path)]
-        while todo:
-            at, where = todo.pop()
-            if isinstance(at, dict) and at:
-                todo += [(v, f"{where}.{json.dumps(k)}") for k, v in at.items() if where or k not in ignore]
-            elif isinstance(at, list) and at:
-                todo += [(v, f"{where}[{i}]") for i, v in enumerate(at)]
-            else:
-                yield where or "$", json.dumps(at, sort_keys=True)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: tuple[list, list, list] = ([], [], [])
             for i, text in enumerate(batch.column(1).to_pylist()):
-                try:
-                    found = list(leaves(json.loads(text), "")) if text is not None else [("error", "null")]
-                except ValueError:
-                    found = [("error", json.dumps(text))]
-                for path, value in found:
+                for path, value in _leaves_of(text, ignore):
                     for out, v in zip(rows, (i, path, value), strict=True):
                         out.append(v)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows[0], pa.int64())), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.string())], names=[key, "path", "value"])
@@ -114,10 +127,58 @@ def json_leaves(df: DataFrame, key: str, column: str, ignore: tuple[str, ...] =
     return df.select(key, F.col(column).cast("string")).mapInArrow(run, f"`{key}` {kind}, path string, value string")
 
 
+def _text_differences(pairs: DataFrame, key: str, ignore: tuple[str, ...]) -> DataFrame:
+    """key, path, left, right of pairs of texts (_l, _r, and whether a side has one: _in_l, _in_r)."""
+    kind = pairs.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = json.JSONEncoder(sort_keys=True).encode
+
+        def plain(text: str) -> str:
+            value = json.loads(text)
+            if ignore and isinstance(value, dict) and value:
+                value = {k: v for k, v in value.items() if k not in ignore}
+                if not value:
+                    return ""  # no leaf, where an empty object is one
+            return encode(value)
+
+        def equal(x: str | None, y: str | None) -> bool:
+            try:
+                return x is not None and y is not None and plain(x) == plain(y)
+            except (ValueError, RecursionError):
+                return False
+
+        for batch in batches:
+            rows: tuple[list, ...] = ([], [], [], [])
+            for i, (x, y, in_x, in_y) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(1, 5)), strict=True)):
+                if in_x and in_y and equal(x, y):
+                    continue
+                left, right = dict(_leaves_of(x, ignore)) if in_x else {}, dict(_leaves_of(y, ignore)) if in_y else {}
+                for path in left | right:
+                    if left.get(path) != right.get(path):
+                        for out, v in zip(rows, (i, path, left.get(path), right.get(path)), strict=True):
+                            out.append(v)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows[0], pa.int64())), *(pa.array(r, pa.string()) for r in rows[1:])], names=[key, "path", "left", "right"])
+
+    return pairs.select(key, "_l", "_r", "_in_l", "_in_r").mapInArrow(run, f"`{key}` {kind}, path string, left string, right string")
+
+
 def json_differences(a: DataFrame, b: DataFrame, key: str, column: str, ignore: tuple[str, ...] = ()) -> DataFrame:
-    """key, path, left, right of leaves that only one side has or that have other values."""
-    left, right = json_leaves(a, key, column, ignore).withColumnRenamed("value", "left"), json_leaves(b, key, column, ignore).withColumnRenamed("value", "right")
-    return left.join(right, [key, "path"], "full_outer").where(~F.col("left").eqNullSafe(F.col("right")))
+    """key, path, left, right of leaves that only one side has or that have other values.
+
+    Texts of a key meet as a whole, and only those that differ are taken apart. Where a key is repeated on a side, the
+    leaves of all its texts meet, path by path.
+    """
+    keys = lambda df: df.select(key).where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key)
+    repeated = keys(a).union(keys(b)).distinct()
+    some = not repeated.isEmpty()
+    side = lambda df, s: (df.join(repeated, key, "left_anti") if some else df).select(key, F.col(column).cast("string").alias(f"_{s}"), F.lit(True).alias(f"_in_{s}"))
+    pairs = side(a, "l").join(side(b, "r"), key, "full_outer")
+    out = _text_differences(pairs.where(F.col("_in_l").isNull() | F.col("_in_r").isNull() | ~F.col("_l").eqNullSafe(F.col("_r"))), key, ignore)
+    if not some:
+        return out
+    left, right = (json_leaves(df.join(repeated, key, "left_semi"), key, column, ignore).withColumnRenamed("value", s) for df, s in ((a, "left"), (b, "right")))
+    return out.unionByName(left.join(right, [key, "path"], "full_outer").where(~F.col("left").eqNullSafe(F.col("right"))))
 
 
 def compare_json(artifact: str, a: DataFrame, b: DataFrame, key: str, column: str, ignore: tuple[str, ...] = ()) -> DataFrame:

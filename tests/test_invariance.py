@@ -45,3 +45,29 @@ def test_bytes_and_the_verdict(spark):
     rows = inv.report([inv.compare_bytes(a, b), inv.compare_rows("r", a, a)])
     assert {(r["artifact"], r["status"]) for r in rows.collect()} == {("x", "PASS"), ("y", "FAIL"), ("z", "FAIL"), ("r", "PASS")}
     assert tuple(inv.verdict(rows).first()) == ("FAIL", 2, 2) and tuple(inv.verdict(rows.limit(0)).first()) == ("PASS", 0, 0)
+
+
+def test_texts_meet_as_a_whole_and_repeated_keys_leaf_by_leaf(spark):
+    frame = lambda rows: spark.createDataFrame(rows, "k int, j string")
+    a = frame([(1, '{"x": 1, "t": 1}'), (2, '{"x": 1}'), (2, '{"y": 2}'), (3, '{"t": 1}'), (4, "[1.0]"), (None, "1"), (5, None), (6, '{"x": [1, true]}')])
+    b = frame([(1, '{"t": 2, "x": 1}'), (2, '{"x": 1, "y": 3}'), (3, "{}"), (4, "[1]"), (None, "1"), (6, '{"x": [1, 1]}')])
+    found = inv.json_differences(a, b, "k", "j", ("t",))
+    want = [(2, '."y"', "2", "3"), (3, "$", None, "{}"), (4, "[0]", "1.0", "1"), (None, "$", "1", None), (None, "$", None, "1"), (5, "error", "null", None), (6, '."x"[1]', "true", "1")]
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str)
+    once = inv.json_differences(a.where("k <> 2"), b.where("k <> 2"), "k", "j")
+    before = once._jdf.queryExecution().optimizedPlan().toString()
+    assert "path" not in before.split("MapInArrow")[1].split("\n", 1)[1]  # nothing is joined or shuffled leaf by leaf
+
+
+def test_members_meet_once(spark):
+    a = spark.createDataFrame([(1, "p"), (2, "p"), (3, None), (4, "q"), (4, "r"), (5, "q"), (5, "q"), (7, None)], "m int, c string")
+    b = spark.createDataFrame([(1, "z"), (2, "z"), (3, None), (4, "y"), (5, "y"), (6, "x"), (7, "w")], "m int, c string")
+    df = inv.compare_partition("t", a, b, "m", "c")
+    assert one(df) == ("FAIL", "members=7, unmatched=1, moved=1, clusters=4/5")
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joins = inv.compare_partition("t", a, b, "m", "c")._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join LeftOuter" in joins.split("Join FullOuter")[0] and "Join LeftOuter" not in joins.split("Join FullOuter")[1]  # clusters are joined to counts, not to members
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
