@@ -13,6 +13,8 @@ from cohortlens.operators.textqa import NEGATIONS
 
 #: Phrases that one automaton holds at most; it is built in each worker from a list that travels with the code.
 MOST_RULES = 100_000
+#: Hits that a worker holds at most before it sends them.
+SENT_HITS = 20_000
 #: Numbers in brackets, separated by commas; not part of a longer number.
 CITATION = r"(?<![0-9])\[(\s*[0-9]+\s*(?:,\s*[0-9]+\s*)*)\](?![0-9])"
 HEADING = r"^#+\s+(.*?)\s*$"
@@ -48,6 +50,11 @@ def rule_hits(df: DataFrame, key: str, rules: DataFrame, text: str = "text", win
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _automaton(phrases)
+
+        def sent(batch: pa.RecordBatch, rows: tuple[list, ...]) -> pa.RecordBatch:
+            keys = batch.column(0).take(pa.array(rows[0], pa.int64()))
+            return pa.RecordBatch.from_arrays([keys, pa.array(rows[1], pa.string()), pa.array(rows[2], pa.int64()), pa.array(rows[3], pa.string()), pa.array(rows[4], pa.bool_())], names=names)
+
         for batch in batches:
             rows: tuple[list, ...] = ([], [], [], [], [])
             for i in range(len(batch)):
@@ -61,8 +68,10 @@ def rule_hits(df: DataFrame, key: str, rules: DataFrame, text: str = "text", win
                     before = own[low : last + 1 + window] if both_sides else own[low:start]
                     for column, v in zip(rows, (i, phrase, start + 1, own[low : last + 1 + window], any(c in before for c in cues)), strict=True):
                         column.append(v)
-            keys = batch.column(0).take(pa.array(rows[0], pa.int64()))
-            yield pa.RecordBatch.from_arrays([keys, pa.array(rows[1], pa.string()), pa.array(rows[2], pa.int64()), pa.array(rows[3], pa.string()), pa.array(rows[4], pa.bool_())], names=names)
+                    if len(rows[0]) == SENT_HITS:
+                        yield sent(batch, rows)
+                        rows = ([], [], [], [], [])
+            yield sent(batch, rows)
 
     schema = f"`{key}` {kind}, phrase string, position bigint, context string, negated boolean"
     if not phrases:

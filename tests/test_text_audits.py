@@ -2,6 +2,7 @@
 
 import zipfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,3 +66,15 @@ def test_word_files(spark, tmp_path):
     assert set(got) == {"bad.docx", "other.docx", "torn.docx"} and all(v[-1][4] is False for v in got.values())
     with pytest.raises(Exception, match="nowhere"):
         wordfiles.read_documents(spark, f"{tmp_path}/nowhere").count()
+
+
+def test_hits_are_sent_in_bounded_pieces(spark, monkeypatch):
+    texts, kept = frame(spark), []
+    rules = spark.createDataFrame([("ab",)], "phrase string")
+    monkeypatch.setattr(type(texts), "mapInArrow", lambda self, run, schema: kept.append(run) or self)
+    contentaudit.rule_hits(texts, "id", rules)
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2], pa.int32()), pa.array(["ab " * 50_000, "no ab"])], names=["id", "_t"])
+    sent = list(kept[0](iter([batch])))
+    assert max(b.num_rows for b in sent) <= 20_000
+    rows = [tuple(r.values()) for b in sent for r in b.to_pylist()]
+    assert [r[2] for r in rows] == [*range(1, 150_000, 3), 4] and rows[-1] == (2, "ab", 4, "no ab", True) and not rows[0][4]
