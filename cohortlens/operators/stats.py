@@ -24,27 +24,41 @@ def present(long: DataFrame, value: str = "value") -> DataFrame:
 SLICE_ROWS, MOST_SLICES = 20_000, 256
 
 
+def slice_cuts(counts: DataFrame, by: list[str], value: str = "value", of: tuple[str, ...] = ("ties",), slices: int | None = None) -> DataFrame:
+    """by and _cuts, sorted values that cut a feature into slices: one value in SLICE_ROWS, thinned out evenly to
+    MOST_SLICES slices, or as many slices as given; features without cuts are left out.
+
+    A value's hash decides, so each computation gives the same cuts, whether values are counted already (in columns of)
+    or not (of is empty). They are few enough to be sent to every task.
+    """
+    chance = F.xxhash64(*by, value)
+    none = F.least(F.lit(0), F.lit(0), *of)  # no count is below 0; as it reads what is counted, the filter stays above the shuffle, which may so serve all uses of counts
+    if slices is None:
+        picked = counts.where((F.pmod(chance, F.lit(SLICE_ROWS)) == none) & F.col(value).isNotNull())
+    else:
+        picked = counts.where(F.col(value).isNotNull()).withColumn("_h", F.row_number().over(Window.partitionBy(*by).orderBy(chance, value))).where(F.col("_h") < slices)
+    most = MOST_SLICES if slices is None else slices
+    cuts = picked.groupBy(*by).agg(F.sort_array(F.collect_set(value)).alias("_cuts"))
+    even = F.transform(F.sequence(F.lit(1), F.lit(max(1, most - 1))), lambda k: F.get("_cuts", F.floor(k * F.size("_cuts") / F.lit(most)).cast("int")))
+    return cuts.withColumn("_cuts", F.when(F.size("_cuts") >= most, even).otherwise(F.col("_cuts")))
+
+
+def in_slices(rows: DataFrame, cuts: DataFrame, by: list[str], value: str = "value") -> DataFrame:
+    """rows with _slice, the number of cuts below the value, by halving."""
+    steps = cuts.withColumn("_steps", F.expr("transform(sequence(length(bin(size(_cuts))) - 1, 0, -1), _k -> shiftleft(1, _k))"))
+    met = rows.join(F.broadcast(steps), by, "left") if by else rows.crossJoin(F.broadcast(steps))  # one row
+    below = F.expr(f"aggregate(_steps, 0, (_p, _s) -> if(_p + _s <= size(_cuts) and get(_cuts, _p + _s - 1) < `{value}`, _p + _s, _p))")
+    return met.withColumn("_slice", F.coalesce(below, F.lit(0))).drop("_cuts", "_steps")
+
+
 def cumulated(counts: DataFrame, by: list[str], value: str = "value", of: tuple[str, ...] = ("ties",), slices: int | None = None) -> DataFrame:
     """Adds before_<c> (the sum over smaller values) and total_<c> (that over all values) within by, for columns of.
 
-    counts has one row for each by and value. Each feature's values are cut at approximate quantiles, so that
-    they are ordered in slices side by side and no task holds a whole feature: as many slices as its number of values
-    asks for, or as given. The cuts affect the work only: sums are exact.
+    counts has one row for each by and value. Each feature's values are ordered in slices side by side, and no task
+    holds a whole feature: as many slices as its number of values asks for, or as given. The cuts affect the work
+    only: sums are exact.
     """
-    parts = MOST_SLICES if slices is None else slices
-    wanted = F.least(F.lit(MOST_SLICES), F.ceil(F.count("*") / SLICE_ROWS)).cast("int") if slices is None else F.lit(slices)
-    every = F.percentile_approx(value, [k / parts for k in range(1, max(2, parts))], 1000)
-    cuts = counts.groupBy(*by).agg(every.alias("_all"), wanted.alias("_s"), *(F.sum(c).alias(f"total_{c}") for c in of))
-    numbers = F.when(F.col("_s") > 1, F.sequence(F.lit(1), F.col("_s") - 1)).otherwise(F.array().cast("array<int>"))
-    cuts = cuts.withColumn("_cuts", F.transform(numbers, lambda k: F.get("_all", F.floor(k * F.lit(parts) / F.col("_s")).cast("int") - 1))).drop("_all", "_s")
-    sliced = counts.join(cuts, by) if by else counts.crossJoin(F.broadcast(cuts))  # one row
-    sliced = sliced.withColumn("_slice", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
-    sums = sliced.groupBy(*by, "_slice").agg(*(F.sum(c).alias(f"_n_{c}") for c in of))
-    offset = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*by, "_slice", *(F.coalesce(F.sum(f"_n_{c}").over(offset), F.lit(0)).alias(f"_b_{c}") for c in of))
-    inside = Window.partitionBy(*by, "_slice").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    placed = sliced.join(sums, [*by, "_slice"])
-    return placed.withColumns({f"before_{c}": F.col(f"_b_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in of}).drop("_slice", *(f"_b_{c}" for c in of))
+    return placed(in_slices(counts, slice_cuts(counts, by, value, of, slices), by, value), by, value, of)
 
 
 def sliced(counts: DataFrame, by: list[str], value: str = "value", slices: int | None = None) -> DataFrame:
@@ -59,7 +73,7 @@ def sliced(counts: DataFrame, by: list[str], value: str = "value", slices: int |
 
 
 def placed(held: DataFrame, by: list[str], value: str = "value", of: tuple[str, ...] = ("ties",)) -> DataFrame:
-    """What cumulated() adds, for counts that are sliced: the cuts are held, so none is computed twice."""
+    """What cumulated() adds, for counts that are in slices, by sliced() or in_slices()."""
     sums = held.groupBy(*by, "_slice").agg(*(F.sum(c).alias(f"_n_{c}") for c in of))
     every = Window.partitionBy(*by)
     offset = every.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -117,13 +131,19 @@ def kruskal_wallis(long: DataFrame, label: str = "label", by: str = "feature", v
     Groups with fewer than two values are left out, then features with fewer than two groups. All-equal values
     have a null statistic.
     """
-    rows = present(long, value).where(F.col(label).isNotNull())
+    rows = present(long, value).where(F.col(label).isNotNull() & F.col(by).isNotNull())
     counts = rows.groupBy(by, value, label).agg(F.count("*").alias("_k"))
-    sizes = counts.groupBy(by, label).agg(F.sum("_k").alias("_n")).where("_n >= 2").select(by, label)
-    values = counts.join(sizes, [by, label]).groupBy(by, value).agg(F.sum("_k").alias("ties"), F.collect_list(F.struct(F.col(label).alias("label"), "_k")).alias("_labels"))  # labels at most
-    ranked = cumulated(values, [by], value).select(by, "ties", F.expr(RANK).alias("rank"), F.explode("_labels").alias("_l"))
-    k = F.col("_l._k")
-    groups = ranked.groupBy(by, F.col("_l.label").alias("label")).agg(F.sum(F.col("rank") * k).alias("r"), F.sum(k).alias("n"), F.sum((F.col("ties").cast("double") * F.col("ties") - 1) * k).alias("tie"))
+    lone = rows.groupBy(by, label).agg(F.count("*").alias("_n"), F.min(value).alias(value)).where("_n = 1")
+    kept = counts.join(lone, [by, value, label], "left_anti")  # as counts are dealt: no feature or label meets in one task
+    held = in_slices(kept, slice_cuts(rows, [by], value, ()), [by], value)
+    inside = Window.partitionBy(by, "_slice").orderBy(value)
+    ranked = held.withColumns({"_upto": F.sum("_k").over(inside.rangeBetween(Window.unboundedPreceding, Window.currentRow)), "ties": F.sum("_k").over(inside.rangeBetween(Window.currentRow, Window.currentRow))})
+    k, ties = F.col("_k"), F.col("ties")
+    rank = F.col("_upto") - ties + (ties + 1) / 2
+    # Ranks within slices; what lies before a slice is added to its sums.
+    parts = ranked.groupBy(by, "_slice", F.col(label).alias("label")).agg(F.sum(rank * k).alias("r"), F.sum(k).alias("n"), F.sum((ties.cast("double") * ties - 1) * k).alias("tie"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(by).orderBy("_slice").rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = parts.withColumn("r", F.col("r") + before * F.col("n")).groupBy(by, "label").agg(F.sum("r").alias("r"), F.sum("n").alias("n"), F.sum("tie").alias("tie"))
     total = groups.groupBy(by).agg(F.count("*").alias("groups"), F.sum("n").alias("n"), F.sum(F.col("r") * F.col("r") / F.col("n")).alias("rr"), F.sum("tie").alias("tie")).where("groups >= 2")
     n = F.col("n").cast("double")
     correction = 1 - F.col("tie") / (n * n * n - n)
@@ -311,4 +331,4 @@ def ols_hc3(wide: DataFrame, design: list[str], features: list[str], tested: lis
     return solved.join(meat, "feature").mapInPandas(solve, schema)
 
 
-__all__ = ["average_ranks", "benjamini_hochberg", "chi_square", "cohens_d", "counted_moments", "cumulated", "domain_shift", "kruskal_wallis", "ks_statistic", "label_pairs", "mann_whitney", "moments", "ols_hc3", "placed", "present", "quantiles", "sliced", "spearman"]
+__all__ = ["average_ranks", "benjamini_hochberg", "chi_square", "cohens_d", "counted_moments", "cumulated", "domain_shift", "in_slices", "kruskal_wallis", "ks_statistic", "label_pairs", "mann_whitney", "moments", "ols_hc3", "placed", "present", "quantiles", "slice_cuts", "sliced", "spearman"]

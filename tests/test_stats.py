@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import re
 
 import numpy as np
 import pytest
@@ -151,3 +152,43 @@ def test_moments_from_counts(spark):
     f, g = got["f"], got["g"]
     assert (f["n_a"], f["mean_a"], f["n_b"], f["mean_b"], f["sd_b"]) == (4, 1e9 + 2.25, 1, math.inf, None) and f["sd_a"] == pytest.approx(np.std([1, 2, 2, 4], ddof=1), rel=1e-9)
     assert (g["n_a"], g["mean_a"], g["sd_a"], g["n_b"], g["mean_b"], g["ks"]) == (1, 5.0, None, 0, None, None)
+
+
+def test_kruskal_in_slices_without_lone_labels(spark, monkeypatch):
+    monkeypatch.setattr(stats, "SLICE_ROWS", 3)
+    monkeypatch.setattr(stats, "MOST_SLICES", 7)
+    rng = np.random.default_rng(5)
+    rows = [(f, lab, float(v)) for f in ("f", "g") for lab in "abc" for v in rng.integers(-30, 60, 90) / 4]
+    rows += [("f", f"lone{i}", float(i)) for i in range(-5, 5)] + [("f", None, 3.0), (None, "a", 3.0), ("g", "a", float("nan")), ("g", "b", None)]
+    df = spark.createDataFrame(rows, "feature string, label string, value double").repartition(5)
+    assert {len(r["_cuts"]) for r in stats.slice_cuts(df, ["feature"], of=()).where("feature is not null").collect()} == {6}
+    got = {r["feature"]: r for r in stats.kruskal_wallis(df).collect()}
+    assert set(got) == {"f", "g"}
+    for f, r in got.items():
+        labels, values = zip(*((lab, v) for g, lab, v in rows if g == f and lab in tuple("abc") and v is not None and v == v))
+        rk, n = ranks(values), len(values)
+        h = 12 / (n * (n + 1)) * sum(rk[np.array(labels) == lab].sum() ** 2 / labels.count(lab) for lab in "abc") - 3 * (n + 1)
+        h /= 1 - sum(c**3 - c for c in np.unique(values, return_counts=True)[1]) / (n**3 - n)
+        assert (r["groups"], r["n"]) == (3, n) and r["statistic"] == pytest.approx(h, rel=1e-9)
+
+
+def test_cuts_are_the_same_each_time_and_halving_counts_them(spark):
+    counts = spark.range(3000).select(F.lit("f").alias("feature"), (F.col("id") * 0.5).alias("value"), F.lit(1).alias("ties"))
+    one, other = (sorted(stats.slice_cuts(counts.repartition(n), ["feature"], slices=50).first()["_cuts"]) for n in (1, 7))
+    assert one == other and len(one) == 49
+    for r in stats.in_slices(counts, stats.slice_cuts(counts, ["feature"], slices=50), ["feature"]).collect():
+        assert r["_slice"] == sum(c < r["value"] for c in one)
+
+
+def test_no_join_deals_rows_by_feature_alone(spark, sf):
+    from cohortlens.plans import catalog
+
+    long = catalog.line_long(spark, sf, "l_returnflag")
+    frames = {"kruskal": catalog.kruskal_three_groups(spark, sf), "quantiles": stats.quantiles(long, ["feature"], {"median": 0.5}), "ranks": stats.average_ranks(long, ["feature"])}
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables too large to send
+        plans = {name: df.select("*")._jdf.queryExecution().executedPlan().toString() for name, df in frames.items()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert not [name for name, text in plans.items() if re.search(r"SortMergeJoin \[feature#\d+(, l_returnflag#\d+)?\],", text)]
