@@ -390,7 +390,9 @@ def write_recordings(df: DataFrame, folder: str, rate: float, kind: str = "edf",
         if state:
             yield _written([finish()])
 
-    dealt = rows.repartition("recording").sortWithinPartitions("recording", "chunk", "channel")
+    # Dealt by a hash: an exchange by the key of the join above would be left out as done, and adaptive execution may then
+    # read the join's own exchange mapper by mapper, which gives several tasks the rows of one recording.
+    dealt = rows.repartition(F.xxhash64("recording")).sortWithinPartitions("recording", "chunk", "channel")
     return dealt.mapInArrow(run, "recording string, path string, chunks bigint")
 
 

@@ -126,3 +126,14 @@ def test_many_ranges_share_tasks_and_lose_no_chunk(spark, tmp_path, monkeypatch)
     assert got == sorted((c, k, float(k)) for _, c, k, _ in rows)
     monkeypatch.setattr(rec, "TASK_BYTES", 32)
     assert [len(run) for run in rec.bundled(list(range(1001)), 16 * 1001)] == [1] + [2] * 500 and rec.bundled([], 0) == []
+
+
+def test_recordings_are_dealt_apart_from_the_join_of_their_lengths(spark, tmp_path):
+    """Else adaptive execution may read the join's exchange mapper by mapper, and several tasks write one recording."""
+    df = spark.createDataFrame(rows_of(), CHUNKS)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = rec.write_recordings(df, f"{tmp_path}/x", 10.0, "edf")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plan and plan.index("REPARTITION_BY_COL") < plan.index("SortMergeJoin")
